@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, pii, secrets
+from . import bpe, licenses, pii, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A rank file of the public tokenizers, and the pattern that splits texts before its merges.
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, keep_ids=False)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secrets.secret_spans(docs, secrets.train(docs))
@@ -51,6 +61,6 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_licenses": op4_licenses, "op5_pii": op5_pii, "op9_secrets": op9_secrets}
+QUERIES = {"op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op9_secrets": op9_secrets}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -33,7 +33,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: At most about so many documents give the ordinary words of the training sample.
 SAMPLE_DOCS = 2000
 #: Nats a character by which the random model must win.
-THRESHOLD = 0.5
+THRESHOLD = 1.0
 
 _INDEX = {c: k for k, c in enumerate(ALPHABET)}
 
@@ -44,9 +44,10 @@ def pairs(token: str) -> tuple[list[int], list[int]]:
 
 
 def transitions(counts: np.ndarray) -> np.ndarray:
-    """Log-probabilities of the next character, smoothed."""
-    counts = counts + 0.5
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    """Log-probabilities of the next character; rare contexts lean on how common that character is at all."""
+    common = counts.sum(axis=0) + 0.5
+    common = common / common.sum()
+    return np.log((counts + 5 * common) / (counts.sum(axis=1, keepdims=True) + 5))
 
 
 def random_counts(n: int = 4000, seed: int = 7) -> np.ndarray:
