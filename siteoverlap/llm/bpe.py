@@ -4,11 +4,12 @@ The encoding of a prefix of a pre-token ends in exactly one token, and a token
 sequence is the encoding if and only if all its neighbours keep apart, that is,
 if encoding the two of them alone gives the two again. So the merges compile to
 a nondeterministic transducer with one hypothesis for each place where the
-current token may have begun: the place in the token trie, the token before, and
-the tokens not yet emitted. Sets of hypotheses are the states of the
-deterministic transducer; states and transitions are built when a byte first
-needs them. Tokens go out as soon as all hypotheses agree on them, after a
-lookahead of less than the longest token; so long pre-tokens cost linear time.
+current token may have begun: its place in the token trie and the token before.
+Sets of hypotheses are the states of the deterministic transducer, which outputs
+at each byte the token that ends there; states and transitions are built when a
+byte first needs them. A token is certain, and goes out, once every hypothesis
+descends from it: after a lookahead bounded by the longest token. So pre-tokens
+of any length cost linear time and bounded memory.
 
 Null and empty texts encode to no ids. Caches are bounded and rebuilt when full.
 """
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from .textio import map_texts
 
 #: States and whole pre-tokens that a worker remembers at most.
-MAX_STATES, MAX_WORDS = 150_000, 300_000
+MAX_STATES, MAX_WORDS = 250_000, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -34,92 +37,162 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
+    #: Room for a token id beside a trie node in one number.
+    SHIFT = 24
+
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.word: dict[int, bytes] = {r: w for w, r in ranks.items()}
+        self.apart: dict[tuple[int, int], bool] = {}
+        self.edges: dict[int, list[tuple[list[bytes], list[int]]]] = {}
         self.trie: list[dict[int, int]] = [{}]
-        self.token: list[bytes | None] = [None]
-        for word in ranks:
+        self.depth, self.token = [0], [-1]
+        for word, rank in ranks.items():
             if self.merged(word) == [word]:
                 node = 0
                 for c in word:
                     if c not in self.trie[node]:
                         self.trie[node][c] = len(self.trie)
                         self.trie.append({})
-                        self.token.append(None)
+                        self.depth.append(self.depth[node] + 1)
+                        self.token.append(-1)
                     node = self.trie[node][c]
-                self.token[node] = word
+                self.token[node] = rank
         self.forget()
 
     def forget(self) -> None:
-        start = ((0, None, ()),)
-        self.number, self.sets, self.steps = {start: 0}, [start], [{}]
+        self.number, self.sets, self.steps = {(0,): 0}, [(0,)], [{}]
 
-    def merged(self, word: bytes) -> list[bytes]:
-        """Merge by rank, leftmost first; only for words as short as two tokens."""
+    def merged(self, word: bytes, watch: list | None = None) -> list[bytes]:
+        """Merge by rank, leftmost first; only for words as short as two tokens. ``watch`` gets the parts after each merge."""
         parts, ranks = [word[k : k + 1] for k in range(len(word))], self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                r = ranks.get(parts[k] + parts[k + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, k
-            if best is None:
-                break
+        found = [ranks.get(parts[k] + parts[k + 1], 1 << 60) for k in range(len(parts) - 1)]
+        while found and (best := min(found)) < 1 << 60:
+            at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = ranks.get(parts[at - 1] + parts[at], 1 << 60)
+            if at < len(found):
+                found[at] = ranks.get(parts[at] + parts[at + 1], 1 << 60)
+            if watch is not None:
+                watch.append((best, parts[0], parts[-1]))
         return parts
 
-    def keeps_apart(self, a: bytes, b: bytes) -> bool:
+    def edge(self, token: int) -> list[tuple[list[bytes], list[int]]]:
+        """First and last parts of a token as it is merged, each with the ranks of the merges that replace them."""
+        got = self.edges.get(token)
+        if got is None:
+            word, watch = self.word[token], []
+            self.merged(word, watch)
+            got = []
+            for side, part in ((1, word[:1]), (2, word[-1:])):
+                parts, when = [part], []
+                for w in watch:
+                    if w[side] != parts[-1]:
+                        parts.append(w[side])
+                        when.append(w[0])
+                got.append((parts, [*when, 1 << 60]))
+            self.edges[token] = got
+        return got
+
+    def keeps_apart(self, a: int, b: int) -> bool:
+        """Whether no merge ever crosses the border of two neighbouring tokens."""
         got = self.apart.get((a, b))
         if got is None:
             if len(self.apart) >= 4 * self.max_states:
                 self.apart.clear()
-            got = self.apart[a, b] = self.merged(a + b) == [a, b]
+            (left, left_when), (right, right_when) = self.edge(a)[1], self.edge(b)[0]
+            i = j = 0
+            if left_when[:-1] != sorted(left_when[:-1]) or right_when[:-1] != sorted(right_when[:-1]):
+                got = self.merged(self.word[a] + self.word[b]) == [self.word[a], self.word[b]]
+            while got is None:
+                across = self.ranks.get(left[i] + right[j], 1 << 60)
+                if across < left_when[i] and across <= right_when[j] and across < 1 << 60:
+                    got = False
+                elif left_when[i] == right_when[j] == 1 << 60:
+                    got = True
+                elif left_when[i] <= right_when[j]:
+                    i += 1
+                else:
+                    j += 1
+            self.apart[a, b] = got
         return got
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Build the transition: next state, ids that are certain now."""
-        alive, ended = [], None
-        for node, before, pending in self.sets[state]:
-            node = self.trie[node].get(byte, -1)
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """Build the transition: the next state, and the token that ends at this byte."""
+        alive, ended, shift = [], -1, self.SHIFT
+        for packed in self.sets[state]:
+            before = packed & ((1 << shift) - 1)
+            node = self.trie[packed >> shift].get(byte, -1)
             if node < 0:
                 continue
-            token = self.token[node]
-            if ended is None and token is not None and (before is None or self.keeps_apart(before, token)):
-                ended = (0, token, (*pending, self.ranks[token]))
+            if ended < 0 and (token := self.token[node]) >= 0 and (not before or self.keeps_apart(before - 1, token)):
+                ended = token
             if self.trie[node]:
-                alive.append((node, before, pending))
-        alive.append(ended)
-        common = 0
-        while all(len(p) > common for _, _, p in alive) and len({p[common] for _, _, p in alive}) == 1:
-            common += 1
-        out = ended[2][:common]
-        key = tuple((n, b, p[common:]) for n, b, p in alive)
+                alive.append(node << shift | before)
+        alive.append(ended + 1)
+        key = tuple(alive)
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-        got = self.steps[state][byte] = (number, out)
+        got = self.steps[state][byte] = (number, ended)
         return got
 
+    def stream(self, word: Iterable[int], look: int = 4096) -> Iterator[list[int]]:
+        """Ids of one pre-token in pieces: what is certain after each ``look`` bytes, and the rest at its end."""
+        if len(self.sets) > self.max_states:
+            self.forget()
+        state, ends, put = 0, [], 0
+        for byte in word:
+            got = self.steps[state].get(byte) or self.step(state, byte)
+            state = got[0]
+            ends.append(got[1])
+            if len(ends) - put >= look:
+                paths = [self.back(ends, len(ends) - self.depth[packed >> self.SHIFT]) for packed in self.sets[state]]
+                common = min(len(p) for p in paths)
+                while len({p[common - 1] if common else 0 for p in paths}) > 1:
+                    common -= 1
+                if common:
+                    yield [t for t, _ in paths[0][:common]]
+                    ends = ends[paths[0][common - 1][1] :]
+                put = len(ends)
+                if len(self.sets) > 2 * self.max_states:  # within one very long pre-token
+                    kept = self.sets[state]
+                    self.forget()
+                    state = self.number.setdefault(kept, len(self.sets))
+                    if state:
+                        self.sets.append(kept)
+                        self.steps.append({})
+        yield [t for t, _ in self.back(ends, len(ends))]
+
+    def back(self, ends: list[int], at: int) -> list[tuple[int, int]]:
+        """(token, its end) of the path that ends at a place, in order."""
+        out = []
+        while at > 0:
+            out.append((ends[at - 1], at))
+            at -= len(self.word[ends[at - 1]])
+        return out[::-1]
+
     def encode(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
+        if len(word) > 2048:
+            return [t for piece in self.stream(word) for t in piece]
         if len(self.sets) > self.max_states:
             self.forget()
-        state, ids = 0, []
-        for n, byte in enumerate(word):
-            got = self.steps[state].get(byte) or self.step(state, byte)
+        state, ends, steps = 0, [], self.steps
+        for byte in word:
+            got = steps[state].get(byte) or self.step(state, byte)
             state = got[0]
-            if got[1]:
-                ids += got[1]
-            if n % 4096 == 4095 and len(self.sets) > 2 * self.max_states:  # within one very long pre-token
-                kept = self.sets[state]
-                self.forget()
-                state = self.number[kept] = len(self.sets)
-                self.sets.append(kept)
-                self.steps.append({})
-        return ids + list(self.sets[state][-1][2]) if word else ids
+            ends.append(got[1])
+        at, out, words = len(ends), [], self.word
+        while at:
+            token = ends[at - 1]
+            out.append(token)
+            at -= len(words[token])
+        return out[::-1]
 
 
 class Utf8Stream:
@@ -162,6 +235,19 @@ def decode_stream(ids: Iterable[int], table: dict[int, bytes] | list[bytes], blo
     yield out.end()
 
 
+def latin_pattern(pattern: str) -> str:
+    r"""The pattern with \p{L}, \p{N} and \s spelled out for the characters below 256."""
+    chars = [chr(k) for k in range(256)]
+    of = {
+        r"\p{L}": "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == "L"),
+        r"\p{N}": "".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == "N"),
+        r"\s": "\t\n\x0b\x0c\r \x85\xa0",
+    }
+    out = pattern.replace(r"\S", f"[^{of[r'\s']}]")
+    out = re.sub(r"\[\^([^]]*)\]", lambda m: "[^" + re.sub(r"\\p\{[LN]\}|\\s", lambda c: of[c[0]], m[1]) + "]", out)
+    return re.sub(r"\\p\{[LN]\}|\\s", lambda m: f"[{of[m[0]]}]", out)
+
+
 class Codec(dict):
     """Pre-token -> its ids as decimal text, through the transducer; and back."""
 
@@ -170,7 +256,8 @@ class Codec(dict):
 
         super().__init__()
         ranks = read_ranks(path)
-        self.split, self.transducer, self.max_words = regex.compile(pattern).findall, Transducer(ranks), max_words
+        self.any_text, self.transducer, self.max_words = regex.compile(pattern).findall, Transducer(ranks), max_words
+        self.latin = re.compile(latin_pattern(pattern)).findall
         self.bytes_of = {str(i): token for token, i in ranks.items()}
 
     def __missing__(self, word: str) -> str:
@@ -181,6 +268,14 @@ class Codec(dict):
             self[word] = got
         return got
 
+    def split(self, text: str) -> list[str]:
+        """The matches of the pattern; the standard library finds them sooner where all characters are below 256."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.any_text(text)
+        return self.latin(text)
+
     def encode(self, text: str) -> str:
         """Ids of a text, decimal, comma-joined."""
         return ",".join(map(self.__getitem__, self.split(text))) if text else ""
