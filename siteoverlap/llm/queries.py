@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, pii, quality, secrets, warc
+from . import bpe, decontaminate, html_extract, licenses, pii, quality, secrets, warc
 from .textio import scratch
 
 
@@ -26,6 +26,10 @@ def count_of(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Score from which a document counts as good.
 GOOD = 0.7
 
@@ -63,6 +67,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), ("url",)).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -78,7 +86,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_warc": op8_warc, "op9_secrets": op9_secrets}
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
