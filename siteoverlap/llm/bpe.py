@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .textio import map_texts
@@ -316,7 +317,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 for piece in code.decode(coded):
                     back.update(piece.encode())
                 out["n_tokens"].append(coded.count(",") + 1 if coded else 0)
-                out["ids"].append(list(map(int, coded.split(","))) if keep_ids and coded else [] if keep_ids else None)
+                out["ids"].append((np.array(coded.split(","), np.int32) if coded else np.zeros(0, np.int32)) if keep_ids else None)
                 out["ids_sha256"].append(hashlib.sha256(coded.encode()).hexdigest())
                 out["decoded_sha256"].append(back.hexdigest())
             return out

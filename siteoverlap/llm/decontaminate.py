@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import buffers, map_texts
+from .textio import buffers, map_texts, without
 
 Q = 10
 #: Edits for each byte of an item that a match may have.
@@ -190,5 +190,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any benchmark passage."""
-    bad = leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("leaked")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("leaked"), "left_anti")
+    return without(docs, id_col, leaks(docs, benchmark, id_col, text_col).select(id_col))

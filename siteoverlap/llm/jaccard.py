@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import buffers, map_texts, stored
+from .textio import buffers, map_texts, stored, without
 
 #: About so many texts are counted to find tokens that many texts have, and in how many of them such a token is.
 SAMPLE_TEXTS, SAMPLE_SHARE, MOST_FREQUENT = 5000, 0.005, 50_000
@@ -367,7 +367,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 
 def first_of_each_class(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest id of their class; texts without shingles are all kept."""
+    """The documents that are the smallest id of their class; texts without shingles and rows without an id are all kept.
+
+    Rows that share an id stay or go together.
+    """
     classes = near_duplicates(docs, k, percent, id_col, text_col)
-    drop = classes.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("copy")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("copy"), "left_anti")
+    return without(docs, id_col, classes.where(F.col("component_id") != F.col(id_col)).select(id_col))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import buffers, map_texts
+from .textio import add_columns, buffers, map_texts
 
 EMBED, WIDTH, FILTERS = 8, 6, 32
 #: Positions of a segment; a chunk is four segments and shares one with the next chunk.
@@ -219,3 +219,13 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
         return work
 
     return map_texts(docs, id_col, text_col, start, "id long, score double").withColumnRenamed("id", id_col)
+
+
+def good(docs: DataFrame, model: dict | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows with a score of at least ``least``, all columns as they are."""
+
+    def start():
+        tables = pair_tables(model["filters"]) if model else None
+        return lambda texts: {"quality score": probability(document_features(texts, tables).astype(np.float64), model["out"]) if model else np.full(len(texts), 0.5)}
+
+    return add_columns(docs, text_col, start, "`quality score` double").where(F.col("quality score") >= least).drop("quality score")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, jaccard, licenses, pii, quality, secrets, warc
+from . import ann, bpe, decontaminate, html_extract, jaccard, licenses, pii, quality, secrets, warc
 from .textio import scratch
 
 
@@ -30,6 +30,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 #: Score from which a document counts as good.
 GOOD = 0.7
 
@@ -90,7 +95,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_nn_descent": op2_nn_descent, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import map_texts
+from .textio import add_columns, map_texts
 
 BASE = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -122,29 +122,36 @@ def maybe(texts) -> np.ndarray:
     return keep
 
 
-def secret_spans(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, redact: str | None = None) -> DataFrame:
-    """One row a document: id and ``found``, an array of (kind, start, end) by start; with ``redact`` also the text with spans replaced."""
+def secret_spans(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One row a document: id and ``found``, an array of (kind, start, end) by start."""
 
     def start():
         def work(ids, texts):
-            rows, clean = [], []
-            for hot, value in zip(maybe(texts), texts, strict=True):
-                if not hot:
-                    rows.append([])
-                    clean.append(value.as_py() if redact is not None else None)
-                    continue
-                text = value.as_py()
-                spans = find(text, model, threshold)
-                rows.append([{"kind": k, "start": a, "end": b} for a, k, b in spans])
-                parts, at = [], 0
-                for a, _, b in spans:
-                    if a >= at:
-                        parts += [text[at:a], redact or ""]
-                    at = max(at, b)
-                clean.append("".join([*parts, text[at:]]))
-            return {"id": ids, "found": rows, "clean": clean}
+            rows = [[{"kind": k, "start": a, "end": b} for a, k, b in find(x.as_py(), model, threshold)] if hot else [] for hot, x in zip(maybe(texts), texts, strict=True)]
+            return {"id": ids, "found": rows}
 
         return work
 
-    out = map_texts(docs, id_col, text_col, start, "id long, found array<struct<kind:string,start:int,end:int>>" + ", clean string" * (redact is not None))
-    return out.withColumnRenamed("id", id_col)
+    return map_texts(docs, id_col, text_col, start, "id long, found array<struct<kind:string,start:int,end:int>>").withColumnRenamed("id", id_col)
+
+
+def redacted(text: str, spans: list[tuple[int, str, int]], mark: str) -> str:
+    parts, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            parts += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
+
+
+def redact(docs: DataFrame, model: np.ndarray, text_col: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
+    """All rows and columns, with each span of the texts replaced by ``mark``; null texts stay null."""
+
+    def start():
+        def work(texts):
+            return {"clean text": [redacted(t := x.as_py(), find(t, model, threshold), mark) if hot else x.as_py() for hot, x in zip(maybe(texts), texts, strict=True)]}
+
+        return work
+
+    clean = add_columns(docs, text_col, start, "`clean text` string")
+    return clean.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("clean text"))).drop("clean text")

@@ -69,6 +69,34 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, start: Callable, sche
     return two.mapInArrow(run, schema)
 
 
+def add_columns(docs: DataFrame, text_col: str, start: Callable, new: str) -> DataFrame:
+    """All columns of ``docs`` and, behind them, those that ``start()(texts) -> {column: values}`` makes from slices of one."""
+    more = T._parse_datatype_string(new)
+    schema = T.StructType([*docs.schema.fields, *more.fields])
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        work, out = start(), arrow_schema(schema)
+        for batch in batches:
+            for part in slices(batch, batch.schema.names[place]):
+                cols = work(part.column(place).fill_null(""))
+                made = [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], out.field(len(part.columns) + n).type) for n, f in enumerate(more.fields)]
+                yield pa.RecordBatch.from_arrays([*(c.cast(out.field(n).type) for n, c in enumerate(part.columns)), *made], schema=out)
+
+    return docs.mapInArrow(run, schema)
+
+
+#: Ids that may be broadcast (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not in the one column of ``ids``; rows with a null id stay."""
+    ids = stored(ids.toDF("gone").where("gone is not null").distinct(), "gone")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, F.col(id_col) == F.col("gone"), "left_anti")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, below spark.checkpoint.dir."""
     import uuid

@@ -64,9 +64,11 @@ def test_random_tokens_and_ordinary_ones(spark):
     words = "the configuration of internationalization_settings and getUserProfileByIdentifier or Donaudampfschifffahrtsgesellschaft-2024"
     docs = rows(spark, [words] * 20 + ["key qW8zX1pL0vT7rK5mJ3nB9cY2 here", "", None])
     model = secrets.train(docs)
-    found = {r["doc_id"]: r for r in secrets.secret_spans(docs, model, redact="[SECRET]").collect()}
+    found = {r["doc_id"]: r for r in secrets.secret_spans(docs, model).collect()}
     assert [s["kind"] for s in found[20]["found"]] == ["random"]
-    assert found[20]["clean"] == "key [SECRET] here"
+    clean = {r["doc_id"]: r for r in secrets.redact(docs, model).collect()}
+    assert clean[20]["text"] == "key [SECRET] here" and clean[22]["text"] is None and clean[0]["text"] == words
+    assert clean[20].asDict().keys() == set(docs.columns)
     assert all(found[k]["found"] == [] for k in (*range(20), 21, 22))
 
 
