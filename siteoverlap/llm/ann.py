@@ -95,12 +95,15 @@ def coded(vectors: DataFrame) -> DataFrame:
 def codes_of(column) -> np.ndarray:
     """Signed bytes of equally long values, as a float matrix."""
     values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
+    if not values:
+        return np.zeros((0, 1), np.float32)
     return np.frombuffer(b"".join(values), np.int8).reshape(len(values), -1).astype(np.float32)
 
 
 def first_graph(codes: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
     """vertex, ids, dists from comparisons within blocks."""
-    pivots = [codes.orderBy(F.xxhash64("vertex", F.lit(r)), "vertex").limit(PIVOTS) for r in range(rounds)]
+    cells_wanted = max(1, min(PIVOTS, 4 * codes.count() // BLOCK))  # so that few vertices are not dealt out singly
+    pivots = [codes.orderBy(F.xxhash64("vertex", F.lit(r)), "vertex").limit(cells_wanted) for r in range(rounds)]
     pivots = [codes_of([bytes(x["code"]) for x in p.collect()]) for p in pivots]
 
     def cells(batches):
@@ -242,6 +245,8 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, n: int = 10, id_col:
     own = members(rows, n + 1)
     own = stored(own.select("id", "vec", "rank", "vertex"), "members")
     vectors = stored(own.where("rank = 1").select("vertex", "vec"), "vectors")
+    if vectors.isEmpty():
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     graph = neighbour_graph(vectors)
     asked = rows.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
     asked = stored(asked.join(vectors.withColumnRenamed("vec", "same"), F.col("vec") == F.col("same")).select(F.col("id").alias("query_id"), "vertex", "vec"), "asked")
