@@ -6,8 +6,9 @@
    threshold must share a token with. Texts with equal sets are one vertex from
    here on. Tokens that a sample finds in many texts come last in the order of
    the prefixes; any order gives the same links.
-2. Vertices that share a prefix token are dealt to the same block. Each is first
-   held against one centre per block, which joins most of a group of copies.
+2. Each prefix token has a centre, the smallest vertex that has it; all vertices
+   that share a token with a centre at its own tokens form the centre's block.
+   They are first held against the centre, which joins most of a group of copies.
 3. Blocks that still hold vertices of several components are searched by
    signature trees: nodes hold the OR of their bitmaps and the range of sizes,
    and a dual traversal drops pairs of nodes whose largest possible overlap is
@@ -25,20 +26,23 @@ links. Repeated rows keep their rows and share a component.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textio import buffers, map_texts, stored, without
 
-#: About so many texts are counted to find tokens that many texts have, and in how many of them such a token is.
-SAMPLE_TEXTS, SAMPLE_SHARE, MOST_FREQUENT = 5000, 0.005, 50_000
+#: About so many texts are counted to find tokens that many texts have; in how many of them such a token is, and how many are noted at most.
+SAMPLE_TEXTS, SAMPLE_LEAST, MOST_FREQUENT = 10_000, 3, 200_000
 #: Vertices of a block that one task searches; more are dealt out as pairs of parts.
 PART = 2048
-#: Children of a tree node.
-FANOUT = 8
+#: Vertices of a tree's lowest nodes, children of the others.
+BUCKET, FANOUT = 32, 8
+#: Blocks up to this size are compared without a tree.
+FEW = 12
 #: Rows that may be broadcast (of 8 to 16 bytes); beyond that, a shuffle join.
 BROADCAST_ROWS = 500_000
 
@@ -114,8 +118,8 @@ def fingerprint(tokens: np.ndarray) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Two bits or more for each token; a power of two of them, so that a longer map folds to a shorter one."""
-    width = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    """Four bits or more for each token; a power of two of them, so that a longer map folds to a shorter one."""
+    width = max(64, 1 << (4 * len(tokens) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(tokens >> np.uint64(20)) & np.uint64(width - 1)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -154,7 +158,7 @@ def frequent_tokens(docs: DataFrame, id_col: str, text_col: str, k: int) -> np.n
         return lambda ids, texts: {"tokens": lists(shingle_sets(texts, k))}
 
     tokens = map_texts(sample, id_col, text_col, start, "tokens array<long>").select(F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").count().where(F.col("count") >= max(20, int(SAMPLE_TEXTS * SAMPLE_SHARE)))
+    often = tokens.groupBy("token").count().where(F.col("count") >= SAMPLE_LEAST)
     got = [r[0] for r in often.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()]
     return np.sort(np.array(got, np.int64).view(np.uint64))
 
@@ -190,68 +194,93 @@ def may_link(na: int, a: bytes, nb: int, b: bytes, percent: int) -> bool:
 
 
 class Node:
-    __slots__ = ("bits", "children", "component", "doubled", "high", "items", "low")
+    """A bucket of vertices, or up to FANOUT nodes: OR of the bitmaps, range of sizes, most tokens that share a bit with another, common component if any."""
 
-    def __init__(self, children: list, items: list | None = None):
-        self.children, self.items = children, items
-        if items is not None:
-            self.bits, self.low, self.high, self.doubled, self.component = items[0]
+    __slots__ = ("bits", "children", "component", "doubled", "high", "low", "rows")
+
+    def __init__(self, children: list[Node], rows: slice | None, maps: np.ndarray, n: np.ndarray, doubled: np.ndarray, component: np.ndarray):
+        self.children, self.rows = children, rows
+        if rows is not None:
+            self.bits = np.bitwise_or.reduce(maps[rows], axis=0)
+            self.low, self.high, self.doubled = int(n[rows].min()), int(n[rows].max()), int(doubled[rows].max())
+            same = component[rows]
+            self.component = int(same[0]) if (same == same[0]).all() else None
         else:
-            self.bits, self.component = 0, children[0].component
-            for c in children:
-                self.bits |= c.bits
-                self.component = self.component if self.component == c.component else None
-            self.low, self.high = min(c.low for c in children), max(c.high for c in children)
-            self.doubled = max(c.doubled for c in children)
+            self.bits = np.bitwise_or.reduce([c.bits for c in children], axis=0)
+            self.low, self.high, self.doubled = min(c.low for c in children), max(c.high for c in children), max(c.doubled for c in children)
+            self.component = children[0].component if len({c.component for c in children}) == 1 else None
 
 
-def tree(leaves: list[Node]) -> Node:
-    while len(leaves) > 1:
-        leaves = [Node(leaves[k : k + FANOUT]) for k in range(0, len(leaves), FANOUT)]
-    return leaves[0]
+def tree(first: int, last: int, *of: np.ndarray) -> Node:
+    """A tree over the rows first to last of the arrays."""
+    nodes = [Node([], slice(k, min(k + BUCKET, last)), *of) for k in range(first, last, BUCKET)]
+    while len(nodes) > 1:
+        nodes = [Node(nodes[k : k + FANOUT], None, *of) for k in range(0, len(nodes), FANOUT)]
+    return nodes[0]
 
 
-def tree_pairs(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Pairs of vertices that may link and are in different components.
+def tree_pairs(rows: list[tuple], percent: int, best: bool = False) -> list[tuple[int, int]]:
+    """Pairs of vertices that may link and are in different components; with ``best`` only the likeliest partner of each vertex.
 
     rows: (vertex, n, bits, component, part); only pairs of different parts, or
     any pairs where all rows are of one part.
     """
     out: list[tuple[int, int]] = []
+    likeliest: dict[int, tuple[int, int]] = {}
     parts = {r[4] for r in rows}
-    classes = sorted({len(r[2]) for r in rows})
-    for length in classes:
-        width = 8 * length
-        own = [r for r in rows if len(r[2]) == length]
-        most = max(r[1] for r in own) * 100 // percent
-        near = [r for r in rows if len(r[2]) > length and r[1] <= most]
-        leaves: dict[int, list[Node]] = {}
-        for r in sorted(own + near, key=lambda r: (r[3], r[1], r[0])):
-            bits = folded(int.from_bytes(r[2], "little"), 8 * len(r[2]), width)
-            leaves.setdefault(r[4], []).append(Node([], [(bits, r[1], r[1], r[1] - bits.bit_count(), r[3]), r]))
-        roots = [tree(leaves[p]) for p in sorted(leaves)]
-        if len(parts) > 1:
-            todo = [(roots[0], roots[1])] if len(roots) > 1 else []
-        else:
-            todo = [(roots[0], roots[0])]
+    many = Counter(r[3] for r in rows)
+    for length in sorted({len(r[2]) for r in rows}):
+        most = max(r[1] for r in rows if len(r[2]) == length) * 100 // percent
+        some = [r for r in rows if len(r[2]) == length or (len(r[2]) > length and r[1] <= most)]
+        # vertices of a large component side by side, all others by size
+        some.sort(key=lambda r: (r[4], r[3] if many[r[3]] >= BUCKET // 4 else -(1 << 63), r[1], r[0]))
+        maps = np.stack([np.bitwise_or.reduce(np.frombuffer(r[2], np.uint64).reshape(-1, length // 8), axis=0) for r in some])
+        vertex, n, component, part = (np.array([r[k] for r in some], np.int64) for k in (0, 1, 3, 4))
+        own = np.array([len(r[2]) == length for r in some])
+        doubled = n - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        roots = [tree(a, b, maps, n, doubled, component) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        todo = [(roots[0], roots[0])] if len(parts) == 1 else [(roots[0], roots[1])] if len(roots) > 1 else []
         while todo:
             x, y = todo.pop()
             if x.component is not None and x.component == y.component:
                 continue
             if 100 * x.high < percent * y.low or 100 * y.high < percent * x.low:
                 continue
-            if (x.bits & y.bits).bit_count() + min(x.doubled, y.doubled) < overlap_needed(x.low, y.low, percent):
+            if int(np.bitwise_count(x.bits & y.bits).sum(dtype=np.int64)) + min(x.doubled, y.doubled) < overlap_needed(x.low, y.low, percent):
                 continue
-            if not x.children and not y.children:
-                a, b = x.items[1], y.items[1]
-                if a[0] != b[0] and (len(a[2]) == length or len(b[2]) == length):
-                    out.append((min(a[0], b[0]), max(a[0], b[0])))
+            if x.rows is not None and y.rows is not None:
+                i, j = x.rows, y.rows
+                common = np.bitwise_count(maps[i, None] & maps[None, j]).sum(axis=2, dtype=np.int64)
+                spare = common + np.minimum(doubled[i, None], doubled[None, j]) + (-percent * (n[i, None] + n[None, j])) // (100 + percent)
+                ok = (spare >= 0) & (component[i, None] != component[None, j]) & (own[i, None] | own[None, j])
+                ok &= 100 * np.minimum(n[i, None], n[None, j]) >= percent * np.maximum(n[i, None], n[None, j])
+                if x is y:
+                    ok = np.triu(ok, 1)
+                for p, q in np.argwhere(ok):
+                    v, w, s = int(vertex[i][p]), int(vertex[j][q]), int(spare[p, q])
+                    if best:
+                        likeliest[v] = max(likeliest.get(v, (-1, 0)), (s, w))
+                        likeliest[w] = max(likeliest.get(w, (-1, 0)), (s, v))
+                    else:
+                        out.append((min(v, w), max(v, w)))
             elif x is y:
                 todo += [(x.children[i], x.children[j]) for i in range(len(x.children)) for j in range(i, len(x.children))]
-            elif not y.children or (x.children and x.high - x.low >= y.high - y.low):
+            elif y.rows is not None or (x.rows is None and x.high - x.low >= y.high - y.low):
                 todo += [(c, y) for c in x.children]
             else:
                 todo += [(x, c) for c in y.children]
+    return sorted({(min(v, w), max(v, w)) for v, (_, w) in likeliest.items()}) if best else out
+
+
+def few_pairs(rows: list[tuple], percent: int, best: bool) -> list[tuple[int, int]]:
+    """As ``tree_pairs``, for blocks that are a single bucket: each pair by the bound of ``may_link``."""
+    out = []
+    one_part = len({r[4] for r in rows}) == 1
+    for k, (v, nv, bv, cv, pv) in enumerate(rows):
+        for w, nw, bw, cw, pw in rows[:k]:
+            if cv != cw and (one_part or pv != pw) and may_link(nv, bv, nw, bw, percent):
+                out.append((min(v, w), max(v, w)))
     return out
 
 
@@ -308,18 +337,47 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def searched(held: DataFrame, parts: DataFrame, vertices: DataFrame, percent: int, best: bool) -> DataFrame:
+    """a, b: pairs of different components in the same block that the signature trees let pass."""
+    # a vertex whose neighbours by size in the block are too small or too large has no partner there
+    by_size = Window.partitionBy("centre").orderBy("n", "vertex")
+    before, after = 100 * F.lag("n").over(by_size) >= percent * F.col("n"), 100 * F.col("n") >= percent * F.lead("n").over(by_size)
+    near = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+    open_ = held.select("centre", "vertex", "n", near.alias("near")).where("near")
+    open_ = open_.join(parts, "vertex", "left").select("centre", "vertex", F.coalesce("component", "vertex").alias("component"))
+    size = open_.groupBy("centre").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rows = open_.join(size.select("centre", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "centre")
+    rows = rows.join(vertices.select("vertex", "n", "bits"), "vertex").withColumn("part", F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "centre", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vertex", "n", "bits", "component"
+    )
+
+    fields = ("vertex", "n", "bits", "component", "part")
+    groups = rows.groupBy("centre", "i", "j").agg(F.collect_list(F.struct(*fields)).alias("members"))  # at most about 2 * PART of them
+
+    def search(batches):
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            at, members = batch.column(0).offsets.to_numpy(), batch.column(0).values
+            flat = list(zip(*(members.field(f).to_pylist() for f in fields), strict=True))
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                found.update(few_pairs(flat[a:b], percent, best) if b - a <= FEW else tree_pairs(flat[a:b], percent, best))
+            pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return groups.select("members").mapInArrow(search, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id (smallest id reachable by links, its own included)."""
     frequent = frequent_tokens(docs, id_col, text_col, k)
     sig = stored(signatures(docs, id_col, text_col, k, percent, frequent), "signatures")
     vertices = stored(sig.where("vertex is not null").groupBy("vertex").agg(F.min("id").alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits")), "vertices")
 
-    from pyspark.sql import Window
-
-    tokens = sig.where("vertex is not null").select(F.explode("prefix").alias("token"), "vertex")
-    block = Window.partitionBy("token")
-    shared = tokens.withColumns({"centre": F.min("vertex").over(block), "last": F.max("vertex").over(block)}).where("centre <> last").select("token", "vertex", "centre").distinct()
-    shared = stored(shared, "shared")
+    tokens = sig.where("vertex is not null").select(F.explode("prefix").alias("token"), "vertex", F.col("n").cast("long").alias("n"))
+    least = F.min(F.struct("vertex", "n")).over(Window.partitionBy("token"))
+    held = tokens.withColumn("least", least).where("vertex <> least.vertex").select(F.col("least.vertex").alias("centre"), F.col("least.n").alias("size"), "vertex", "n").distinct()
+    held = stored(held, "held")
 
     def bounded(pairs: DataFrame) -> DataFrame:
         a, b = (vertices.select(F.col("vertex").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
@@ -332,30 +390,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
         return both.mapInArrow(run, "a long, b long")
 
-    stars = shared.where("vertex <> centre").select(F.col("centre").alias("a"), F.col("vertex").alias("b")).distinct()
+    stars = held.where(100 * F.least("n", "size") >= percent * F.greatest("n", "size")).select(F.col("centre").alias("a"), F.col("vertex").alias("b"))
     links = stored(verified(stored(bounded(stars), "stars"), vertices.select("vertex", "one"), docs, id_col, text_col, k, percent), "links")
     parts = components(links)
 
-    # blocks of several components; equal blocks once
-    open_ = shared.join(parts, "vertex", "left").select("token", "vertex", F.coalesce("component", "vertex").alias("component"))
-    size = open_.groupBy("token").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("vertex")).alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    kept = size.where("lo <> hi").groupBy("m", "members").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
-    rows = open_.join(kept, "token").join(vertices.select("vertex", "n", "bits"), "vertex").withColumn("part", F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("parts") - 1)
-    rows = rows.withColumn("other", F.explode(other)).select(
-        "token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vertex", "n", "bits", "component"
-    )
-
-    def search(key, group):
-        cols = (group[c].tolist() for c in ("vertex", "n", "bits", "component", "part"))
-        found = tree_pairs([(v, n, bytes(b), c, p) for v, n, b, c, p in zip(*cols, strict=True)], percent)
-        import pandas as pd
-
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    more = rows.groupBy("token", "i", "j").applyInPandas(search, "a long, b long").distinct()
-    more = stored(more, "more")
-    if not more.isEmpty():
+    for best in (True, False):  # the likeliest partners first: they join most of what is left
+        more = stored(searched(held, parts, vertices, percent, best), "more")
+        if more.isEmpty():
+            break
         links = stored(links.union(verified(more, vertices.select("vertex", "one"), docs, id_col, text_col, k, percent)), "links")
         parts = components(links)
 
