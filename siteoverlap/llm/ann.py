@@ -225,18 +225,18 @@ def search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int =
 
         return both.mapInArrow(run, "q long, x long, dist double")
 
-    first = measured(starts.select("q", F.col("from").alias("x")).distinct())
-    seen = stored(first.withColumn("done", F.lit(False)), "seen")  # all vertices that a query has met
+    held = stored(measured(starts.select("q", F.col("from").alias("x")).distinct()).withColumn("done", F.lit(False)), "held")
+    seen = held.select("q", "x")  # all vertices that a query has met
     order = Window.partitionBy("q").orderBy("dist", "x")
     while True:
-        held = stored(seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= beam).select("q", "x", "dist", "done"), "held")
         todo = held.where("not done").select("q", F.col("x").alias("w"))
         if todo.isEmpty():
             return held.select("q", "x", "dist")
-        met = todo.join(ways, "w").select("q", F.explode("xs").alias("x")).distinct().join(seen.select("q", "x"), ["q", "x"], "left_anti")
-        old = seen.select("q", "x", "dist").join(todo.select("q", F.col("w").alias("x"), F.lit(True).alias("now")), ["q", "x"], "left")
-        old = old.join(seen.where("done").select("q", "x", F.lit(True).alias("was")), ["q", "x"], "left").select("q", "x", "dist", F.coalesce("was", "now", F.lit(False)).alias("done"))
-        seen = stored(old.union(measured(met).withColumn("done", F.lit(False))), "seen")
+        met = todo.join(ways, "w").select("q", F.explode("xs").alias("x")).distinct().join(seen, ["q", "x"], "left_anti")
+        fresh = stored(measured(met), "fresh")
+        seen = seen.union(fresh.select("q", "x"))
+        both = held.withColumn("done", F.lit(True)).unionByName(fresh.withColumn("done", F.lit(False)))
+        held = stored(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= beam).select("q", "x", "dist", "done"), "held")
 
 
 def nearest_neighbours(rows: DataFrame, queries: DataFrame, n: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = BEAM) -> DataFrame:
