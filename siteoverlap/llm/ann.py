@@ -5,9 +5,11 @@ vertices near the same of a bounded set of pivots, dealt into blocks of bounded
 size, are compared within their block. NN-descent then improves it: each vertex
 joins its neighbours and a bounded sample of those it is a neighbour of, compares
 them pairwise, and proposes the closer ones to each other; proposals are merged
-into the lists of the K nearest. A query walks the graph: it keeps a beam of the
-nearest vertices seen, expands all that are not expanded yet, and stops when the
-beam holds nothing new. Work for each row is bounded at every size.
+into the lists of the K nearest, round after round until hardly a list changes
+(there is no cap on the rounds; each is logged). A query walks the graph from its
+own vertex and a few entries that all queries share: it keeps a beam of the nearest
+vertices seen, expands all that are not expanded yet, and stops when the beam holds
+nothing new. First rounds, pivots, entries and beam grow with the number of vertices.
 
 The graph is built on vectors rounded to 8 bits; the search measures original
 vectors in double precision. Vectors that are null, zero or hold null or
@@ -17,6 +19,9 @@ most frequent one. Ties go to the smaller id; a repeated (id, vector) counts onc
 
 from __future__ import annotations
 
+import logging
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,14 +31,32 @@ from .textio import stored
 
 #: Neighbours kept, sampled reverse neighbours, proposals of a vertex to each neighbour.
 K, REVERSE, PROPOSALS = 28, 28, 8
-#: Rounds for the first graph, pivots of a round, vertices of a block.
+#: Rounds for the first graph and pivots of a round (the least of each), vertices of a block.
 ROUNDS, PIVOTS, BLOCK = 6, 64, 1024
-ITERATIONS, STOP_SHARE = 4, 0.02
-#: Vertices that a query keeps.
+#: Descent ends when a smaller share of the lists than this changes in a round.
+STOP_SHARE = 0.02
+#: Vertices that a query keeps (the least).
 BEAM = 256
 #: Query vectors that may be broadcast; more are joined by a shuffle.
 BROADCAST_QUERIES = 20_000
 
+log = logging.getLogger(__name__)
+
+
+def rounds_of(n: int) -> int:
+    """Rounds for the first graph of n vertices: one for each doubling of the number of blocks."""
+    return max(ROUNDS, (n // BLOCK).bit_length())
+
+
+def pivots_of(n: int) -> int:
+    """Pivots of a round; few vertices are not dealt out singly."""
+    return max(1, min(4 * n // BLOCK, max(PIVOTS, isqrt(n) // 4)))
+
+
+def beam_of(n: int) -> int:
+    """Vertices that a query keeps: 16 for each doubling of the vertices."""
+    return max(BEAM, 16 * n.bit_length())
+
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, vec (array of double) of the rows that take part."""
@@ -100,10 +123,11 @@ def codes_of(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.int8).reshape(len(values), -1).astype(np.float32)
 
 
-def first_graph(codes: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
+def first_graph(codes: DataFrame, k: int) -> DataFrame:
     """vertex, ids, dists from comparisons within blocks."""
-    cells_wanted = max(1, min(PIVOTS, 4 * codes.count() // BLOCK))  # so that few vertices are not dealt out singly
-    pivots = [codes.orderBy(F.xxhash64("vertex", F.lit(r)), "vertex").limit(cells_wanted) for r in range(rounds)]
+    n = codes.count()
+    rounds = rounds_of(n)
+    pivots = [codes.orderBy(F.xxhash64("vertex", F.lit(r)), "vertex").limit(pivots_of(n)) for r in range(rounds)]
     pivots = [codes_of([bytes(x["code"]) for x in p.collect()]) for p in pivots]
 
     def cells(batches):
@@ -115,7 +139,7 @@ def first_graph(codes: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
     dealt = codes.mapInArrow(cells, "vertex long, code binary, " + ", ".join(f"c{r} int" for r in range(rounds)))
     dealt = dealt.select("vertex", "code", F.posexplode(F.array(*(f"c{r}" for r in range(rounds)))).alias("round", "cell"))
     size = dealt.groupBy("round", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.join(F.broadcast(size), ["round", "cell"]).withColumn("block", F.pmod(F.xxhash64("vertex", "round"), F.col("blocks")))  # rounds * PIVOTS rows
+    dealt = dealt.join(F.broadcast(size), ["round", "cell"]).withColumn("block", F.pmod(F.xxhash64("vertex", "round"), F.col("blocks")))  # one row a pivot
 
     def compare(group):
         ids, m = group["vertex"].to_numpy(), codes_of(group["code"])
@@ -191,24 +215,30 @@ def descent(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFrame:
     return merged(every, k)
 
 
-def neighbour_graph(vectors: DataFrame, k: int = K, iterations: int = ITERATIONS) -> DataFrame:
-    """vertex, ids, dists: about the K nearest vertices of each."""
+def changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of the lists with a vertex that they did not hold before."""
+    both = after.join(before.select("vertex", F.col("ids").alias("old")), "vertex")
+    return both.agg(F.avg((F.size(F.array_except("ids", "old")) > 0).cast("double"))).first()[0] or 0.0
+
+
+def neighbour_graph(vectors: DataFrame, k: int = K) -> DataFrame:
+    """vertex, ids, dists: about the K nearest vertices of each. Lists only ever improve, so that the rounds end."""
     codes = stored(coded(vectors), "codes")
     graph = stored(first_graph(codes, k), "graph")
-    for turn in range(iterations):
+    turn, share = 0, 1.0
+    while share >= STOP_SHARE:
         after = stored(descent(graph, codes, k, turn), "graph")
-        total = lambda g: g.agg(F.sum(F.aggregate("dists", F.lit(0.0), lambda s, x: s + x))).first()[0] or 0.0
-        before, now = total(graph), total(after)
-        graph = after
-        if before - now < STOP_SHARE / 10 * before:
-            break
+        share = changed(graph, after)
+        graph, turn = after, turn + 1
+        log.info("round %d of the descent: %.4f of the lists changed", turn, share)
     return graph
 
 
-def search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int = BEAM) -> DataFrame:
-    """q, x, dist: the vertices in each query's beam when it holds nothing left to expand. starts: q, vec, from (a vertex)."""
+def search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int) -> DataFrame:
+    """q, x, dist: the vertices in each query's beam when it holds nothing left to expand. starts: q, vec, from (vertices)."""
     asked = starts.select("q", F.col("vec").alias("want"))
     asked = F.broadcast(asked) if starts.count() <= BROADCAST_QUERIES else asked
+    starts = starts.select("q", F.explode("from").alias("x")).distinct()
     # both directions of an edge can be walked; of those into a vertex, a bounded sample
     back = Window.partitionBy("w").orderBy(F.xxhash64("w", "x"))
     edges = graph.select(F.col("vertex").alias("w"), F.explode("ids").alias("x"))
@@ -225,7 +255,7 @@ def search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int =
 
         return both.mapInArrow(run, "q long, x long, dist double")
 
-    held = stored(measured(starts.select("q", F.col("from").alias("x")).distinct()).withColumn("done", F.lit(False)), "held")
+    held = stored(measured(starts).withColumn("done", F.lit(False)), "held")
     seen = held.select("q", "x")  # all vertices that a query has met
     order = Window.partitionBy("q").orderBy("dist", "x")
     while True:
@@ -239,19 +269,21 @@ def search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int =
         held = stored(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= beam).select("q", "x", "dist", "done"), "held")
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, n: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = BEAM) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, n: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", beam: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the n nearest rows found for each row of ``queries`` (ids among ``rows``), without itself."""
     rows = stored(usable(rows, id_col, vec_col), "rows")
     own = members(rows, n + 1)
     own = stored(own.select("id", "vec", "rank", "vertex"), "members")
     vectors = stored(own.where("rank = 1").select("vertex", "vec"), "vectors")
-    if vectors.isEmpty():
+    n_vertices = vectors.count()
+    if not n_vertices:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     graph = neighbour_graph(vectors)
+    entries = [r["vertex"] for r in vectors.select("vertex").orderBy(F.xxhash64("vertex"), "vertex").limit(n_vertices.bit_length()).collect()]
     asked = rows.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
     asked = stored(asked.join(vectors.withColumnRenamed("vec", "same"), F.col("vec") == F.col("same")).select(F.col("id").alias("query_id"), "vertex", "vec"), "asked")
-    starts = asked.select(F.col("vertex").alias("q"), "vec", F.col("vertex").alias("from")).dropDuplicates(["q"])
-    found = search(starts, vectors, graph, beam)
+    starts = asked.select(F.col("vertex").alias("q"), "vec", F.array_union(F.array("vertex"), F.lit(entries).cast("array<long>")).alias("from")).dropDuplicates(["q"])
+    found = search(starts, vectors, graph, beam or beam_of(n_vertices))
     near = Window.partitionBy("q").orderBy("dist", "x")
     found = found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= n + 1).select("q", "x", "dist")
     every = asked.select("query_id", F.col("vertex").alias("q")).join(found, "q").join(own.select(F.col("vertex").alias("x"), F.col("id").alias("vec_id")), "x")

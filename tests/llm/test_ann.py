@@ -47,3 +47,20 @@ def test_empty_and_few(spark):
 def test_lists():
     ids, d = ann.nearest(np.array([5, 3, 5, 1]), np.array([0.2, 0.1, 0.2, 0.1], np.float32), 2)
     assert ids.tolist() == [1, 3] and np.allclose(d, 0.1)
+
+
+def test_descent_runs_until_lists_settle(spark, monkeypatch):
+    vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(12)], "vertex long, vec array<double>")
+
+    def slow(graph, codes, k, turn):  # a list that still changes in the seventh round
+        return graph.withColumn("ids", ann.F.array(ann.F.lit(100 + min(turn, 6)).cast("long")))
+
+    monkeypatch.setattr(ann, "descent", slow)
+    assert {r["ids"][0] for r in ann.neighbour_graph(vectors).collect()} == {106}
+
+
+def test_effort_follows_the_vertices():
+    small, large = 51_282, 15_000_000
+    for effort in (ann.rounds_of, ann.pivots_of, ann.beam_of):
+        assert effort(large) > effort(small) >= effort(1000) > 0
+    assert (ann.rounds_of(small), ann.pivots_of(small), ann.beam_of(small)) == (ann.ROUNDS, ann.PIVOTS, ann.BEAM)
