@@ -11,8 +11,8 @@ own vertex and a few entries that all queries share: it keeps a beam of the near
 vertices seen, expands all that are not expanded yet, and stops when the beam holds
 nothing new. First rounds, pivots, entries and beam grow with the number of vertices.
 
-The graph is built on vectors rounded to 8 bits; the search measures original
-vectors in double precision. Vectors that are null, zero or hold null or
+Graph and search measure the original vectors in double precision; they travel as
+floats where that loses nothing. Vectors that are null, zero or hold null or
 non-finite components take no part, nor do those of another length than the
 most frequent one. Ties go to the smaller id; a repeated (id, vector) counts once.
 """
@@ -91,7 +91,7 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def lists(ids: list[np.ndarray], dists: list[np.ndarray]) -> list[pa.Array]:
     at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-    flat = (np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*dists, np.zeros(0, np.float32)]).astype(np.float32))
+    flat = (np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*dists, np.zeros(0)]).astype(float))
     return [pa.ListArray.from_arrays(at, pa.array(x)) for x in flat]
 
 
@@ -103,36 +103,45 @@ def nearest(ids: np.ndarray, dists: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return ids[order], dists[order]
 
 
-def coded(vectors: DataFrame) -> DataFrame:
-    """vertex, code: vectors rounded to signed bytes on one scale."""
-    top = vectors.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0] or 1.0
+def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances along the last axis, without the cancellation of ``squared``."""
+    return ((a - b) ** 2).sum(axis=-1)
+
+
+def packed(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """vertex, code: the components as bytes, and their type: floats if no component changes by that, else doubles."""
+    kind = "<f4" if vectors.where(F.exists("vec", lambda x: x.cast("float").cast("double") != x)).isEmpty() else "<f8"
 
     def run(batches):
         for batch in batches:
-            m = np.round(matrix(batch.column(1)) * (127 / top)).astype(np.int8)
+            m = matrix(batch.column(1)).astype(kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in m], pa.binary())], ["vertex", "code"])
 
-    return vectors.select("vertex", "vec").mapInArrow(run, "vertex long, code binary")
+    return vectors.select("vertex", "vec").mapInArrow(run, "vertex long, code binary"), kind
 
 
-def codes_of(column) -> np.ndarray:
-    """Signed bytes of equally long values, as a float matrix."""
-    values = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    if not values:
-        return np.zeros((0, 1), np.float32)
-    return np.frombuffer(b"".join(values), np.int8).reshape(len(values), -1).astype(np.float32)
+def unpacked(column, kind: str) -> np.ndarray:
+    """The matrix of equally long values; of an Arrow column without a copy."""
+    if not len(column):
+        return np.zeros((0, 1), kind)
+    if not isinstance(column, pa.Array):
+        return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind).reshape(len(column), -1)
 
 
-def first_graph(codes: DataFrame, k: int) -> DataFrame:
+def first_graph(codes: DataFrame, kind: str, k: int) -> DataFrame:
     """vertex, ids, dists from comparisons within blocks."""
     n = codes.count()
     rounds = rounds_of(n)
     pivots = [codes.orderBy(F.xxhash64("vertex", F.lit(r)), "vertex").limit(pivots_of(n)) for r in range(rounds)]
-    pivots = [codes_of([bytes(x["code"]) for x in p.collect()]) for p in pivots]
+    pivots = [unpacked([bytes(x["code"]) for x in p.collect()], kind).astype(float) for p in pivots]
 
     def cells(batches):
         for batch in batches:
-            m = codes_of(batch.column(1))
+            m = unpacked(batch.column(1), kind).astype(float)
             near = [pa.array(squared(m, p).argmin(axis=1).astype(np.int32)) for p in pivots]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *near], ["vertex", "code", *(f"c{r}" for r in range(rounds))])
 
@@ -142,16 +151,18 @@ def first_graph(codes: DataFrame, k: int) -> DataFrame:
     dealt = dealt.join(F.broadcast(size), ["round", "cell"]).withColumn("block", F.pmod(F.xxhash64("vertex", "round"), F.col("blocks")))  # one row a pivot
 
     def compare(group):
-        ids, m = group["vertex"].to_numpy(), codes_of(group["code"])
+        ids, m = group["vertex"].to_numpy(), unpacked(group["code"], kind).astype(float)
         keep = min(k, len(ids) - 1)
-        d = squared(m, m)
+        mid = m - np.median(m, axis=0)
+        d = squared(mid, mid)
         np.fill_diagonal(d, np.inf)
         near = np.argpartition(d, keep - 1, axis=1)[:, :keep] if keep else np.zeros((len(ids), 0), int)
+        dists = np.stack([exact(m, m[x]) for x in near.T], axis=1) if keep else np.zeros((len(ids), 0))
         import pandas as pd
 
-        return pd.DataFrame({"vertex": ids, "ids": list(ids[near]), "dists": list(np.take_along_axis(d, near, axis=1).astype(np.float32))})
+        return pd.DataFrame({"vertex": ids, "ids": list(ids[near]), "dists": list(dists)})
 
-    found = dealt.groupBy("round", "cell", "block").applyInPandas(compare, "vertex long, ids array<long>, dists array<float>")
+    found = dealt.groupBy("round", "cell", "block").applyInPandas(compare, "vertex long, ids array<long>, dists array<double>")
     return merged(found.groupBy("vertex").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("dists")).alias("dists")), k)
 
 
@@ -165,16 +176,16 @@ def merged(lists_: DataFrame, k: int) -> DataFrame:
             best = [nearest(ids[a:b], dists[a:b], k) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists([x for x, _ in best], [x for _, x in best])], ["vertex", "ids", "dists"])
 
-    return lists_.select("vertex", "ids", "dists").mapInArrow(run, "vertex long, ids array<long>, dists array<float>")
+    return lists_.select("vertex", "ids", "dists").mapInArrow(run, "vertex long, ids array<long>, dists array<double>")
 
 
-def descent(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFrame:
+def descent(graph: DataFrame, codes: DataFrame, kind: str, k: int, turn: int) -> DataFrame:
     """One round of NN-descent: neighbours of a vertex are proposed to each other."""
     out = graph.select(F.col("vertex").alias("v"), F.explode("ids").alias("u"))
     back = Window.partitionBy("v").orderBy(F.xxhash64("v", "u", F.lit(turn)))
     into = out.select(F.col("u").alias("v"), F.col("v").alias("u")).withColumn("rank", F.row_number().over(back)).where(F.col("rank") <= REVERSE).drop("rank")
     around = out.unionByName(into).unionByName(graph.select(F.col("vertex").alias("v"), F.col("vertex").alias("u"))).distinct()
-    worst = graph.select(F.col("vertex").alias("u"), F.when(F.size("ids") >= k, F.element_at("dists", -1)).otherwise(F.lit(float("inf")).cast("float")).alias("worst"))
+    worst = graph.select(F.col("vertex").alias("u"), F.when(F.size("ids") >= k, F.element_at("dists", -1)).otherwise(F.lit(float("inf"))).alias("worst"))
     known = codes.withColumnRenamed("vertex", "u").join(worst, "u")
     groups = around.join(known, "u").groupBy("v").agg(F.collect_list(F.struct("u", "code", "worst")).alias("near"))  # at most 1 + K + REVERSE each
 
@@ -182,16 +193,18 @@ def descent(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFrame:
         for batch in batches:
             near = batch.column(1)
             at, fields = near.offsets.to_numpy(), near.values
-            ids, worst, m = fields.field("u").to_numpy(), fields.field("worst").to_numpy(), codes_of(fields.field("code"))
+            ids, worst, m = fields.field("u").to_numpy(), fields.field("worst").to_numpy(), unpacked(fields.field("code"), kind)
             who, what, how = [], [], []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                d = squared(m[a:b], m[a:b])
+            for v, a, b in zip(batch.column(0).to_numpy(), at[:-1], at[1:], strict=True):
+                raw = m[a:b].astype(float)
+                own = raw - raw[ids[a:b] == v]  # around the vertex nothing cancels
+                d = squared(own, own)
                 np.fill_diagonal(d, np.inf)
                 keep = min(PROPOSALS, b - a - 1)
                 if keep < 1:
                     continue
                 best = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                far = np.take_along_axis(d, best, axis=1)
+                far = exact(raw[:, None], raw[best])
                 row, col = np.nonzero(far < worst[a:b, None])
                 who.append(ids[a + row])
                 what.append(ids[a + best[row, col]])
@@ -203,14 +216,14 @@ def descent(graph: DataFrame, codes: DataFrame, k: int, turn: int) -> DataFrame:
             who, what, how = who[order], what[order], how[order]
             new = np.ones(len(who), bool)
             new[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
-            who, what, how = who[new], what[new], how[new].astype(np.float32)
+            who, what, how = who[new], what[new], how[new]
             start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
             bound = np.append(start, len(who)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(who[start]), pa.ListArray.from_arrays(pa.array(bound), pa.array(what)), pa.ListArray.from_arrays(pa.array(bound), pa.array(how))], ["vertex", "ids", "dists"]
             )
 
-    proposed = groups.mapInArrow(run, "vertex long, ids array<long>, dists array<float>")
+    proposed = groups.mapInArrow(run, "vertex long, ids array<long>, dists array<double>")
     every = graph.unionByName(merged(proposed, k)).groupBy("vertex").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("dists")).alias("dists"))
     return merged(every, k)
 
@@ -223,11 +236,12 @@ def changed(before: DataFrame, after: DataFrame) -> float:
 
 def neighbour_graph(vectors: DataFrame, k: int = K) -> DataFrame:
     """vertex, ids, dists: about the K nearest vertices of each. Lists only ever improve, so that the rounds end."""
-    codes = stored(coded(vectors), "codes")
-    graph = stored(first_graph(codes, k), "graph")
+    codes, kind = packed(vectors)
+    codes = stored(codes, "codes")
+    graph = stored(first_graph(codes, kind, k), "graph")
     turn, share = 0, 1.0
     while share >= STOP_SHARE:
-        after = stored(descent(graph, codes, k, turn), "graph")
+        after = stored(descent(graph, codes, kind, k, turn), "graph")
         share = changed(graph, after)
         graph, turn = after, turn + 1
         log.info("round %d of the descent: %.4f of the lists changed", turn, share)

@@ -52,7 +52,7 @@ def test_lists():
 def test_descent_runs_until_lists_settle(spark, monkeypatch):
     vectors = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(12)], "vertex long, vec array<double>")
 
-    def slow(graph, codes, k, turn):  # a list that still changes in the seventh round
+    def slow(graph, codes, kind, k, turn):  # a list that still changes in the seventh round
         return graph.withColumn("ids", ann.F.array(ann.F.lit(100 + min(turn, 6)).cast("long")))
 
     monkeypatch.setattr(ann, "descent", slow)
@@ -64,3 +64,20 @@ def test_effort_follows_the_vertices():
     for effort in (ann.rounds_of, ann.pivots_of, ann.beam_of):
         assert effort(large) > effort(small) >= effort(1000) > 0
     assert (ann.rounds_of(small), ann.pivots_of(small), ann.beam_of(small)) == (ann.ROUNDS, ann.PIVOTS, ann.BEAM)
+
+
+def test_huge_row_and_dense_cluster(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=6)
+    points = [*rng.normal(size=(300, 6)), *(base + 1e-4 * rng.normal(size=(900, 6))), np.full(6, 1e6)]
+    data = [(k, [float(np.float32(x)) for x in p], "x", 1, 0) for k, p in enumerate(points)]
+    asked = [*range(0, 1200, 60), 1200]
+    docs = table(spark, data)
+    got = ann.nearest_neighbours(docs, docs.where(docs["vec_id"].isin(asked)))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got.collect()) == brute(data, asked, 10)
+
+
+def test_packed_keeps_doubles(spark):
+    for value, kind in ((0.5, "<f4"), (0.1, "<f8"), (1e300, "<f8")):
+        codes, found = ann.packed(spark.createDataFrame([(1, [value, 1.0])], "vertex long, vec array<double>"))
+        assert found == kind and ann.unpacked([bytes(codes.first()["code"])], kind).tolist() == [[value, 1.0]]
