@@ -28,7 +28,7 @@ def keyed(universe: DataFrame) -> DataFrame:
 def overlap_pvalues(universe: DataFrame, sampled: DataFrame, methods: int) -> DataFrame:
     """KEYS, chrom, p_value of sampled candidates (KEYS, method, chrom, pos); only units that a sample hits are grouped.
 
-    The number of universe units is counted once, not for each replicate.
+    Chromosomes without any sampled unit have no row here; ``calibrate_overlap`` adds them. The number of universe units is counted once, not for each replicate.
     """
     by = ("scenario", "universe_id")
     total = universe.groupBy(*by, "chrom").agg(F.countDistinct("pos").alias("n_units"))
@@ -44,7 +44,9 @@ def overlap_pvalues(universe: DataFrame, sampled: DataFrame, methods: int) -> Da
 def calibrate_overlap(universe: DataFrame, counts: DataFrame, methods: int, replicates: int, seed: int, window: int = 1, test: Callable[[DataFrame, DataFrame, int], DataFrame] = overlap_pvalues) -> DataFrame:
     """P-values of candidate sets of the given sizes (method, chrom, n), drawn from the units of each universe; ``test`` may be any test over replicates.
 
-    With windows, as many windows are drawn as there were sites, at most all.
+    With windows, as many windows are drawn as there were sites, at most all. Each
+    replicate has a row for every chromosome of the universe, with p = 1 where
+    nothing could be drawn.
     """
     universe = keyed(universe)
     out = None
@@ -54,7 +56,9 @@ def calibrate_overlap(universe: DataFrame, counts: DataFrame, methods: int, repl
         units = with_units(one, one, window).select("chrom", F.col("unit").alias("pos")).distinct()
         tag = {"scenario": F.lit(g["scenario"]), "universe_id": F.lit(g["universe_id"])}
         drawn = sample_without_replacement(units, counts, replicates, seed + g["universe_id"]).withColumns(tag)
-        part = test(units.withColumns(tag), drawn, methods)
+        tested = test(units.withColumns(tag), drawn, methods)
+        grid = chromosomes(one).select("chrom", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumns(tag)
+        part = grid.join(tested, [*KEYS, "chrom"], "left").select(*KEYS, "chrom", F.coalesce("p_value", F.lit(1.0)).alias("p_value"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -169,6 +169,21 @@ def test_calibration_near_alpha(spark):
     assert len(d) == 20 and all(1 / 51 <= r["p_value"] <= 1 for r in d) and all(r["p_value"] == 1 for r in d if r["chrom"] == 2)
 
 
+def test_calibration_counts_empty_chromosomes(spark):
+    u = uni(spark, range(50)).union(uni(spark, range(40), 2)).union(uni(spark, range(30), 5))
+    n = spark.createDataFrame([(m, 1, 10) for m in (1, 2)], "method int, chrom int, n long")
+    p = calibrate.calibrate_overlap(u, n, 2, 4, 3)
+    assert sorted((r["replicate"], r["chrom"]) for r in p.collect()) == [(r, c) for r in range(1, 5) for c in range(1, 6)]
+    assert all(r["p_value"] == 1 for r in p.collect() if r["chrom"] > 1)
+    rates = {r["chrom"]: (r["n"], r["positives"]) for r in calibrate.fp_rates(p, 0.5).where("universe_id is null").collect()}
+    assert rates[None][0] == 20 and all(rates[c] == (4, 0) for c in range(2, 6))
+    summary_row = calibrate.fp_summary(calibrate.fp_rates(p, 0.5)).first()
+    assert (summary_row["chrom_min"], summary_row["chrom_median"]) == (0, 0)
+    assert calibrate.fp_top_chromosomes(calibrate.fp_rates(p, 0.5)).count() == 5
+    none = calibrate.calibrate_overlap(u, n.where("chrom > 1"), 2, 4, 3)
+    assert none.count() == 20 and none.where("p_value < 1").isEmpty()
+
+
 def test_readers(spark, tmp_path):
     def write(name, text):
         (tmp_path / name).write_text(text)
