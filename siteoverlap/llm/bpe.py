@@ -12,6 +12,9 @@ descends from it: after a lookahead bounded by the longest token. So pre-tokens
 of any length cost linear time and bounded memory.
 
 Null and empty texts encode to no ids. Caches are bounded and rebuilt when full.
+Repeated rows give repeated rows, an empty table an empty one; there are no ties,
+because a text has one encoding. Only the id and text columns are read, so others
+may have any name.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark.sql import DataFrame
 
 from .textio import map_texts
 
-#: States and whole pre-tokens that a worker remembers at most.
-MAX_STATES, MAX_WORDS = 250_000, 300_000
+#: States, neighbouring tokens for each state, and whole pre-tokens that a worker remembers at most.
+MAX_STATES, MAX_APART, MAX_WORDS = 60_000, 3, 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -101,7 +104,7 @@ class Transducer:
         """Whether no merge ever crosses the border of two neighbouring tokens."""
         got = self.apart.get((a, b))
         if got is None:
-            if len(self.apart) >= 4 * self.max_states:
+            if len(self.apart) >= MAX_APART * self.max_states:
                 self.apart.clear()
             (left, left_when), (right, right_when) = self.edge(a)[1], self.edge(b)[0]
             i = j = 0

@@ -6,21 +6,28 @@
    threshold must share a token with. Texts with equal sets are one vertex from
    here on. Tokens that a sample finds in many texts come last in the order of
    the prefixes; any order gives the same links.
-2. Each prefix token has a centre, the smallest vertex that has it; all vertices
-   that share a token with a centre at its own tokens form the centre's block.
-   They are first held against the centre, which joins most of a group of copies.
-3. Blocks that still hold vertices of several components are searched by
-   signature trees: nodes hold the OR of their bitmaps and the range of sizes,
-   and a dual traversal drops pairs of nodes whose largest possible overlap is
-   too small, or whose vertices are all linked already. Large blocks are dealt
-   out as pairs of parts.
-4. What remains is verified on the whole sets; components follow by the
-   alternating star algorithm.
-
-No link between different texts is lost: all bounds are upper bounds, and pairs
-are left out only where both ends are in one component already. Texts are
-compared by 64-bit hashes. Null, empty and blank texts have no shingles and no
-links. Repeated rows keep their rows and share a component.
+2. Prefix tokens only deal the vertices to blocks: a token's centre is the smallest
+   vertex that has it, and all vertices that share a token with a centre at its own
+   tokens form the centre's block. Linked vertices always share a block.
+3. Signature trees find the candidates. Nodes hold the OR of their bitmaps and the
+   range of sizes; a dual traversal drops pairs of nodes whose largest possible
+   overlap is too small, or whose vertices are all linked already. A block yields all
+   its candidates if they are few; of many, each vertex first gets two, its likeliest
+   partner and the hub, the partner with the most candidates. A block of more than
+   ``PART`` vertices is dealt to several trees by a hash.
+4. Candidates are verified on the whole sets; components follow by the alternating
+   star algorithm. Blocks not searched in full go on with one representative of each
+   component, as long as that finds links. Last, trees are held against each other:
+   all pairs of parts of a block but those of one component or without a common range
+   of sizes. So the pairs left out are those of one component, and no link between
+   different texts is lost.
+
+Texts are compared by 64-bit hashes. Null, empty and blank texts have no shingles
+and no links. Repeated rows keep their rows and share a component; ties (equal
+similarity, equal ids) have no influence on components. A very long text costs
+memory in proportion to its length (a few dozen bytes a word). An empty table gives
+an empty one. Rows without an id get the component's smallest id. Only the id and
+text columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,18 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textio import buffers, map_texts, stored, without
+from .textio import BROADCAST_ROWS, bounded, buffers, map_texts, stored, text_column
 
 #: About so many texts are counted to find tokens that many texts have; in how many of them such a token is, and how many are noted at most.
 SAMPLE_TEXTS, SAMPLE_LEAST, MOST_FREQUENT = 10_000, 3, 200_000
-#: Vertices of a block that one task searches; more are dealt out as pairs of parts.
+#: Vertices of a tree; larger blocks are dealt to several trees.
 PART = 2048
+#: A tree's candidates count as few up to so many for each of its vertices.
+FEW_PAIRS = 4
 #: Vertices of a tree's lowest nodes, children of the others.
 BUCKET, FANOUT = 32, 8
-#: Blocks up to this size are compared without a tree.
-FEW = 12
-#: Rows that may be broadcast (of 8 to 16 bytes); beyond that, a shuffle join.
-BROADCAST_ROWS = 500_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -164,19 +169,23 @@ def frequent_tokens(docs: DataFrame, id_col: str, text_col: str, k: int) -> np.n
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """id, n, vertex (null without shingles), prefix, bits."""
+    """id, mark (hash of the text), n, vertex (null without shingles), prefix, bits."""
 
     def start():
-        def work(ids, texts):
+        def work(texts):
             sets = shingle_sets(texts, k)
-            return {
-                "id": ids, "n": [len(s) for s in sets], "vertex": [fingerprint(s) if len(s) else None for s in sets],
-                "prefix": lists([prefix(s, frequent, percent) if len(s) else s for s in sets]), "bits": [bitmap(s) if len(s) else None for s in sets],
-            }
+            return pa.StructArray.from_arrays(
+                [
+                    pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()),
+                    lists([prefix(s, frequent, percent) if len(s) else s for s in sets]), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                ],
+                names=["n", "vertex", "prefix", "bits"],
+            )
 
         return work
 
-    return map_texts(docs, id_col, text_col, start, "id long, n int, vertex long, prefix array<long>, bits binary")
+    made = text_column(docs, text_col, start, "struct<n:int,vertex:long,prefix:array<long>,bits:binary>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), made.alias("made")).select("id", "mark", "made.*")
 
 
 def overlap_needed(a: int, b: int, percent: int) -> int:
@@ -219,14 +228,14 @@ def tree(first: int, last: int, *of: np.ndarray) -> Node:
     return nodes[0]
 
 
-def tree_pairs(rows: list[tuple], percent: int, best: bool = False) -> list[tuple[int, int]]:
-    """Pairs of vertices that may link and are in different components; with ``best`` only the likeliest partner of each vertex.
+def tree_pairs(rows: list[tuple], percent: int, few: int | None = None) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of vertices that may link and are in different components, and whether these are all.
 
     rows: (vertex, n, bits, component, part); only pairs of different parts, or
-    any pairs where all rows are of one part.
+    any pairs where all rows are of one part. More than ``few`` pairs for each row
+    are not all given: each vertex gets its likeliest partner and its hub.
     """
-    out: list[tuple[int, int]] = []
-    likeliest: dict[int, tuple[int, int]] = {}
+    pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     parts = {r[4] for r in rows}
     many = Counter(r[3] for r in rows)
     for length in sorted({len(r[2]) for r in rows}):
@@ -240,7 +249,7 @@ def tree_pairs(rows: list[tuple], percent: int, best: bool = False) -> list[tupl
         doubled = n - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
         edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
         roots = [tree(a, b, maps, n, doubled, component) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        todo = [(roots[0], roots[0])] if len(parts) == 1 else [(roots[0], roots[1])] if len(roots) > 1 else []
+        todo = [(roots[0], roots[0])] if len(parts) == 1 else [(x, y) for k, x in enumerate(roots) for y in roots[:k]]
         while todo:
             x, y = todo.pop()
             if x.component is not None and x.component == y.component:
@@ -257,44 +266,46 @@ def tree_pairs(rows: list[tuple], percent: int, best: bool = False) -> list[tupl
                 ok &= 100 * np.minimum(n[i, None], n[None, j]) >= percent * np.maximum(n[i, None], n[None, j])
                 if x is y:
                     ok = np.triu(ok, 1)
-                for p, q in np.argwhere(ok):
-                    v, w, s = int(vertex[i][p]), int(vertex[j][q]), int(spare[p, q])
-                    if best:
-                        likeliest[v] = max(likeliest.get(v, (-1, 0)), (s, w))
-                        likeliest[w] = max(likeliest.get(w, (-1, 0)), (s, v))
-                    else:
-                        out.append((min(v, w), max(v, w)))
+                if ok.any():
+                    p, q = np.nonzero(ok)
+                    pairs.append((vertex[i][p], vertex[j][q], spare[p, q].astype(np.int32)))
             elif x is y:
                 todo += [(x.children[i], x.children[j]) for i in range(len(x.children)) for j in range(i, len(x.children))]
             elif y.rows is not None or (x.rows is None and x.high - x.low >= y.high - y.low):
                 todo += [(c, y) for c in x.children]
             else:
                 todo += [(x, c) for c in y.children]
-    return sorted({(min(v, w), max(v, w)) for v, (_, w) in likeliest.items()}) if best else out
-
-
-def few_pairs(rows: list[tuple], percent: int, best: bool) -> list[tuple[int, int]]:
-    """As ``tree_pairs``, for blocks that are a single bucket: each pair by the bound of ``may_link``."""
+    if not pairs:
+        return [], True
+    a, b, spare = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+    whole = few is None or len(a) <= few * len(rows)
+    if not whole:
+        a, b = chosen(a, b, spare)
+    return sorted(set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True))), whole
+
+
+def chosen(a: np.ndarray, b: np.ndarray, spare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of many pairs two for each vertex: its likeliest partner, and the partner that has the most pairs."""
+    v, w, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([spare, spare])
+    names, place, degree = np.unique(v, return_inverse=True, return_counts=True)
+    busy = degree[np.searchsorted(names, w)]
     out = []
-    one_part = len({r[4] for r in rows}) == 1
-    for k, (v, nv, bv, cv, pv) in enumerate(rows):
-        for w, nw, bw, cw, pw in rows[:k]:
-            if cv != cw and (one_part or pv != pw) and may_link(nv, bv, nw, bw, percent):
-                out.append((min(v, w), max(v, w)))
-    return out
+    for weight in (s, busy):
+        order = np.lexsort((w, -weight, place))
+        first = order[np.flatnonzero(np.concatenate([[True], place[order][1:] != place[order][:-1]]))]
+        out.append((v[first], w[first]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) of vertices that link, by their whole sets.
 
-    The sets are made again from the texts of one row for each vertex needed.
+    The sets are made again from the text of one row for each vertex needed.
     """
     need = pairs.select(F.col("a").alias("vertex")).union(pairs.select(F.col("b"))).distinct()
-    need = stored(need.join(vertices, "vertex").select(F.col("vertex").alias("want"), "one"), "need")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ids = need.select("one").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    texts = texts.join(ids, F.col("id").eqNullSafe(F.col("one")), "left_semi")
+    need = bounded(need.join(vertices, "vertex").select(F.col("vertex").alias("want"), "one"), "need")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"), F.col(text_col).alias("text"))
+    texts = texts.join(need, (F.col("mark") == F.col("one.mark")) & F.col("id").eqNullSafe(F.col("one.id")), "left_semi")
 
     def start():
         def work(_, texts):
@@ -303,7 +314,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str
 
         return work
 
-    sets = map_texts(texts, "id", "text", start, "vertex long, tokens binary").where("vertex is not null").join(need, F.col("vertex") == F.col("want"), "left_semi")
+    sets = map_texts(texts, "id", "text", start, "vertex long, tokens binary").where("vertex is not null")
     sets = stored(sets.dropDuplicates(["vertex"]), "sets")
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
@@ -322,96 +333,142 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str
 def components(links: DataFrame) -> DataFrame:
     """vertex, component (its smallest vertex) of all vertices of the links (a, b); alternating large and small stars."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    before, n = None, edges.count()
     while True:
+        few = (lambda t: F.broadcast(t)) if n <= BROADCAST_ROWS // 2 else (lambda t: t)  # at most 2 n rows of two numbers
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.where("v > u").join(few(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
+        small = large.join(few(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct()
         edges = stored(small, "edges")
         now = tuple(edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
-        before = now
-
-
-def searched(held: DataFrame, parts: DataFrame, vertices: DataFrame, percent: int, best: bool) -> DataFrame:
-    """a, b: pairs of different components in the same block that the signature trees let pass."""
-    # a vertex whose neighbours by size in the block are too small or too large has no partner there
-    by_size = Window.partitionBy("centre").orderBy("n", "vertex")
-    before, after = 100 * F.lag("n").over(by_size) >= percent * F.col("n"), 100 * F.col("n") >= percent * F.lead("n").over(by_size)
-    near = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
-    open_ = held.select("centre", "vertex", "n", near.alias("near")).where("near")
-    open_ = open_.join(parts, "vertex", "left").select("centre", "vertex", F.coalesce("component", "vertex").alias("component"))
-    size = open_.groupBy("centre").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = open_.join(size.select("centre", F.ceil(F.col("m") / PART).cast("int").alias("parts")), "centre")
-    rows = rows.join(vertices.select("vertex", "n", "bits"), "vertex").withColumn("part", F.pmod(F.xxhash64("vertex"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "centre", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "vertex", "n", "bits", "component"
-    )
+        before, n = now, now[0]
+
+
+#: What the trees get of each vertex.
+FIELDS = ("vertex", "n", "bits", "component", "part")
 
-    fields = ("vertex", "n", "bits", "component", "part")
-    groups = rows.groupBy("centre", "i", "j").agg(F.collect_list(F.struct(*fields)).alias("members"))  # at most about 2 * PART of them
+
+def searched(groups: DataFrame, percent: int, few: int | None) -> DataFrame:
+    """a, b, open: candidates of each group (centre, members), and the centres of groups that have more of them."""
 
     def search(batches):
         for batch in batches:
             found: set[tuple[int, int]] = set()
-            at, members = batch.column(0).offsets.to_numpy(), batch.column(0).values
-            flat = list(zip(*(members.field(f).to_pylist() for f in fields), strict=True))
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                found.update(few_pairs(flat[a:b], percent, best) if b - a <= FEW else tree_pairs(flat[a:b], percent, best))
+            more = []
+            at, members = batch.column(1).offsets.to_numpy(), batch.column(1).values
+            flat = list(zip(*(members.field(f).to_pylist() for f in FIELDS), strict=True))
+            for centre, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                pairs, whole = tree_pairs(flat[a:b], percent, few)
+                found.update(pairs)
+                more += [] if whole else [centre]
             pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            none = pa.nulls(len(more), pa.int64())
+            cols = [pa.concat_arrays([pa.array(pairs[:, k]), none]) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(more, pa.int64())])], ["a", "b", "open"])
 
-    return groups.select("members").mapInArrow(search, "a long, b long").distinct()
+    return groups.select("centre", "members").mapInArrow(search, "a long, b long, open long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_shingles, component_id (smallest id reachable by links, its own included)."""
-    frequent = frequent_tokens(docs, id_col, text_col, k)
-    sig = stored(signatures(docs, id_col, text_col, k, percent, frequent), "signatures")
-    vertices = stored(sig.where("vertex is not null").groupBy("vertex").agg(F.min("id").alias("one"), F.first("n").alias("n"), F.first("bits").alias("bits")), "vertices")
+def grouped(rows: DataFrame, vertices: DataFrame, *more: str) -> DataFrame:
+    """centre, members: the rows (centre, vertex, component, part) of each centre and columns ``more`` with what trees need."""
+    rows = rows.join(vertices.select("vertex", "n", "bits"), "vertex")
+    return rows.groupBy("centre", *more).agg(F.collect_list(F.struct(*FIELDS)).alias("members")).where(F.size("members") > 1)
 
-    tokens = sig.where("vertex is not null").select(F.explode("prefix").alias("token"), "vertex", F.col("n").cast("long").alias("n"))
-    least = F.min(F.struct("vertex", "n")).over(Window.partitionBy("token"))
-    held = tokens.withColumn("least", least).where("vertex <> least.vertex").select(F.col("least.vertex").alias("centre"), F.col("least.n").alias("size"), "vertex", "n").distinct()
-    held = stored(held, "held")
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        a, b = (vertices.select(F.col("vertex").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
-        both = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "bitsa", "nb", "bitsb")
+def dealt(rows: DataFrame, vertices: DataFrame, turn: int) -> DataFrame:
+    """Groups of about ``PART`` vertices of a block, by a hash that differs from turn to turn. rows: centre, vertex, component."""
+    size = rows.groupBy("centre").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    large = bounded(size.where("parts > 1"), "large")
+    tree_of = F.coalesce(F.pmod(F.xxhash64("vertex", F.lit(turn)), F.col("parts")), F.lit(0)).cast("int")
+    rows = rows.join(large, "centre", "left").select("centre", "vertex", "component", tree_of.alias("tree"), F.lit(0).alias("part"))
+    return grouped(rows, vertices, "tree")
 
-        def run(batches):
-            for batch in batches:
-                keep = [may_link(*row, percent) for row in zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return both.mapInArrow(run, "a long, b long")
+def held_apart(rows: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+    """Groups of two parts of a block that may hold a link between different components. rows: centre, vertex, component.
 
-    stars = held.where(100 * F.least("n", "size") >= percent * F.greatest("n", "size")).select(F.col("centre").alias("a"), F.col("vertex").alias("b"))
-    links = stored(verified(stored(bounded(stars), "stars"), vertices.select("vertex", "one"), docs, id_col, text_col, k, percent), "links")
+    A component of more than ``PART`` vertices has parts of its own, the others share
+    parts; nothing is compared within a component.
+    """
+    rows = rows.join(vertices.select("vertex", "n"), "vertex")
+    own = rows.groupBy("centre", "component").agg(F.count("*").alias("m"))
+    total = own.groupBy("centre").agg(F.sum(F.when(F.col("m") <= PART, F.col("m"))).alias("rest"), F.count("*").alias("several")).where("several > 1")
+    large = bounded(own.where(F.col("m") > PART), "large")
+    rows = rows.join(large, ["centre", "component"], "left").join(bounded(total, "total"), "centre")
+    pure = F.when(F.col("m").isNotNull(), F.col("component"))
+    sub = F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("vertex"), F.ceil(F.col("m") / PART))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / PART)))
+    rows = stored(rows.select("centre", "vertex", "component", "n", pure.alias("pure"), F.xxhash64(pure, sub).alias("part")), "dealt")
+    parts = stored(rows.groupBy("centre", "part", "pure").agg(F.min("n").alias("low"), F.max("n").alias("high")), "parts")
+    a, b = (parts.select("centre", *(F.col(c).alias(f"{c}_{x}") for c in ("part", "pure", "low", "high"))) for x in "ab")
+    pairs = a.join(b, "centre").where("part_a <= part_b and not (pure_a <=> pure_b and pure_a is not null)")
+    pairs = pairs.where((100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))).select("centre", "part_a", "part_b")
+    sides = pairs.select("centre", "part_a", "part_b", F.explode(F.array_distinct(F.array("part_a", "part_b"))).alias("part"))
+    return grouped(rows.select("centre", "vertex", "component", "part").join(sides, ["centre", "part"]), vertices, "part_a", "part_b")
+
+
+def classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures (id, mark, n, vertex, ...), and vertex, keeper of all vertices that several rows or links have; keeper is the struct (id, mark) of the row that is kept."""
+    frequent = frequent_tokens(docs, id_col, text_col, k)
+    sig = stored(signatures(docs, id_col, text_col, k, percent, frequent), "signatures")
+    one = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    vertices = stored(sig.where("vertex is not null").groupBy("vertex").agg(F.min(one).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "vertices")
+
+    tokens = sig.where("vertex is not null").select(F.explode("prefix").alias("token"), "vertex")
+    shared = tokens.groupBy("token").agg(F.min("vertex").alias("centre"), F.max("vertex").alias("last")).where("centre <> last").select("token", "centre")
+    blocks = stored(tokens.join(bounded(shared, "shared"), "token").select("centre", "vertex").distinct(), "blocks")
+
+    alone = blocks.select("centre", "vertex", F.col("vertex").alias("component"))
+    first = stored(searched(dealt(alone, vertices, 0), percent, FEW_PAIRS), "searched")
+    links = stored(verified(first.where("a is not null").select("a", "b").distinct(), vertices, docs, id_col, text_col, k, percent), "links")
     parts = components(links)
 
-    for best in (True, False):  # the likeliest partners first: they join most of what is left
-        more = stored(searched(held, parts, vertices, percent, best), "more")
-        if more.isEmpty():
-            break
-        links = stored(links.union(verified(more, vertices.select("vertex", "one"), docs, id_col, text_col, k, percent)), "links")
-        parts = components(links)
-
-    labelled = sig.select("id", "n", "vertex").join(parts, "vertex", "left").select("id", "n", F.coalesce("component", "vertex").alias("component"))
-    smallest = labelled.where("component is not null").groupBy("component").agg(F.min("id").alias("smallest"))
-    return labelled.join(smallest, "component", "left").select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id")
+    open_ = first.where("open is not null").select(F.col("open").alias("centre")).union(blocks.groupBy("centre").count().where(F.col("count") > PART).select("centre")).distinct()
+    open_ = bounded(open_, "open")
+    if not open_.isEmpty():
+        rest = stored(blocks.join(open_, "centre", "left_semi"), "rest")
+        turn, found = 1, True
+        while True:
+            rows = rest.join(parts, "vertex", "left").select("centre", "vertex", F.coalesce("component", "vertex").alias("component"))
+            if not found:
+                more = searched(held_apart(rows, vertices, percent), percent, None)
+            else:
+                some = rows.groupBy("centre", "component").agg(F.min_by("vertex", F.xxhash64("vertex", F.lit(turn))).alias("vertex"))
+                more = searched(dealt(some, vertices, turn), percent, FEW_PAIRS)
+            more = stored(more.where("a is not null").select("a", "b").distinct(), "more")
+            new = stored(verified(more, vertices, docs, id_col, text_col, k, percent), "new")
+            last, found, turn = not found, not new.isEmpty(), turn + 1
+            if found:
+                links = links.union(new)
+                parts = components(links)
+            if last:
+                break
+
+    keepers = parts.join(vertices.select("vertex", "one"), "vertex").groupBy("component").agg(F.min("one").alias("keeper"))
+    linked = parts.join(bounded(keepers, "keepers"), "component").select("vertex", "keeper")
+    copied = vertices.where("copies > 1").select("vertex", F.col("one").alias("keeper")).join(linked.select("vertex"), "vertex", "left_anti")
+    return sig, bounded(linked.unionByName(copied), "kept")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, n_shingles, component_id (smallest id reachable by links, its own included)."""
+    sig, kept = classes(docs, k, percent, id_col, text_col)
+    return sig.select("id", "n", "vertex").join(kept, "vertex", "left").select(
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("keeper.id", "id").alias("component_id")
     )
 
 
 def first_of_each_class(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the smallest id of their class; texts without shingles and rows without an id are all kept.
+    """The rows that are the first of their class: the smallest id, at equal ids the smallest hash of the text, without an id last.
 
-    Rows that share an id stay or go together.
+    Texts without shingles are all kept. Rows equal in id and text are one document
+    and stay together.
     """
-    classes = near_duplicates(docs, k, percent, id_col, text_col)
-    return without(docs, id_col, classes.where(F.col("component_id") != F.col(id_col)).select(id_col))
+    sig, kept = classes(docs, k, percent, id_col, text_col)
+    gone = sig.join(kept, "vertex").where(~(F.col("keeper.id").eqNullSafe(F.col("id")) & (F.col("keeper.mark") == F.col("mark"))))
+    gone = bounded(gone.select(F.col("id").alias("gone id"), F.col("mark").alias("gone mark")).distinct(), "gone")
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("gone mark")), "left_anti")

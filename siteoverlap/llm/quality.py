@@ -5,26 +5,31 @@ each filter's response is max-pooled over overlapping chunks that together cover
 the whole text. The mean, largest and smallest chunk responses of a document go
 to a logistic layer that gives one probability.
 
-Training uses a bounded sample (``SAMPLE_ROWS`` labelled rows, by a hash of the
-id; of a sampled text at most ``SAMPLE_CHUNKS`` chunks train the filters, and
-whole texts train the last layer). Scoring reads whole texts. For scoring the
-filters are compiled to tables over byte pairs, so a position costs three reads.
-
-Null and empty texts are scored as padding. Without labels every score is 0.5.
+Training uses a bounded sample: at most ``SAMPLE_ROWS`` labelled documents, by a
+hash of the id, each with its whole text. Nothing but the bytes of a text goes into
+its score. Scoring reads whole texts; the filters are compiled to tables over byte
+pairs, so a position costs three reads. A very long text is one slice of its own:
+about six bytes of memory for each of its bytes.
+
+Null and empty texts are scored as one position of padding. Repeated rows get equal
+scores; of sampled rows that share an id, the one with the smallest hash of its text
+trains. Without labels every score is 0.5; an empty table gives an empty one. Equal
+scores are no tie to break: each row is judged alone. Columns of any name may clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import add_columns, buffers, map_texts
+from .textio import buffers, map_texts, text_column
 
 EMBED, WIDTH, FILTERS = 8, 6, 32
 #: Positions of a segment; a chunk is four segments and shares one with the next chunk.
 SEGMENT, CHUNK, STRIDE = 128, 4, 3
-SAMPLE_ROWS, SAMPLE_CHUNKS, EPOCHS, SEED = 3000, 4, 4, 11
+SAMPLE_ROWS, EPOCHS, SEED = 3000, 2, 11
 #: Filter positions that are held in memory at once.
 BLOCK = 1 << 12
 
@@ -84,14 +89,14 @@ def pair_tables(p: dict) -> list[np.ndarray]:
 
 
 def document_features(texts, tables: list[np.ndarray]) -> np.ndarray:
-    """(documents, 3 * FILTERS + 2): mean, largest and smallest chunk response over the whole of each text, and its length."""
+    """(documents, 3 * FILTERS): mean, largest and smallest chunk response over the whole of each text."""
     data, off = buffers(texts)
     size = np.maximum(np.diff(off), 1)  # an empty text has one position of padding
     start = np.concatenate([[0], np.cumsum(size + WIDTH - 1)])
     padded = np.zeros(start[-1] + 1, np.uint8)
-    full = np.diff(off)
-    padded[np.arange(len(data)) + np.repeat(start[:-1] - off[:-1], full)] = data
-    pair = (padded[:-1].astype(np.int64) << 8) | padded[1:]
+    for a, b, to in zip(off[:-1].tolist(), off[1:].tolist(), start[:-1].tolist(), strict=True):
+        padded[to : to + b - a] = data[a:b]
+    pair = (padded[:-1].astype(np.uint16) << 8) | padded[1:]
 
     n_seg = -(-size // SEGMENT)
     seg_doc = np.repeat(np.arange(len(size)), n_seg)
@@ -123,8 +128,7 @@ def document_features(texts, tables: list[np.ndarray]) -> np.ndarray:
     chunk = seg[reach].max(axis=1)
     at = np.cumsum(n_chunk) - n_chunk
     mean = np.add.reduceat(chunk, at, axis=0) / n_chunk[:, None]
-    length = np.log1p(full)[:, None]
-    return np.concatenate([mean, np.maximum.reduceat(chunk, at, axis=0), np.minimum.reduceat(chunk, at, axis=0), length, np.minimum(length, 6)], axis=1)
+    return np.concatenate([mean, np.maximum.reduceat(chunk, at, axis=0), np.minimum.reduceat(chunk, at, axis=0)], axis=1)
 
 
 def learn_output(x: np.ndarray, y: np.ndarray, steps: int = 600, decay: float = 0.02) -> dict:
@@ -147,63 +151,38 @@ def held_out(id_col) -> "F.Column":
     return F.crc32(id_col.cast("string")) % 4 == 2
 
 
-def training_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and up to SAMPLE_CHUNKS chunks of each text, spread evenly over it."""
+def chunks_of(raw: bytes) -> np.ndarray:
+    """The overlapping chunks that cover a whole text, each with the bytes that its last filters reach."""
     n = SEGMENT * CHUNK + WIDTH - 1
-
-    def start():
-        def work(ids, texts):
-            rows: dict[str, list] = {"id": [], "chunk": []}
-            for i, text in zip(ids.to_pylist(), texts.to_pylist(), strict=True):
-                raw = text.encode()
-                last = max(0, len(raw) - SEGMENT * CHUNK)
-                for at in sorted({round(k * last / max(1, SAMPLE_CHUNKS - 1)) for k in range(SAMPLE_CHUNKS)}):
-                    rows["id"].append(i)
-                    rows["chunk"].append(raw[at : at + n].ljust(n, b"\0"))
-            return rows
-
-        return work
-
-    return map_texts(docs, id_col, text_col, start, "id long, chunk binary")
+    first = range(0, max(1, len(raw) - SEGMENT), SEGMENT * STRIDE)
+    return np.stack([np.frombuffer(raw[a : a + n].ljust(n, b"\0"), np.uint8) for a in first])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict | None:
-    """A model from at most ``sample_rows`` labelled rows that are not held out; None without any."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> list[tuple[int, int, str]]:
+    """(id, label, whole text) of at most ``sample_rows`` labelled documents that are not held out, in order of their ids."""
     picked = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        .groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-        .orderBy(F.xxhash64("id"), "id").limit(sample_rows).collect()
+        .groupBy(F.col(id_col).cast("long").alias("chosen")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+        .orderBy(F.xxhash64("chosen"), "chosen").limit(sample_rows)
     )
-    if not picked:
-        return None
-    y_of = {r["id"]: r["y"] for r in picked}
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in y_of], "chosen long")
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("chosen"), "left_semi")
-    rows = training_chunks(sample, "id", "text").toArrow()
-    if not rows.num_rows:
-        return None
-    ids = rows["id"].to_numpy()
-    chunks = np.frombuffer(b"".join(rows["chunk"].to_pylist()), np.uint8).reshape(len(ids), -1)
-    order = np.lexsort((*chunks[:, :24].T, ids))  # not the order in which tasks ended
-    ids, chunks = ids[order], chunks[order]
-    y = np.array([y_of[i] for i in ids], np.float32)
-    share = np.clip(y.mean(), 0.02, 0.98)
-    p = learn_filters(chunks, y, np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32))
-    tables = pair_tables(p)
-    feats = features(sample, p, "id", "text").toArrow().sort_by("id")
-    x = np.array(feats["x"].to_pylist(), np.float64)
-    out = learn_output(x, np.array([y_of[i] for i in feats["id"].to_pylist()], np.float64))
-    return {"filters": {k: p[k] for k in ("embed", "filters", "bias")}, "out": out} if len(tables) else None
-
-
-def features(docs: DataFrame, p: dict, id_col: str, text_col: str) -> DataFrame:
-    small = {k: p[k] for k in ("embed", "filters", "bias")}
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    one = rows.join(F.broadcast(picked), F.col("id") == F.col("chosen")).groupBy("id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return sorted((r["id"], r["y"], r["text"]) for r in one.collect())
 
-    def start():
-        tables = pair_tables(small)
-        return lambda ids, texts: {"id": ids, "x": list(document_features(texts, tables))}
 
-    return map_texts(docs, id_col, text_col, start, "id long, x array<float>")
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> dict | None:
+    """A model from at most ``sample_rows`` labelled documents that are not held out; None without any."""
+    rows = training_rows(docs, labels, id_col, text_col, label_col, sample_rows)
+    if not rows:
+        return None
+    parts = [chunks_of(text.encode()) for _, _, text in rows]
+    n = np.array([len(c) for c in parts])
+    truth = np.array([y for _, y, _ in rows], np.float64)
+    share = np.clip(truth.mean(), 0.02, 0.98)
+    weight = np.where(truth > 0, 0.5 / share, 0.5 / (1 - share)) * n.mean() / n  # a document counts once, however long
+    p = learn_filters(np.concatenate(parts), np.repeat(truth, n).astype(np.float32), np.repeat(weight, n).astype(np.float32))
+    x = document_features(pa.array([text for _, _, text in rows], pa.large_string()), pair_tables(p)).astype(np.float64)
+    return {"filters": {k: p[k] for k in ("embed", "filters", "bias")}, "out": learn_output(x, truth)}
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,6 +205,6 @@ def good(docs: DataFrame, model: dict | None, least: float, text_col: str = "tex
 
     def start():
         tables = pair_tables(model["filters"]) if model else None
-        return lambda texts: {"quality score": probability(document_features(texts, tables).astype(np.float64), model["out"]) if model else np.full(len(texts), 0.5)}
+        return lambda texts: probability(document_features(texts, tables).astype(np.float64), model["out"]) if model else np.full(len(texts), 0.5)
 
-    return add_columns(docs, text_col, start, "`quality score` double").where(F.col("quality score") >= least).drop("quality score")
+    return docs.where(text_column(docs, text_col, start, "double") >= least)

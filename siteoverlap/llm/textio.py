@@ -1,7 +1,8 @@
 """Shared plumbing: run a function over whole texts, a few megabytes at a time.
 
-Rows reach Python in Arrow batches; each batch is cut into slices of bounded
-size, so memory follows the longest text and not the number of rows.
+Rows reach Python in Arrow batches of bounded bytes; each batch is cut into slices,
+so memory follows the longest text and not the number of rows. Null texts arrive
+as "", an empty table gives an empty one, repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that are handled at once (a longer single text is one slice).
 SLICE_BYTES = 1 << 21
+#: Bytes of an Arrow batch between the JVM and Python (a longer single row is one batch).
+BATCH_BYTES = 1 << 22
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +50,11 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, not only by rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def map_texts(docs: DataFrame, id_col: str, text_col: str, start: Callable, schema: str | T.StructType) -> DataFrame:
     """Apply ``start()(ids, texts) -> {column: values}`` to slices of (id, text).
 
@@ -65,46 +73,54 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, start: Callable, sche
                     [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f in out for c in [cols[f.name]]], schema=out
                 )
 
+    small_batches(docs.sparkSession)
     two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return two.mapInArrow(run, schema)
 
 
-def add_columns(docs: DataFrame, text_col: str, start: Callable, new: str) -> DataFrame:
-    """All columns of ``docs`` and, behind them, those that ``start()(texts) -> {column: values}`` makes from slices of one."""
-    more = T._parse_datatype_string(new)
-    schema = T.StructType([*docs.schema.fields, *more.fields])
-    place = docs.columns.index(text_col)
+def text_column(docs: DataFrame, text_col: str, start: Callable, kind: str) -> Column:
+    """A column of ``docs``: what ``start()(texts) -> values`` makes from slices of a text column.
 
-    def run(batches):
-        work, out = start(), arrow_schema(schema)
-        for batch in batches:
-            for part in slices(batch, batch.schema.names[place]):
-                cols = work(part.column(place).fill_null(""))
-                made = [cols[f.name] if isinstance(cols[f.name], pa.Array) else pa.array(cols[f.name], out.field(len(part.columns) + n).type) for n, f in enumerate(more.fields)]
-                yield pa.RecordBatch.from_arrays([*(c.cast(out.field(n).type) for n, c in enumerate(part.columns)), *made], schema=out)
+    Only the texts go to Python and only the values come back; the other columns
+    stay where they are, whatever their names.
+    """
+    small_batches(docs.sparkSession)
+    arrow = arrow_schema(T._parse_datatype_string(f"value {kind}")).field(0).type
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = start()
+        for texts in batches:
+            parts = slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")
+            done = [work(part.column(0).fill_null("")) for part in parts]
+            done = [x if isinstance(x, pa.Array) else pa.array(x, arrow) for x in done]
+            yield pa.concat_arrays(done) if done else pa.array([], arrow)
 
-    return docs.mapInArrow(run, schema)
+    return F.arrow_udf(run, kind)(F.col(text_col).cast("string"))
 
 
-#: Ids that may be broadcast (8 bytes each); more of them are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Rows of at most a few numbers each that may be broadcast; more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def without(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows whose id is not in the one column of ``ids``; rows with a null id stay."""
-    ids = stored(ids.toDF("gone").where("gone is not null").distinct(), "gone")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(ids, F.col(id_col) == F.col("gone"), "left_anti")
+def bounded(small: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, stored and counted; marked for broadcast only where it has few rows."""
+    small = stored(small, name)
+    return F.broadcast(small) if small.count() <= most else small
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, below spark.checkpoint.dir."""
+    """A new folder that driver and executors share, below spark.checkpoint.dir.
+
+    Where that is unset, only a session that runs on one machine gets a local folder.
+    """
+    import tempfile
     import uuid
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:///tmp/checkpoints"  # a single machine, as in tests
-        spark.sparkContext.setCheckpointDir(root)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

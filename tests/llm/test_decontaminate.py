@@ -65,3 +65,30 @@ def test_rows_spans_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, d.leaks(docs, bench).collect())) == want
     assert sorted(r["doc_id"] for r in d.clean(docs, bench).collect()) == [3, 4, 5]
     assert d.leaks(docs, bench.where("false")).count() == 0 and d.leaks(docs.where("false"), bench).count() == 0
+
+
+def test_repetitive_texts_are_found_and_cheap():
+    import time
+
+    phrase = "all work and no play makes a dull boy "
+    items = [(k, (phrase * 12).encode()[k : k + 400]) for k in range(20)] + [(99, b"something else entirely, said the other one of them")]
+    index = d.Index(items)
+    text = d.folded((phrase * 110).encode())
+    off = np.array([0, len(text)])
+    assert sum(len(post) for _, post in index.hits(text)) < 1_500_000
+    assert {i for _, i, *_ in d.matches(index, text, off)} == set(range(20))
+    broken = d.folded((phrase * 3 + "xyz " * 20 + phrase * 3).encode())
+    found = {i for _, i, *_ in d.matches(index, broken, np.array([0, len(broken)]))}
+    assert found == {i for i in range(20) if least_edits(index.texts[i].tolist(), broken.tolist()) <= index.edits[i]}
+    began = time.time()
+    d.matches(index, d.folded((phrase * 2000).encode()), np.array([0, 2000 * len(phrase)]))
+    assert time.time() - began < 40
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    passage = "The quick brown fox jumps over the lazy dog while the band plays on"
+    docs = spark.createDataFrame([(None, passage, 1, "x"), (None, "clean", 2, "x"), (1, passage, 3, "x"), (1, "clean", 4, "x"), (2, None, 5, "x")], "doc_id long, text string, item_id int, bytes string")
+    bench = spark.createDataFrame([(7, passage), (None, passage)], "item_id long, text string")
+    assert sorted(r["item_id"] for r in d.clean(docs, bench).collect()) == [2, 4, 5] and d.clean(docs, bench).columns == docs.columns
+    assert d.clean(docs, bench.where("false")).count() == 5 and d.clean(docs.where("false"), bench).count() == 0
+    assert sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in d.leaks(docs, bench).collect()) == [(0, 0), (0, 7), (1, 0), (1, 7)]

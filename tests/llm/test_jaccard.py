@@ -56,9 +56,10 @@ def rows(spark, texts):
     return spark.createDataFrame([(k * 3 + 1, t, "x", 5) for k, t in enumerate(texts)], "doc_id long, text string, vertex string, component int")
 
 
-@pytest.mark.parametrize(("seed", "k", "percent", "part"), [(1, 4, 85, 2048), (2, 5, 80, 3), (3, 4, 70, 2)])
-def test_classes_equal_all_pairs(spark, monkeypatch, seed, k, percent, part):
+@pytest.mark.parametrize(("seed", "k", "percent", "part", "few"), [(1, 4, 85, 2048, 4), (3, 4, 70, 3, 0)])
+def test_classes_equal_all_pairs(spark, monkeypatch, seed, k, percent, part, few):
     monkeypatch.setattr(j, "PART", part)
+    monkeypatch.setattr(j, "FEW_PAIRS", few)
     monkeypatch.setattr(j, "SAMPLE_TEXTS", 60)
     texts = corpus(seed)
     got = sorted(map(tuple, j.near_duplicates(rows(spark, texts), k, percent).collect()))
@@ -77,9 +78,12 @@ def test_trees_drop_no_link():
             rows.append((v, len(s), j.bitmap(s), v, 0))
     same = lambda a, b: len(set(names[a].tolist()) & set(names[b].tolist()))
     links = {(a, b) for a in names for b in names if a < b and 100 * (o := same(a, b)) >= 80 * (len(names[a]) + len(names[b]) - o)}
-    assert links and links <= set(j.tree_pairs(rows, 80))
+    pairs, whole = j.tree_pairs(rows, 80)
+    assert whole and links and links <= set(pairs)
+    few, whole = j.tree_pairs(rows, 80, 1)
+    assert not whole and set(few) < set(pairs) and {v for p in few for v in p} == {v for p in pairs for v in p}
     two = [(*r[:4], r[0] % 2) for r in rows]
-    assert {p for p in links if p[0] % 2 != p[1] % 2} <= set(j.tree_pairs(two, 80))
+    assert {p for p in links if p[0] % 2 != p[1] % 2} <= set(j.tree_pairs(two, 80)[0])
     assert all(j.may_link(len(names[a]), j.bitmap(names[a]), len(names[b]), j.bitmap(names[b]), 80) for a, b in links)
     for a, b in links:  # any order of tokens keeps a common token in both prefixes
         often = j.np.unique(names[a][::2])
@@ -105,3 +109,10 @@ def test_one_of_each_class_and_empty(spark):
     docs = rows(spark, ["a b c d e f g h", "a b c d e f g h", None, "", "z"])
     assert sorted(r["doc_id"] for r in j.first_of_each_class(docs).collect()) == [1, 7, 10, 13]
     assert j.near_duplicates(docs.where("false")).collect() == []
+
+
+def test_rows_without_id_and_shared_ids(spark):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(None, text, "a"), (5, text, "b"), (5, "quite another text of some words here", "c"), (None, "lonely text with no copy at all", "d"), (None, "LONELY text with no copy at all", "e")], "doc_id long, text string, mark string")
+    kept = {r["mark"] for r in j.first_of_each_class(docs).collect()}
+    assert {"b", "c"} <= kept and len(kept & {"d", "e"}) == 1 and "a" not in kept

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from siteoverlap.llm import quality as q
 
 
@@ -12,8 +13,7 @@ def plain(text, p):
     act = np.stack([sum(p["embed"][b[i + j]] @ w[j] for j in range(q.WIDTH)) + p["bias"] for i in range(n)])
     act, segments = np.maximum(act, 0), -(-n // q.SEGMENT)
     chunks = np.array([act[c * q.SEGMENT : (c + q.CHUNK) * q.SEGMENT].max(0) for c in range(0, max(1, segments - 1), q.STRIDE)])
-    size = np.log1p(len(raw))
-    return np.concatenate([chunks.mean(0), chunks.max(0), chunks.min(0), [size, min(size, 6)]])
+    return np.concatenate([chunks.mean(0), chunks.max(0), chunks.min(0)])
 
 
 def test_tables_equal_convolution():
@@ -37,7 +37,7 @@ def corpus(spark):
 def test_held_out_accuracy(spark):
     docs = corpus(spark)
     model = q.train(docs, docs.select("doc_id", "quality"))
-    got = q.score(docs, model).join(docs.select("doc_id", "quality"), "doc_id").where(q.held_out(docs["doc_id"])).collect()
+    got = q.score(docs, model).join(docs.select("doc_id", "quality"), "doc_id").where(q.held_out(F.col("doc_id"))).collect()
     assert len(got) > 100 and np.mean([(r["score"] >= 0.7) == bool(r["quality"]) for r in got]) > 0.95
 
 
@@ -49,3 +49,26 @@ def test_no_labels_nulls_and_repeats(spark):
     one = q.train(docs, spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int"))
     assert all(0 <= r["score"] <= 1 for r in q.score(docs, one).collect())
     assert q.score(docs.where("false"), one).collect() == []
+
+
+def test_chunks_cover_whole_texts():
+    for n in (0, 1, 127, 128, 129, 511, 512, 513, 5000, 100_001):
+        raw = bytes(np.random.default_rng(n).integers(1, 256, n, dtype=np.uint8))
+        chunks, step = q.chunks_of(raw), q.SEGMENT * q.STRIDE
+        assert len(chunks) == max(1, -(-(-(-n // q.SEGMENT) - 1) // q.STRIDE))
+        whole = raw + bytes(q.SEGMENT * q.CHUNK + q.WIDTH)
+        assert all(bytes(c) == whole[k * step : k * step + len(c)].ljust(len(c), b"\0") for k, c in enumerate(chunks))
+        assert (len(chunks) - 1) * step + q.SEGMENT * q.CHUNK >= n
+
+
+def test_sample_is_bounded_by_rows_and_texts_are_whole(spark):
+    long_text = "word " * 300_000
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, None), (2, long_text), (3, "c"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)] + [(1, 0)], "doc_id long, quality int")
+    rows = q.training_rows(docs, labels, "doc_id", "text", "quality", 100)
+    assert len({r[0] for r in rows}) == len(rows) <= 4 and all(t == long_text for i, _, t in rows if i == 2)
+    assert len(q.training_rows(docs, labels, "doc_id", "text", "quality", 1)) == 1
+    model = q.train(docs, labels)
+    assert q.score(docs, model).count() == 6
+    clash = docs.withColumnsRenamed({"text": "value"}).withColumns({"id": F.lit(1), "score": F.lit("x"), "made": F.lit(2)})
+    assert q.good(clash, model, 0.0, "value").count() == 6 and q.good(clash, model, 0.0, "value").columns == clash.columns

@@ -2,7 +2,10 @@
 
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from siteoverlap.llm import licenses, pii, secrets
 
@@ -58,6 +61,58 @@ def test_secret_base_equals_search(seed):
     assert secrets.find(text, model) == sorted(want, key=lambda s: (s[0], order[s[1]]))
 
 
+def plain_random(text, model, base):
+    """Tokens by a regular expression, their ratio by a loop."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{2,}", text):
+        total = sum(model[secrets.ALPHABET.index(a), secrets.ALPHABET.index(b)] for a, b in zip(m[0], m[0][1:]))
+        if total > secrets.EVIDENCE and total > secrets.THRESHOLD * (len(m[0]) - 1) and not any(a < m.end() and m.start() < b for a, _, b in base):
+            out.append((m.start(), "random", m.end()))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_random_tokens_equal_plain_search(seed):
+    draw = random.Random(seed)
+    model = np.random.default_rng(seed).normal(0.6, 1.5, (secrets.N, secrets.N))
+    texts = []
+    for _ in range(12):
+        parts = ["".join(draw.choice(secrets.ALPHABET) for _ in range(draw.randint(1, 60))) for _ in range(draw.randint(0, 8))]
+        texts.append(draw.choice([" ", " é中 ", ".", ""]).join([*parts, *draw.choices(["token=", "abcdefgh", "é", ""], k=2)]))
+    got = secrets.find_all(pa.array([*texts, ""]), model)
+    for text, spans in zip([*texts, ""], got, strict=True):
+        base = [s for s in secrets.find(text, NEUTRAL)]
+        assert [s for s in spans if s[1] == "random"] == plain_random(text, model, base)
+        assert [s for s in spans if s[1] != "random"] == base
+
+
+def test_models_tell_identifiers_from_random_strings():
+    draw = random.Random(3)
+    prose = "the configuration of a service reads user names and timeouts from the settings file and writes the response to the request handler " * 30
+    counts = secrets.word_counts(pa.array([prose])).reshape(2, secrets.N, secrets.N).astype(float)
+    model = secrets.transitions(secrets.random_counts()) - secrets.transitions(counts[0] + secrets.identifier_counts(*counts))
+    names = ["user_settings_file_timeout_handler", "readUserNamesFromTheSettingsFile", "SERVICE_RESPONSE_TIMEOUT_SETTINGS", "request-handler-configuration-file", "configurationsettings"]
+    assert all(secrets.find(n, model) == [] for n in names)
+    keys = ["".join(draw.choice(secrets.ALPHABET[:62]) for _ in range(32)) for _ in range(50)] + ["".join(draw.choice(secrets.ALPHABET[26:52]) for _ in range(40)) for _ in range(50)]
+    assert sum([s[1] for s in secrets.find(k, model)] == ["random"] for k in keys) >= 95
+
+
+#: Characters by which scanners that backtrack take a time that grows with the square.
+LONG = ["1" * 1_000_000, "1.2." * 250_000, "1.2.3.4 " * 120_000, "a@" * 400_000, "+1((" * 250_000, "://a:" * 200_000, "iban " * 200_000, "token = abcdef12 " * 60_000, "token" + " " * 900_000, "0123456789abcdef" * 60_000, "AKIA" * 250_000, "aB3" * 330_000]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_very_long_texts_take_seconds(text):
+    began = time.time()
+    automaton = pii.anchors()
+    got = pii.find(text, automaton)
+    secrets.find(text, NEUTRAL)
+    assert time.time() - began < 20
+    short = text[:4000]
+    got = pii.find(short, automaton)
+    assert {k: got[k] for k in pii.BASE} == plain_pii(short)
+
+
 def rows(spark, texts):
     return spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, id string, found int")
 
