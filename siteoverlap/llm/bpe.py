@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .textio import map_texts
 
 #: States, neighbouring tokens for each state, and whole pre-tokens that a worker remembers at most.
-MAX_STATES, MAX_APART, MAX_WORDS = 60_000, 3, 120_000
+MAX_STATES, MAX_APART, MAX_WORDS = 200_000, 2, 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,7 +65,7 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        self.number, self.sets, self.steps = {(0,): 0}, [(0,)], [{}]
+        self.number, self.sets, self.steps = {(0,): 0}, [(0,)], {}
 
     def merged(self, word: bytes, watch: list | None = None) -> list[bytes]:
         """Merge by rank, leftmost first; only for words as short as two tokens. ``watch`` gets the parts after each merge."""
@@ -123,8 +123,8 @@ class Transducer:
             self.apart[a, b] = got
         return got
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """Build the transition: the next state, and the token that ends at this byte."""
+    def step(self, state: int, byte: int) -> int:
+        """Build the transition: the next state and, in the last SHIFT bits, one more than the token that ends at this byte."""
         alive, ended, shift = [], -1, self.SHIFT
         for packed in self.sets[state]:
             before = packed & ((1 << shift) - 1)
@@ -141,19 +141,18 @@ class Transducer:
         if number is None:
             number = self.number[key] = len(self.sets)
             self.sets.append(key)
-            self.steps.append({})
-        got = self.steps[state][byte] = (number, ended)
+        got = self.steps[state << 8 | byte] = number << shift | (ended + 1)
         return got
 
     def stream(self, word: Iterable[int], look: int = 4096) -> Iterator[list[int]]:
         """Ids of one pre-token in pieces: what is certain after each ``look`` bytes, and the rest at its end."""
         if len(self.sets) > self.max_states:
             self.forget()
-        state, ends, put = 0, [], 0
+        state, ends, put, mask = 0, [], 0, (1 << self.SHIFT) - 1
         for byte in word:
-            got = self.steps[state].get(byte) or self.step(state, byte)
-            state = got[0]
-            ends.append(got[1])
+            got = self.steps.get(state << 8 | byte) or self.step(state, byte)
+            state = got >> self.SHIFT
+            ends.append((got & mask) - 1)
             if len(ends) - put >= look:
                 paths = [self.back(ends, len(ends) - self.depth[packed >> self.SHIFT]) for packed in self.sets[state]]
                 common = min(len(p) for p in paths)
@@ -169,7 +168,6 @@ class Transducer:
                     state = self.number.setdefault(kept, len(self.sets))
                     if state:
                         self.sets.append(kept)
-                        self.steps.append({})
         yield [t for t, _ in self.back(ends, len(ends))]
 
     def back(self, ends: list[int], at: int) -> list[tuple[int, int]]:
@@ -186,11 +184,11 @@ class Transducer:
             return [t for piece in self.stream(word) for t in piece]
         if len(self.sets) > self.max_states:
             self.forget()
-        state, ends, steps = 0, [], self.steps
+        state, ends, steps, shift, mask = 0, [], self.steps.get, self.SHIFT, (1 << self.SHIFT) - 1
         for byte in word:
-            got = steps[state].get(byte) or self.step(state, byte)
-            state = got[0]
-            ends.append(got[1])
+            got = steps(state << 8 | byte) or self.step(state, byte)
+            state = got >> shift
+            ends.append((got & mask) - 1)
         at, out, words = len(ends), [], self.word
         while at:
             token = ends[at - 1]
