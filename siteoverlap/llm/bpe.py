@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from .textio import map_texts
 
 #: States, neighbouring tokens for each state, and whole pre-tokens that a worker remembers at most.
-MAX_STATES, MAX_APART, MAX_WORDS = 200_000, 2, 120_000
+MAX_STATES, MAX_APART, MAX_WORDS = 260_000, 2, 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
