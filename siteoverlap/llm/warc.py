@@ -16,14 +16,27 @@ is appended to the member before it. Where such a piece starts in the next range
 the two tasks hand out fragments, which are put together afterwards, file by file.
 Files must not carry a compression suffix, or Spark would unpack them as a whole.
 
+Archives of others can be read too: records of any type, several records in a
+member, ids of any form (page_id is null where an id is not one of ours) and digests
+in hex or base 32. Nothing damaged stops a job: a member that is cut off or can't be
+unpacked, a record without a usable header and a payload that disagrees with its
+digest are rows of their own, with ``error`` set (record_type is "damaged" where
+there is no record to speak of).
+
 Null payloads are empty, null urls are written without one, a null id is read as
-null. Rows with the same id and payload stay separate records of the same kind.
+null. Rows with the same id and payload stay separate records of the same kind. Of
+equal payloads with equal largest ids, all rows of that id are responses. An empty
+table gives no records. A payload of any length is one record; memory follows the
+longest. Columns other than the named ones are not read, so they may have any name.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import zlib
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -31,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textio import arrow_schema
+from .textio import arrow_schema, bounded, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 MIN_BYTES = 1000
@@ -66,12 +79,14 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, date: str) -> b
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
     """id, url, payload, digest and refers_to (null for responses) of each row.
 
-    The copies are found by an aggregate over digests, which Spark combines before
-    the shuffle; the join back to the pages is one that it can split where it is skewed.
+    The copies are found by an aggregate over digests and ids alone, which Spark
+    combines before the shuffle. Payloads are shuffled only if more digests have
+    copies than may be broadcast; Spark can split that join where it is skewed.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload")})
     copies = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = bounded(copies, "copies")
     return rows.join(copies, "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(F.col("keeper") != F.coalesce("page_id", F.col("keeper") - 1), F.col("keeper")).alias("refers_to")
     )
@@ -86,6 +101,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             out = [member(record(i, u, p.encode(), d, r, date))[:-1] for i, u, p, d, r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
+    small_batches(pages.sparkSession)
     members = planned(pages, id_col, url_col, text_col, min_bytes).mapInArrow(run, "value binary")
     members.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", "\0").text(path)
 
@@ -108,38 +124,74 @@ def whole(candidate: bytes) -> bytes | None:
     return data if unpack.eof else None
 
 
-def parse(data: bytes) -> dict:
-    """Fields of a record; the payload of a response must agree with its digest."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    field = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-    block = rest[: int(field["content-length"])]
-    digest = field.get("warc-payload-digest", "").removeprefix("sha1:")
-    page = lambda key: int(v) if (v := field.get(key, "").removeprefix("<urn:x-page:").removesuffix(">")) else None
-    out = {"page_id": page("warc-record-id"), "url": field.get("warc-target-uri"), "record_type": field["warc-type"], "refers_to": page("warc-refers-to"), "payload": None}
-    if field["warc-type"] == "response":
-        out["payload"] = block.partition(b"\r\n\r\n")[2]
-        size, seen = len(out["payload"]), hashlib.sha1(out["payload"]).hexdigest()
-        if digest and digest != seen:
-            raise ValueError(f"record {out['page_id']}: payload digest {seen}, header says {digest}")
-        digest = seen
+def hex_digest(text: str | None) -> str | None:
+    """A sha1 digest of a header, in hex or base 32, as lower-case hex; None for others."""
+    kind, _, value = (text or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        return base64.b32decode(value.strip().upper()).hex() if len(value.strip()) == 32 else value.strip().lower()
+    except binascii.Error:
+        return value.strip().lower()
+
+
+def page_of(record_id: str | None) -> int | None:
+    """The page id in a record id of our own."""
+    name = (record_id or "").strip("<> ").removeprefix("urn:x-page:")
+    return int(name) if name.lstrip("-").isascii() and name.lstrip("-").isdigit() else None
+
+
+def damaged(error: str) -> dict:
+    return {"record_type": "damaged", "error": error}
+
+
+def parse(data: bytes) -> tuple[dict, int]:
+    """Fields of the record at the start of ``data``, and where it ends."""
+    head, gap, rest = data.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    field = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    size = field.get("content-length", "")
+    if not gap or not size.isascii() or not size.isdigit() or "warc-type" not in field:
+        return damaged("no usable header"), len(data)
+    block, kind = rest[: int(size)], field["warc-type"].lower()
+    out = {"record_id": field.get("warc-record-id"), "page_id": page_of(field.get("warc-record-id")), "url": field.get("warc-target-uri"), "record_type": kind, "refers_to": page_of(field.get("warc-refers-to"))}
+    digest = hex_digest(field.get("warc-payload-digest"))
+    if kind == "revisit":
+        told = field.get("x-payload-length", "")
+        out |= {"payload_bytes": int(told) if told.isascii() and told.isdigit() else None, "payload_digest": digest}
     else:
-        size = int(field.get("x-payload-length", 0))
-    return out | {"payload_bytes": size, "payload_digest": digest}
+        http = kind in ("response", "request") and field.get("content-type", "").startswith("application/http")
+        out["payload"] = block.partition(b"\r\n\r\n")[2] if http else block
+        seen = hashlib.sha1(out["payload"]).hexdigest()
+        out |= {"payload_bytes": len(out["payload"]), "payload_digest": seen, "error": f"payload digest {seen}, header says {digest}" if digest and digest != seen else None}
+    if len(block) < int(size):
+        out["error"] = "the block is cut off"
+    return out, len(head) + 4 + int(size)
+
 
+def records(data: bytes) -> Iterator[dict]:
+    """The records of a member's content."""
+    while data:
+        got, end = parse(data)
+        yield got
+        data = data[end:].lstrip(b"\r\n")
 
-FIELDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+
+FIELDS = "record_id string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 FRAGMENT = "part string, file string, block long, nth int, raw binary"
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One row a record. ``payloads`` off leaves the payload null (it is decoded and checked all the same)."""
+    small_batches(spark)
     schema = T._parse_datatype_string(f"{FIELDS}, {FRAGMENT}")
     names = [f.name for f in T._parse_datatype_string(FIELDS)]
 
-    def row(data: bytes) -> dict:
-        got = parse(data)
-        return {**got, "part": "record", "payload": got["payload"] if payloads else None}
+    def rows_of(data: bytes) -> list[dict]:
+        return [{**got, "part": "record", "payload": got.get("payload") if payloads else None} for got in records(data)]
+
+    def lost(file: str) -> dict:
+        return {**damaged(f"a member of {file} is not complete"), "part": "record"}
 
     def scan(batches):
         out, where, open_, seen, nth = arrow_schema(schema), None, None, False, 0
@@ -162,7 +214,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 candidate = MAGIC + piece
                 if header_of(candidate):
                     if open_ is not None:
-                        raise ValueError(f"a member of {file} is not complete")
+                        rows.append(lost(file))
                     open_, seen = candidate, True
                 elif open_ is not None:
                     open_ += candidate
@@ -170,7 +222,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     rows.append(fragment("head", candidate))
                     nth += 1
                 if open_ is not None and (data := whole(open_)) is not None:
-                    rows.append(row(data))
+                    rows += rows_of(data)
                     open_ = None
             yield table(rows)
         if open_ is not None:
@@ -178,20 +230,20 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     def stitch(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["block", "part", "nth"])  # the heads of a range come before its tail
-        rows, open_ = [], None
+        rows, open_, file = [], None, group["file"].iloc[0]
         for part, raw in zip(group["part"], group["raw"], strict=True):
             if part == "tail":
-                if open_ is not None:
-                    raise ValueError("a member is not complete")
+                rows += [] if open_ is None else [lost(file)]
                 open_ = bytes(raw)
             elif open_ is not None:
                 open_ += bytes(raw)
+            else:
+                rows.append(lost(file))
             if open_ is not None and (data := whole(open_)) is not None:
-                rows.append(row(data))
+                rows += rows_of(data)
                 open_ = None
-        if open_ is not None:
-            raise ValueError("a member is not complete")
-        out = pd.DataFrame(rows, columns=names)
+        rows += [] if open_ is None else [lost(file)]
+        out = pd.DataFrame(rows, columns=names, dtype=object)
         return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
     pieces = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)

@@ -7,6 +7,7 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from siteoverlap.llm import licenses, pii, secrets
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -147,6 +148,45 @@ def test_licenses_against_plain_search(spark):
         assert ("gpl-3" in r["labels"]) == ("gnu general public license version 3" in " ".join(re.findall(r"[a-zA-Z0-9é]+", (text or "").lower())))
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_license_lookup_equals_trying_all_places(seed):
+    draw = random.Random(seed)
+    known = licenses.templates()
+    words: list[bytes] = []
+    for _ in range(draw.randint(1, 5)):
+        _, want, *_ = draw.choice(known)
+        part = [w if draw.random() > draw.choice([0, 0.1, 0.25]) else b"other" for w in want][draw.choice([0, 0, 3]) :]
+        words += [*draw.choices([b"the", b"of", b"license", b"x", b"software", b"3"], k=draw.randint(0, 30)), *part]
+    index = licenses.Index(1000, {w: draw.randint(0, 900) for _, want, *_ in known for w in want})
+    hits, labels, best = [], set(), 0.0
+    for t, (label, want, key, needed) in enumerate(known):
+        for start in range(-len(want), len(words)):
+            got = [words[k] if 0 <= k < len(words) else b"" for k in range(start, start + len(want))]
+            same = sum(a == b for a, b in zip(got, want))
+            if same >= needed and any(got[k : k + len(key)] == key for k in range(len(got) - len(key) + 1)):
+                best = max(best, same / len(want))
+                labels.add(label)
+                hits += [(start, label)] * (t < len(licenses.BASE))
+    got = licenses.lookup(words, index)
+    assert (sorted(got[0]), got[1], got[2]) == (sorted(hits), labels, best)
+
+
+def test_whole_licence_with_changed_words():
+    index = licenses.Index(10, {})
+    for label, text, _ in licenses.TEXTS:
+        words = licenses.words_of("/* Copyright (c) 2024 Jane */ " + text + " int main() {}")
+        hits, labels, score = licenses.lookup(words, index)
+        assert label in labels and score == 1.0
+    began = time.time()
+    licenses.lookup(licenses.words_of("gnu general public license software the " * 60000), index)
+    assert time.time() - began < 30
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "under the MIT license a@b.cc", 1, "a", "b", 2.0)], "doc_id long, text string, id int, hits string, labels string, score double")
+    assert licenses.license_scan(docs).first()["labels"] == ["mit"] and len(pii.pii_spans(docs.withColumn("found", F.lit(1))).first()["found"]) == 1
+
+
 def test_empty_tables(spark):
     none = rows(spark, ["x"]).where("false")
     assert pii.pii_spans(none).collect() == [] and licenses.license_scan(none).collect() == []

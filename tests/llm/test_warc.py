@@ -1,5 +1,6 @@
 """WARC files: exact round trips at any size of byte range."""
 
+import base64
 import glob
 import gzip
 import hashlib
@@ -70,11 +71,34 @@ def test_magic_inside_members(spark, tmp_path, limit):
     assert sorted((r["page_id"], bytes(r["payload"])) for r in got) == want
 
 
-def test_damage_is_an_error_and_empty_is_empty(spark, tmp_path):
+def test_damage_is_counted_and_empty_is_empty(spark, tmp_path):
     warc.write_archives(pages(spark, rows()).where("false"), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").collect() == []
+    one = lambda k, text, digest=None: warc.record(k, "u", text, digest or hashlib.sha1(text).hexdigest(), None, "2020-01-01T00:00:00Z")
+    good, bad = warc.member(one(1, b"x" * 900)), warc.member(one(2, b"y" * 90, "0" * 40))
+    cut = random.Random(1).randbytes(2000)
     with open(f"{tmp_path}/b.warc", "wb") as out:
-        whole = warc.member(warc.record(1, "u", b"x" * 90, hashlib.sha1(b"x" * 90).hexdigest(), None, "2020-01-01T00:00:00Z"))
-        out.write(whole[:-9] + whole)
-    with pytest.raises(Exception, match="not complete"):
-        warc.read_archives(spark, f"file://{tmp_path}/b.warc").collect()
+        out.write(good[:-9] + good + bad + warc.member(one(3, cut)) + warc.member(one(4, cut))[:-900])
+    for limit in ("128m", "300b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        got = warc.read_archives(spark, f"file://{tmp_path}/b.warc").collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((r["page_id"] or 0, r["record_type"], r["error"] is None) for r in got) == [(0, "damaged", False), (0, "damaged", False), (1, "response", True), (2, "response", False), (3, "response", True)]
+
+
+def test_archives_of_others(spark, tmp_path):
+    def block(kind, body, more=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:5f1c6f5e-0000-4000-8000-00000000000a>\r\n{more}Content-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    html = b"<p>text</p>"
+    b32 = base64.b32encode(hashlib.sha1(html).digest()).decode()
+    info, http = b"software: x\r\n", b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\n" + html
+    with open(f"{tmp_path}/c.warc", "wb") as out:
+        out.write(gzip.compress(block("warcinfo", info)) + gzip.compress(block("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request\r\n")))
+        out.write(gzip.compress(block("response", http, f"Content-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha1:{b32}\r\nWARC-Target-URI: http://e.x/\r\n") + block("metadata", b"a: b")))
+        out.write(gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: many\r\n\r\n"))
+    got = {r["record_type"]: r for r in warc.read_archives(spark, f"file://{tmp_path}/c.warc").collect()}
+    assert set(got) == {"warcinfo", "request", "response", "metadata", "damaged"}
+    assert bytes(got["response"]["payload"]) == html and got["response"]["error"] is None and got["response"]["payload_digest"] == hashlib.sha1(html).hexdigest()
+    assert bytes(got["warcinfo"]["payload"]) == info and got["metadata"]["payload_bytes"] == 4 and all(r["page_id"] is None for r in got.values())
