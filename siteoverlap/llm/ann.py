@@ -6,15 +6,20 @@ size, are compared within their block. NN-descent then improves it: each vertex
 joins its neighbours and a bounded sample of those it is a neighbour of, compares
 them pairwise, and proposes the closer ones to each other; proposals are merged
 into the lists of the K nearest, round after round until hardly a list changes
-(there is no cap on the rounds; each is logged). A query walks the graph from its
+(there is no cap on the rounds; each is logged). Pairs of which neither came into a
+list in the round before are not compared again, and a vertex without any new
+neighbour sends nothing. A query walks the graph from its
 own vertex and a few entries that all queries share: it keeps a beam of the nearest
 vertices seen, expands all that are not expanded yet, and stops when the beam holds
 nothing new. First rounds, pivots, entries and beam grow with the number of vertices.
 
 Graph and search measure the original vectors in double precision; they travel as
 floats where that loses nothing. Vectors that are null, zero or hold null or
-non-finite components take no part, nor do those of another length than the
-most frequent one. Ties go to the smaller id; a repeated (id, vector) counts once.
+non-finite components take no part. Vectors of different lengths are compared as if
+zeros stood behind the shorter ones. Ties go to the smaller id; a repeated (id,
+vector) counts once; of several vectors with one id each is a row of its own. An
+empty table gives an empty one. Only the id and vector columns are read, so others
+may have any name.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textio import stored
+from .textio import small_batches, stored
 
 #: Neighbours kept, sampled reverse neighbours, proposals of a vertex to each neighbour.
 K, REVERSE, PROPOSALS = 28, 28, 8
@@ -63,8 +68,10 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     vec = F.col(vec_col).cast("array<double>")
     rows = rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).where("id is not null and vec is not null and size(vec) > 0")
     rows = rows.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vec") == (sizes[0]["n"] if sizes else 0)).dropDuplicates(["id", "vec"])
+    ends = rows.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if ends[0] != ends[1]:
+        rows = rows.withColumn("vec", F.concat("vec", F.array_repeat(F.lit(0.0), F.lit(ends[1]) - F.size("vec"))))
+    return rows.dropDuplicates(["id", "vec"])
 
 
 def members(rows: DataFrame, most: int) -> DataFrame:
@@ -89,18 +96,21 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T), 0)
 
 
-def lists(ids: list[np.ndarray], dists: list[np.ndarray]) -> list[pa.Array]:
-    at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-    flat = (np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*dists, np.zeros(0)]).astype(float))
+def lists(*columns: list[np.ndarray]) -> list[pa.Array]:
+    """Ids, distances and marks of new ids as list columns."""
+    at = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in columns[0]])]).astype(np.int32))
+    flat = (np.concatenate([*c, np.zeros(0, k)]).astype(k) for c, k in zip(columns, (np.int64, float, bool), strict=True))
     return [pa.ListArray.from_arrays(at, pa.array(x)) for x in flat]
 
 
-def nearest(ids: np.ndarray, dists: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a list, each id once; ties to the smaller id."""
-    ids, first = np.unique(ids, return_index=True)
-    dists = dists[first]
+def nearest(ids: np.ndarray, dists: np.ndarray, fresh: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of a list, each id once and new only if all its entries are; ties to the smaller id."""
+    order = np.lexsort((fresh, ids))
+    ids, dists, fresh = ids[order], dists[order], fresh[order]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else order
+    ids, dists, fresh = ids[first], dists[first], fresh[first]
     order = np.lexsort((ids, dists))[:k]
-    return ids[order], dists[order]
+    return ids[order], dists[order], fresh[order]
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,69 +173,84 @@ def first_graph(codes: DataFrame, kind: str, k: int) -> DataFrame:
         return pd.DataFrame({"vertex": ids, "ids": list(ids[near]), "dists": list(dists)})
 
     found = dealt.groupBy("round", "cell", "block").applyInPandas(compare, "vertex long, ids array<long>, dists array<double>")
-    return merged(found.groupBy("vertex").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("dists")).alias("dists")), k)
+    return merged(found.withColumn("fresh", F.transform("ids", lambda _: F.lit(True))), k)
 
 
-def merged(lists_: DataFrame, k: int) -> DataFrame:
-    """The K nearest of each vertex's list."""
+LISTS = "vertex long, ids array<long>, dists array<double>, fresh array<boolean>"
+
+
+def best_of(lists_: DataFrame, k: int) -> DataFrame:
+    """The K nearest of each row's list."""
 
     def run(batches):
         for batch in batches:
             at = batch.column(1).offsets.to_numpy()
-            ids, dists = batch.column(1).values.to_numpy(), batch.column(2).values.to_numpy()
-            best = [nearest(ids[a:b], dists[a:b], k) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists([x for x, _ in best], [x for _, x in best])], ["vertex", "ids", "dists"])
+            ids, dists, fresh = (batch.column(c).values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+            best = [nearest(ids[a:b], dists[a:b], fresh[a:b], k) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists(*([x[c] for x in best] for c in range(3)))], ["vertex", "ids", "dists", "fresh"])
+
+    return lists_.select("vertex", "ids", "dists", "fresh").mapInArrow(run, LISTS)
+
+
+def merged(lists_: DataFrame, k: int) -> DataFrame:
+    """The K nearest of all lists of a vertex."""
+    every = lists_.groupBy("vertex").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("ids", "dists", "fresh")))
+    return best_of(every, k)
+
 
-    return lists_.select("vertex", "ids", "dists").mapInArrow(run, "vertex long, ids array<long>, dists array<double>")
+def marked(new: bool):
+    """For ``transform``: an id with its mark."""
+    return lambda u: F.struct(u.alias("u"), F.lit(new).alias("new"))
 
 
 def descent(graph: DataFrame, codes: DataFrame, kind: str, k: int, turn: int) -> DataFrame:
-    """One round of NN-descent: neighbours of a vertex are proposed to each other."""
-    out = graph.select(F.col("vertex").alias("v"), F.explode("ids").alias("u"))
-    back = Window.partitionBy("v").orderBy(F.xxhash64("v", "u", F.lit(turn)))
-    into = out.select(F.col("u").alias("v"), F.col("v").alias("u")).withColumn("rank", F.row_number().over(back)).where(F.col("rank") <= REVERSE).drop("rank")
-    around = out.unionByName(into).unionByName(graph.select(F.col("vertex").alias("v"), F.col("vertex").alias("u"))).distinct()
+    """One round of NN-descent: neighbours of a vertex are proposed to each other, where one of them is new."""
+    out = graph.select(F.col("vertex").alias("v"), F.explode(F.arrays_zip("ids", "fresh")).alias("to")).select("v", F.col("to.ids").alias("u"), F.col("to.fresh").alias("new"))
+    back = Window.partitionBy("v").orderBy(F.desc("new"), F.xxhash64("v", "u", F.lit(turn)))
+    into = out.select(F.col("u").alias("v"), F.col("v").alias("u"), "new").withColumn("rank", F.row_number().over(back)).where(F.col("rank") <= REVERSE).drop("rank")
+    around = out.unionByName(into).groupBy("v").agg(*(F.collect_set(F.when(c, F.col("u"))).alias(n) for n, c in (("news", F.col("new")), ("olds", ~F.col("new")))))
+    olds = F.array_union(F.array("v"), F.array_except("olds", "news"))
+    around = around.where(F.size("news") > 0).select("v", F.explode(F.concat(F.transform("news", marked(True)), F.transform(olds, marked(False)))).alias("to"))
     worst = graph.select(F.col("vertex").alias("u"), F.when(F.size("ids") >= k, F.element_at("dists", -1)).otherwise(F.lit(float("inf"))).alias("worst"))
     known = codes.withColumnRenamed("vertex", "u").join(worst, "u")
-    groups = around.join(known, "u").groupBy("v").agg(F.collect_list(F.struct("u", "code", "worst")).alias("near"))  # at most 1 + K + REVERSE each
+    groups = around.select("v", "to.u", "to.new").join(known, "u").groupBy("v").agg(F.collect_list(F.struct("u", "code", "worst", "new")).alias("near"))  # at most 1 + K + REVERSE each
 
     def run(batches):
         for batch in batches:
             near = batch.column(1)
             at, fields = near.offsets.to_numpy(), near.values
             ids, worst, m = fields.field("u").to_numpy(), fields.field("worst").to_numpy(), unpacked(fields.field("code"), kind)
-            who, what, how = [], [], []
+            new = fields.field("new").to_numpy(zero_copy_only=False)
+            who, what, how = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for v, a, b in zip(batch.column(0).to_numpy(), at[:-1], at[1:], strict=True):
-                raw = m[a:b].astype(float)
+                raw, fresh = m[a:b].astype(float), new[a:b]
                 own = raw - raw[ids[a:b] == v]  # around the vertex nothing cancels
                 d = squared(own, own)
                 np.fill_diagonal(d, np.inf)
+                d[~(fresh[:, None] | fresh[None])] = np.inf
                 keep = min(PROPOSALS, b - a - 1)
                 if keep < 1:
                     continue
                 best = np.argpartition(d, keep - 1, axis=1)[:, :keep]
                 far = exact(raw[:, None], raw[best])
-                row, col = np.nonzero(far < worst[a:b, None])
+                row, col = np.nonzero((far < worst[a:b, None]) & np.isfinite(np.take_along_axis(d, best, axis=1)))
                 who.append(ids[a + row])
                 what.append(ids[a + best[row, col]])
                 how.append(far[row, col])
-            if not who:
-                continue
             who, what, how = np.concatenate(who), np.concatenate(what), np.concatenate(how)
             order = np.lexsort((what, who))
             who, what, how = who[order], what[order], how[order]
-            new = np.ones(len(who), bool)
-            new[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
-            who, what, how = who[new], what[new], how[new]
-            start = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
-            bound = np.append(start, len(who)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(who[start]), pa.ListArray.from_arrays(pa.array(bound), pa.array(what)), pa.ListArray.from_arrays(pa.array(bound), pa.array(how))], ["vertex", "ids", "dists"]
-            )
+            one = np.ones(len(who), bool)
+            one[1:] = (who[1:] != who[:-1]) | (what[1:] != what[:-1])
+            who, what, how = who[one], what[one], how[one]
+            start = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+            bound = pa.array(np.append(start, len(who)).astype(np.int32))
+            cols = [pa.ListArray.from_arrays(bound, pa.array(x)) for x in (what, how, np.ones(len(who), bool))]
+            yield pa.RecordBatch.from_arrays([pa.array(who[start]), *cols], ["vertex", "ids", "dists", "fresh"])
 
-    proposed = groups.mapInArrow(run, "vertex long, ids array<long>, dists array<double>")
-    every = graph.unionByName(merged(proposed, k)).groupBy("vertex").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("dists")).alias("dists"))
-    return merged(every, k)
+    proposed = best_of(groups.mapInArrow(run, LISTS), k)
+    old = graph.withColumn("fresh", F.transform("ids", lambda _: F.lit(False)))
+    return merged(old.unionByName(proposed), k)
 
 
 def changed(before: DataFrame, after: DataFrame) -> float:
@@ -235,7 +260,7 @@ def changed(before: DataFrame, after: DataFrame) -> float:
 
 
 def neighbour_graph(vectors: DataFrame, k: int = K) -> DataFrame:
-    """vertex, ids, dists: about the K nearest vertices of each. Lists only ever improve, so that the rounds end."""
+    """vertex, ids, dists, fresh (which ids the last round brought): about the K nearest vertices of each. Lists only ever improve, so that the rounds end."""
     codes, kind = packed(vectors)
     codes = stored(codes, "codes")
     graph = stored(first_graph(codes, kind, k), "graph")
@@ -285,6 +310,7 @@ def search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int) -
 
 def nearest_neighbours(rows: DataFrame, queries: DataFrame, n: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", beam: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the n nearest rows found for each row of ``queries`` (ids among ``rows``), without itself."""
+    small_batches(rows.sparkSession)
     rows = stored(usable(rows, id_col, vec_col), "rows")
     own = members(rows, n + 1)
     own = stored(own.select("id", "vec", "rank", "vertex"), "members")

@@ -10,9 +10,10 @@ def table(spark, rows):
 
 def brute(rows, queries, n):
     good = {}
+    longest = max((len(v) for _, v, *_ in rows if v is not None), default=0)
     for i, v, *_ in rows:
-        if i is not None and v is not None and len(v) == 6 and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            good[i] = np.array(v, np.float32).astype(float)
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            good[i] = np.pad(np.array(v, np.float32).astype(float), (0, longest - len(v)))
     out = []
     for q in queries:
         if q in good:
@@ -45,8 +46,31 @@ def test_empty_and_few(spark):
 
 
 def test_lists():
-    ids, d = ann.nearest(np.array([5, 3, 5, 1]), np.array([0.2, 0.1, 0.2, 0.1], np.float32), 2)
-    assert ids.tolist() == [1, 3] and np.allclose(d, 0.1)
+    ids, d, new = ann.nearest(np.array([5, 3, 5, 1, 3]), np.array([0.2, 0.1, 0.2, 0.1, 0.1], np.float32), np.array([True, True, False, True, False]), 2)
+    assert ids.tolist() == [1, 3] and np.allclose(d, 0.1) and new.tolist() == [True, False]
+    assert [len(x) for x in ann.nearest(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool), 2)] == [0, 0, 0]
+
+
+def test_batches_without_proposals(spark):
+    """A settled graph: no vertex has anything new to propose, in any partition."""
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=4)]) for k in range(40)], "vertex long, vec array<double>")
+    codes, kind = ann.packed(vectors)
+    graph = ann.neighbour_graph(vectors, 39)
+    for state in (graph, graph.withColumn("fresh", ann.F.transform("ids", lambda _: ann.F.lit(True)))):
+        after = ann.descent(state.repartition(211), codes, kind, 39, 9).collect()
+        assert sorted((r["vertex"], r["ids"]) for r in after) == sorted((r["vertex"], r["ids"]) for r in graph.collect())
+        assert not any(x for r in after for x in r["fresh"])
+
+
+def test_recall_with_a_beam_smaller_than_the_table(spark):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(3000, 24)).astype(np.float32).astype(float)
+    docs = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id long, embedding array<double>")
+    asked = list(range(0, 3000, 100))
+    got = ann.nearest_neighbours(docs, docs.where("vec_id % 100 = 0"), beam=64).collect()
+    want = {(q, int(x)) for q in asked for x in np.argsort(((points - points[q]) ** 2).sum(1), kind="stable")[1:11]}
+    assert len(got) == 300 and len({(r["query_id"], r["vec_id"]) for r in got} & want) >= 0.9 * len(want)
 
 
 def test_descent_runs_until_lists_settle(spark, monkeypatch):
