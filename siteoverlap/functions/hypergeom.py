@@ -13,8 +13,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def log_factorials(n: int) -> np.ndarray:
-    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+#: Below this, factorials come from a table; above, Stirling's series is exact to the last bits of a double.
+TABLE = 256
+_TABLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, TABLE)))])
+
+
+def log_factorial(n) -> np.ndarray:
+    """ln n! of each of the numbers, without a table as long as the largest."""
+    n = np.asarray(n, np.int64)
+    x = np.maximum(n, TABLE).astype(float) + 1.0
+    series = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < TABLE, _TABLE[np.minimum(n, TABLE - 1)], series)
+
+
+def log_falling(n, k) -> np.ndarray:
+    """ln n! / (n - k)!, without the cancellation of two logarithms of huge numbers."""
+    n, k = np.broadcast_arrays(np.asarray(n, np.int64), np.asarray(k, np.int64))
+    a, b = np.maximum(n, TABLE).astype(float) + 1.0, np.maximum(n - k, TABLE).astype(float) + 1.0
+    tail = lambda x: 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    large = -(a - 0.5) * np.log1p((b - a) / a) + (a - b) * np.log(b) - (a - b) + tail(a) - tail(b)
+    return np.where(n - k >= TABLE, large, log_factorial(n) - log_factorial(n - k))
 
 
 def cascade_tail(sizes, total: int, observed: int) -> float:
@@ -30,15 +48,15 @@ def cascade_tail(sizes, total: int, observed: int) -> float:
         return 0.0
     if observed <= 0:
         return 1.0
-    lf = log_factorials(total)
+    lf = log_factorial
     mass = np.zeros(sizes[0] + 1)
     mass[sizes[0]] = 1.0
     for n in sizes[1:]:
         new = np.zeros_like(mass)
-        fixed = lf[n] + lf[total - n] - lf[total]
+        fixed = lf(n) - log_falling(total, n)
         for t in np.flatnonzero(mass):
             s = np.arange(max(0, t + n - total), min(t, n) + 1)
-            new[s] += mass[t] * np.exp(fixed + lf[t] - lf[s] - lf[t - s] + lf[total - t] - lf[n - s] - lf[total - t - n + s])
+            new[s] += mass[t] * np.exp(fixed + lf(t) - lf(s) - lf(t - s) + log_falling(total - t, n - s) - lf(n - s))
         mass = new
     return float(min(1.0, mass[observed:].sum()))
 

@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hypergeom import overlap_pvalue
-from .overlap import with_units
-from .resample import block_expected_profile, block_null_summaries, sample_without_replacement
-from .summary import chromosomes
+from .overlap import window_id
+from .resample import expected_profile, kept, null_summaries, replicate_profiles, sample_without_replacement
 
 KEYS = ("scenario", "universe_id", "replicate")
 
@@ -41,41 +40,51 @@ def overlap_pvalues(universe: DataFrame, sampled: DataFrame, methods: int) -> Da
     return n.join(total, [*by, "chrom"]).select(*KEYS, "chrom", overlap_pvalue("n_i", "n_units", "k_obs").alias("p_value"))
 
 
-def calibrate_overlap(universe: DataFrame, counts: DataFrame, methods: int, replicates: int, seed: int, window: int = 1, test: Callable[[DataFrame, DataFrame, int], DataFrame] = overlap_pvalues) -> DataFrame:
+def grid_of(universe: DataFrame, replicates: int) -> DataFrame:
+    """KEYS, chrom: every replicate of every chromosome up to the last of each universe."""
+    top = universe.groupBy("scenario", "universe_id").agg(F.max("chrom").alias("top")).where("top >= 1")
+    rows = top.select("scenario", "universe_id", F.explode(F.sequence(F.lit(1), F.col("top"))).alias("chrom"))
+    return rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select(*KEYS, "chrom")
+
+
+def units_of(universe: DataFrame, window: int) -> DataFrame:
+    """scenario, universe_id, chrom, pos: the distinct units of each universe, windows from its first site on."""
+    if window > 1:
+        by = ["scenario", "universe_id", "chrom"]
+        first = universe.groupBy(*by).agg(F.min("pos").alias("first_pos"))
+        universe = universe.join(first, by).withColumn("pos", window_id(F.col("pos"), F.col("first_pos"), window))
+    return universe.select("scenario", "universe_id", "chrom", "pos").distinct()
+
+
+def calibrate_overlap(
+    universe: DataFrame, counts: DataFrame, methods: int, replicates: int, seed: int, window: int = 1, test: Callable[[DataFrame, DataFrame, int], DataFrame] = overlap_pvalues, sampler: Callable = sample_without_replacement,
+) -> DataFrame:
     """P-values of candidate sets of the given sizes (method, chrom, n), drawn from the units of each universe; ``test`` may be any test over replicates.
 
     With windows, as many windows are drawn as there were sites, at most all. Each
     replicate has a row for every chromosome of the universe, with p = 1 where
-    nothing could be drawn.
+    nothing could be drawn. For many replicates take ``resample.sample_indices``.
     """
     universe = keyed(universe)
-    out = None
-    groups = universe.select("scenario", "universe_id").distinct().collect()  # one row a universe
-    for g in groups:
-        one = universe.where((F.col("scenario") == g["scenario"]) & (F.col("universe_id") == g["universe_id"]))
-        units = with_units(one, one, window).select("chrom", F.col("unit").alias("pos")).distinct()
-        tag = {"scenario": F.lit(g["scenario"]), "universe_id": F.lit(g["universe_id"])}
-        drawn = sample_without_replacement(units, counts, replicates, seed + g["universe_id"]).withColumns(tag)
-        tested = test(units.withColumns(tag), drawn, methods)
-        grid = chromosomes(one).select("chrom", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumns(tag)
-        part = grid.join(tested, [*KEYS, "chrom"], "left").select(*KEYS, "chrom", F.coalesce("p_value", F.lit(1.0)).alias("p_value"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def calibrate_distance(universe: DataFrame, counts: DataFrame, replicates: int, null_replicates: int, seed: int, block: int = 100) -> DataFrame:
-    """P-values of the distance test: profile and null summaries once, then each replicate held against them. Untestable chromosomes have p = 1."""
-    expected = block_expected_profile(universe, counts, null_replicates, seed, block)
-    nulls = block_null_summaries(universe, counts, expected, null_replicates, seed, block).select("chrom", F.col("entropy").alias("e0"), F.col("median").alias("m0"))
-    tried = block_null_summaries(universe, counts, expected, replicates, seed + 1, block)
-    middle = expected.groupBy("chrom").agg(F.percentile("avg_dist", F.lit(0.5)).alias("e_median"))
-    held = tried.join(nulls, "chrom").join(middle, "chrom").groupBy("replicate", "chrom", "entropy", "median", "e_median").agg(
+    units = units_of(universe, window)
+    tested = test(units, sampler(units, counts, replicates, seed, keys=KEYS[:2]), methods)
+    return grid_of(universe, replicates).join(tested, [*KEYS, "chrom"], "left").select(*KEYS, "chrom", F.coalesce("p_value", F.lit(1.0)).alias("p_value"))
+
+
+def calibrate_distance(universe: DataFrame, counts: DataFrame, replicates: int, null_replicates: int, seed: int, sampler: Callable = sample_without_replacement) -> DataFrame:
+    """P-values of the distance test in each universe: profile and null summaries once, then each replicate held against them. Untestable chromosomes have p = 1."""
+    universe, by = keyed(universe), KEYS[:2]
+    null = kept(replicate_profiles(sampler(universe, counts, null_replicates, seed, keys=by), by))
+    expected = kept(expected_profile(null, by))
+    nulls = null_summaries(null, expected, by).select(*by, "chrom", F.col("entropy").alias("e0"), F.col("median").alias("m0"))
+    tried = null_summaries(replicate_profiles(sampler(universe, counts, replicates, seed + 1, keys=by), by), expected, by)
+    middle = expected.groupBy(*by, "chrom").agg(F.percentile("avg_dist", F.lit(0.5)).alias("e_median"))
+    held = tried.join(nulls, [*by, "chrom"]).join(middle, [*by, "chrom"]).groupBy(*KEYS, "chrom", "entropy", "median", "e_median").agg(
         F.count_if((F.col("e0") >= F.col("entropy")) & (F.col("m0") <= F.col("e_median"))).alias("b")
     )
     p = F.when(F.col("median") > F.col("e_median"), 1.0).otherwise((F.col("b") + 1) / (null_replicates + 1))
-    grid = chromosomes(universe).select("chrom", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    held = grid.join(held.select("replicate", "chrom", p.alias("p")), ["replicate", "chrom"], "left")
-    return held.select(F.lit("empirical").alias("scenario"), F.lit(0).alias("universe_id"), "replicate", "chrom", F.coalesce("p", F.lit(1.0)).alias("p_value"))
+    held = grid_of(universe, replicates).join(held.select(*KEYS, "chrom", p.alias("p")), [*KEYS, "chrom"], "left")
+    return held.select(*KEYS, "chrom", F.coalesce("p", F.lit(1.0)).alias("p_value"))
 
 
 def fp_rates(pvalues: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -26,8 +26,17 @@ def profile(distances: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFra
 
 
 def nearest_distances(candidates: DataFrame, first: int = 1, last: int = 10) -> DataFrame:
-    """chrom, rnk, dist: the first to last smallest distances of each chromosome."""
-    return profile(cross_distances(candidates)).where(F.col("rnk") <= last).where(F.col("rnk") >= first)
+    """chrom, rnk, dist: the first to last smallest distances of each chromosome.
+
+    Each site meets only the ``last`` sites behind it. Of two sites further apart in
+    order, each site between them is of another method than one of the two, which
+    makes as many pairs that are no wider.
+    """
+    ahead = Window.partitionBy("chrom").orderBy("pos", "method").rowsBetween(1, last)
+    pairs = candidates.select("method", "chrom", "pos", F.collect_list(F.struct("method", "pos")).over(ahead).alias("others"))
+    pairs = pairs.select("method", "chrom", "pos", F.explode("others").alias("to"))
+    near = pairs.where(F.col("to.method") != F.col("method")).select("chrom", (F.col("to.pos") - F.col("pos")).alias("dist"))
+    return profile(near).where(F.col("rnk") <= last).where(F.col("rnk") >= first)
 
 
 def distance_medians(ranked: DataFrame, value: str = "dist", keys: tuple[str, ...] = ("chrom",), truncate: bool = False) -> DataFrame:
@@ -41,15 +50,22 @@ def distance_medians(ranked: DataFrame, value: str = "dist", keys: tuple[str, ..
 def relative_entropy(observed: DataFrame, expected: DataFrame, keys: tuple[str, ...] = ("chrom",), on: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """keys, entropy of two profiles (dist by rank, avg_dist by rank), both normalised to sum 1.
 
-    0 where a profile has fewer than two ranks or no distance; profiles of one
-    chromosome must be equally long.
+    0 where a profile has fewer than two ranks or no distance; profiles of unequal
+    length are an error. With the sum of the expected profile known (a row for each of
+    ``on``), one join and one aggregate do: sum of P ln P - P ln Q from sums of p.
     """
-    both = observed.select(*keys, "rnk", F.col("dist").cast("double").alias("p")).join(expected.select(*on, "rnk", F.col("avg_dist").alias("q")), [*on, "rnk"])
-    sums = both.groupBy(*keys).agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"), F.count("*").alias("n"))
-    p, q = F.col("p") / F.col("sp"), F.greatest(F.col("q") / F.col("sq"), F.lit(1e-15))
-    term = F.when(F.col("p") > 0, p * F.ln(p / q)).otherwise(0.0)
+    sums = expected.groupBy(*on).agg(F.sum("avg_dist").alias("sq"), F.count("*").alias("length"))
+    q = expected.join(sums, list(on)).select(*on, "rnk", "sq", "length", F.ln(F.greatest(F.col("avg_dist") / F.when(F.col("sq") > 0, F.col("sq")), F.lit(1e-15))).alias("lq"))
+    both = observed.select(*keys, "rnk", F.col("dist").cast("double").alias("p")).join(q, [*on, "rnk"], "left")
+    p = F.col("p")
+    sums = both.groupBy(*keys).agg(
+        F.sum("p").alias("sp"), F.sum(F.when(p > 0, p * F.ln("p")).otherwise(0.0)).alias("plp"), F.sum(F.when(p > 0, p * F.col("lq")).otherwise(0.0)).alias("plq"),
+        F.count("*").alias("n"), F.max("length").alias("length"), F.max("sq").alias("sq"),
+    )
     ok = (F.col("n") >= 2) & (F.col("sp") > 0) & (F.col("sq") > 0)
-    return both.join(sums, list(keys)).groupBy(*keys).agg(F.sum(F.when(ok, term).otherwise(0.0)).alias("entropy"))
+    entropy = F.when(ok, (F.col("plp") - F.col("plq")) / F.col("sp") - F.ln("sp")).otherwise(0.0)
+    same = F.col("n") == F.col("length")
+    return sums.select(*keys, F.when(F.coalesce(same, F.lit(False)), entropy).otherwise(F.raise_error(F.lit("profiles of different length")).cast("double")).alias("entropy"))
 
 
 def distance_histogram(observed: DataFrame, expected: DataFrame) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Gaps and islands: thinning of clusters, pooled islands."""
+"""Gaps and islands: thinning of clusters, pooled islands.
+
+Sites in one stretch of gap + 1 positions belong to one island anyway. So sites are
+first combined by (group, stretch), where Spark aggregates before the shuffle, and
+only the stretches are put in order: a group has at most range / gap of them, however
+many sites it has.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +12,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_islands(sites: DataFrame, gap: int, by: tuple[str, ...]) -> DataFrame:
-    """Adds ``island``, counted from 0: a new one starts where the step from the site before exceeds the gap."""
-    order = Window.partitionBy(*by).orderBy("pos")
+def stretch(gap: int):
+    return F.floor(F.col("pos") / F.lit(gap + 1))
+
+
+def stretches(sites: DataFrame, gap: int, by: tuple[str, ...]) -> DataFrame:
+    """by, stretch, first, last, n, island (from 0): a new island starts where the step from the site before exceeds the gap."""
+    some = sites.groupBy(*by, stretch(gap).alias("stretch")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
+    order = Window.partitionBy(*by).orderBy("stretch")
     run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    far = F.coalesce((F.col("pos") - F.lag("pos").over(order) > gap).cast("long"), F.lit(0))
-    return sites.withColumn("far", far).withColumn("island", F.sum("far").over(run)).drop("far")
+    far = F.coalesce((F.col("first") - F.lag("last").over(order) > gap).cast("long"), F.lit(0))
+    return some.withColumn("far", far).withColumn("island", F.sum("far").over(run)).drop("far")
+
+
+def with_islands(sites: DataFrame, gap: int, by: tuple[str, ...]) -> DataFrame:
+    """The sites with their ``island``."""
+    found = stretches(sites, gap, by).select(*by, "stretch", "island")
+    return sites.withColumn("stretch", stretch(gap)).join(found, [*by, "stretch"]).select(*sites.columns, "island")
 
 
 def thin_clusters(candidates: DataFrame, gap: int = 10_000, least: int | None = None) -> DataFrame:
@@ -19,13 +36,14 @@ def thin_clusters(candidates: DataFrame, gap: int = 10_000, least: int | None =
 
     The universe is never thinned.
     """
+    sites = candidates.select("method", "chrom", "pos")
     if least is None:
-        return candidates.select("method", "chrom", "pos")
-    own = Window.partitionBy("method", "chrom")
-    counted = candidates.select("method", "chrom", "pos", F.count("*").over(own).alias("n"))
-    grouped = with_islands(counted, gap, ("method", "chrom")).withColumn("lone", F.when(F.col("n") < least, F.monotonically_increasing_id()).otherwise(-1))
-    ends = grouped.groupBy("method", "chrom", "island", "lone").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
-    return ends.select("method", "chrom", F.explode(F.array_distinct(F.array("a", "b"))).alias("pos"))
+        return sites
+    ends = stretches(sites, gap, ("method", "chrom")).groupBy("method", "chrom", "island").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.sum("n").alias("n"))
+    ends = ends.withColumn("total", F.sum("n").over(Window.partitionBy("method", "chrom")))
+    thinned = ends.where(F.col("total") >= least).select("method", "chrom", F.explode(F.array_distinct(F.array("a", "b"))).alias("pos"))
+    small = sites.groupBy("method", "chrom").agg(F.count("*").alias("n")).where(F.col("n") < least)
+    return thinned.unionByName(sites.join(small, ["method", "chrom"], "left_semi"))
 
 
 def pooled_islands(candidates: DataFrame, distance: int) -> DataFrame:

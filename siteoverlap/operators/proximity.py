@@ -20,6 +20,11 @@ def subset_name(methods: tuple[int, ...], k: int) -> str:
     return "SEL_" + ("_" if k >= 10 else "").join(map(str, methods))
 
 
+def subsets_of(methods: int, sizes: tuple[int, ...] | None = None) -> list[tuple[int, ...]]:
+    """All subsets of these sizes (2 to all), smaller ones first."""
+    return [x for size in sizes or range(2, methods + 1) for x in combinations(range(1, methods + 1), size)]
+
+
 def proximity_pairs(candidates: DataFrame, distance: int) -> DataFrame:
     """method_i, method_j, chrom, pos_i, pos_j (i < j) of distinct sites at most ``distance`` apart, by a join on bins of distance + 1."""
     sites = candidates.select("method", "chrom", "pos").distinct().withColumn("bin", F.floor(F.col("pos") / (distance + 1)))
@@ -33,17 +38,16 @@ def proximity_tuples(candidates: DataFrame, distance: int, methods: int, sizes:
     """chrom, subset, size, positions (in method order) of all qualifying tuples of the subsets of these sizes (2 to all)."""
     islands = pooled_islands(candidates, distance)
     out = None
-    for size in sizes or range(2, methods + 1):
-        for subset in combinations(range(1, methods + 1), size):
-            rows = None
-            for m in subset:
-                own = islands.where(F.col("method") == m).select("chrom", "island", F.col("pos").alias(f"p{m}"))
-                rows = own if rows is None else rows.join(own, ["chrom", "island"])
-            rows = rows.select("chrom", F.array(*(f"p{m}" for m in subset)).alias("positions"))
-            line = F.array_sort("positions")
-            steps = F.zip_with(F.slice(line, 2, size - 1), F.slice(line, 1, size - 1), lambda b, a: b - a <= distance)
-            rows = rows.where(F.forall(steps, lambda x: x)).select("chrom", F.lit(subset_name(subset, methods)).alias("subset"), F.lit(size).alias("size"), "positions")
-            out = rows if out is None else out.unionByName(rows)
+    for subset in subsets_of(methods, sizes):
+        rows, size = None, len(subset)
+        for m in subset:
+            own = islands.where(F.col("method") == m).select("chrom", "island", F.col("pos").alias(f"p{m}"))
+            rows = own if rows is None else rows.join(own, ["chrom", "island"])
+        rows = rows.select("chrom", F.array(*(f"p{m}" for m in subset)).alias("positions"))
+        line = F.array_sort("positions")
+        steps = F.zip_with(F.slice(line, 2, size - 1), F.slice(line, 1, size - 1), lambda b, a: b - a <= distance)
+        rows = rows.where(F.forall(steps, lambda x: x)).select("chrom", F.lit(subset_name(subset, methods)).alias("subset"), F.lit(size).alias("size"), "positions")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

@@ -1,47 +1,106 @@
 """Random candidate sets and the resampling test of the distance profile.
 
-Replicates are pure functions of (seed, replicate, method, chromosome), so two
-passes over them see the same draws and lost tasks repeat them. The hash sampler
-is declarative and exact in any engine with md5; for many replicates the block
-sampler draws indices inside tasks keyed by (chromosome, block of replicates) and
-only partial sums or one row a replicate leave a task.
+Replicates are a grouping key, and draws are pure functions of (seed, replicate,
+method, chromosome): two passes over them see the same draws and lost tasks repeat
+them. Both samplers are plain column expressions over md5, which any engine can
+follow. The hash sampler looks at every universe site for every replicate; the index
+sampler draws places, so that its work follows the size of the samples alone.
+
+``keys`` are further columns of the universe (as scenario and universe_id); each of
+their values is a universe of its own.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distances import cross_distances, distance_medians, profile, relative_entropy
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows that are read more than once: checkpointed where the session names a folder for it, else computed again."""
+    return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
+
+
 def replicates_of(counts: DataFrame, replicates: int) -> DataFrame:
-    """method, chrom, n, replicate (1..R)."""
+    """counts with replicate (1..R)."""
     return counts.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
 
 
-def hash_key(seed: int, *columns: str):
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in columns)))
+def seed_of(seed: int, keys: tuple[str, ...]) -> Column:
+    """Universes have seeds of their own."""
+    return (F.lit(seed) + F.col("universe_id") if "universe_id" in keys else F.lit(seed)).cast("string")
+
+
+def hash_key(seed: int, *columns: str, keys: tuple[str, ...] = ()) -> Column:
+    return F.md5(F.concat_ws("|", seed_of(seed, keys), *(F.col(c).cast("string") for c in columns)))
+
+
+def number_of(key: Column) -> Column:
+    """The first 15 hexadecimal digits as a number."""
+    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
 
-def sample_without_replacement(universe: DataFrame, counts: DataFrame, replicates: int, seed: int, strict: bool = False) -> DataFrame:
-    """replicate, method, chrom, pos: n universe sites each, those of smallest md5; capped at what there is (``strict``: an error)."""
-    sites = universe.select("chrom", "pos").distinct()
-    if strict and not counts.join(sites.groupBy("chrom").agg(F.count("*").alias("have")), "chrom", "left").where("n > coalesce(have, 0)").isEmpty():
-        raise ValueError("a sample is larger than its universe")
-    drawn = sites.join(replicates_of(counts.where("n > 0"), replicates), "chrom").withColumn("key", hash_key(seed, "replicate", "method", "chrom", "pos"))
-    order = Window.partitionBy("replicate", "method", "chrom").orderBy("key", "pos")
-    return drawn.withColumn("rnk", F.row_number().over(order)).where("rnk <= n").select("replicate", "method", "chrom", "pos")
+def sizes(universe: DataFrame, counts: DataFrame, replicates: int, strict: bool, keys: tuple[str, ...]) -> DataFrame:
+    """keys, method, chrom, n, replicate, have (sites of the universe); n is at most have, or with ``strict`` larger samples are an error."""
+    have = universe.groupBy(*keys, "chrom").agg(F.countDistinct("pos").alias("have"))
+    on = [*(k for k in keys if k in counts.columns), "chrom"]
+    rows = counts.where("n > 0").join(have, on, "left" if strict else "inner")
+    if strict:
+        rows = rows.withColumn("n", F.when(F.col("n") > F.coalesce("have", F.lit(0)), F.raise_error(F.lit("a sample is larger than its universe"))).otherwise(F.col("n")))
+    return replicates_of(rows.select(*keys, "method", "chrom", F.least("n", "have").alias("n"), "have"), replicates)
 
 
-def sample_uniform(universe: DataFrame, counts: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """replicate, method, chrom, pos: n integers each, uniform on [min, max], with replacement."""
-    ends = universe.groupBy("chrom").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    drawn = replicates_of(counts.where("n > 0"), replicates).join(ends, "chrom").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    value = F.conv(F.substring(hash_key(seed, "replicate", "method", "chrom", "j"), 1, 15), 16, 10).cast("long")
-    return drawn.select("replicate", "method", "chrom", (F.col("lo") + value % (F.col("hi") - F.col("lo") + 1)).alias("pos"))
+def enough(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows with rnk <= n; a group that has fewer rows than its n is an error (the margins of the samplers leave less than one case in 10^20)."""
+    rows = rows.withColumn("there", F.count("*").over(Window.partitionBy(*by)))
+    return rows.where(F.col("rnk") <= F.when(F.col("there") < F.col("n"), F.raise_error(F.lit("too few draws"))).otherwise(F.col("n")))
+
+
+def sample_without_replacement(universe: DataFrame, counts: DataFrame, replicates: int, seed: int, strict: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, replicate, method, chrom, pos: n universe sites each, those of smallest md5; capped at what there is (``strict``: an error).
+
+    Only keys below a bound a little over n / N are sorted.
+    """
+    by = [*keys, "replicate", "method", "chrom"]
+    drawn = universe.select(*keys, "chrom", "pos").distinct().join(sizes(universe, counts, replicates, strict, keys), [*keys, "chrom"])
+    drawn = drawn.withColumn("key", hash_key(seed, "replicate", "method", "chrom", "pos", keys=keys))
+    share = (F.col("n") + 10 * F.sqrt("n") + 50) / F.col("have")
+    drawn = drawn.where((share >= 1) | (number_of(F.col("key")) < share * float(16**15)))
+    order = Window.partitionBy(*by).orderBy("key", "pos")
+    return enough(drawn.withColumn("rnk", F.row_number().over(order)), by).select(*by, "pos")
+
+
+def sample_indices(universe: DataFrame, counts: DataFrame, replicates: int, seed: int, strict: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The same columns by drawing places 0..N - 1 (sites in order) until n are different: for many replicates.
+
+    Draw j is md5(seed|replicate|method|chrom|j) mod N. Samples of more than half a
+    universe are those not drawn by a sample of N - n places.
+    """
+    by = [*keys, "replicate", "method", "chrom"]
+    size = sizes(universe, counts, replicates, strict, keys)
+    places = universe.select(*keys, "chrom", "pos").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*keys, "chrom").orderBy("pos")) - 1)
+    size = size.withColumns({"most": 2 * F.col("n") > F.col("have"), "want": F.col("n")}).withColumn("n", F.when(F.col("most"), F.col("have") - F.col("n")).otherwise(F.col("n")))
+    tries = (2 * F.col("n") + 20 * F.sqrt("n") + 50).cast("int")  # n of at most N / 2 take 1.39 n draws on average
+    drawn = size.where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(1), tries)))
+    drawn = drawn.withColumn("place", (number_of(hash_key(seed, "replicate", "method", "chrom", "j", keys=keys)) % F.col("have")).cast("int"))
+    drawn = drawn.groupBy(*by, "n", "most", "place").agg(F.min("j").alias("j"))
+    drawn = enough(drawn.withColumn("rnk", F.row_number().over(Window.partitionBy(*by).orderBy("j"))), by).select(*by, "most", "place")
+    few = drawn.where("not most").join(places, [*keys, "chrom", "place"]).select(*by, "pos")
+    rest = size.where("most").select(*by).join(places, [*keys, "chrom"]).join(drawn.where("most").select(*by, "place"), [*by, "place"], "left_anti")
+    return few.unionByName(rest.select(*by, "pos"))
+
+
+def sample_uniform(universe: DataFrame, counts: DataFrame, replicates: int, seed: int, strict: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, replicate, method, chrom, pos: n integers each, uniform on [min, max], with replacement (so ``strict`` changes nothing)."""
+    ends = universe.groupBy(*keys, "chrom").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    on = [*(k for k in keys if k in counts.columns), "chrom"]
+    drawn = replicates_of(counts.where("n > 0"), replicates).join(ends, on).withColumn("j", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    value = number_of(hash_key(seed, "replicate", "method", "chrom", "j", keys=keys))
+    return drawn.select(*keys, "replicate", "method", "chrom", (F.col("lo") + value % (F.col("hi") - F.col("lo") + 1)).alias("pos"))
 
 
 def sites_of_windows(universe: DataFrame, sampled: DataFrame, window: int, seed: int) -> DataFrame:
@@ -53,89 +112,41 @@ def sites_of_windows(universe: DataFrame, sampled: DataFrame, window: int, seed:
     return rows.withColumn("rnk", F.row_number().over(order)).where("rnk = 1").select("replicate", "method", "chrom", "pos")
 
 
-def replicate_profiles(sampled: DataFrame) -> DataFrame:
-    """replicate, chrom, rnk, dist."""
-    return profile(cross_distances(sampled, ("replicate", "chrom")), ("replicate", "chrom"))
+def replicate_profiles(sampled: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, replicate, chrom, rnk, dist."""
+    by = (*keys, "replicate", "chrom")
+    return profile(cross_distances(sampled, by), by)
 
 
-def expected_profile(profiles: DataFrame) -> DataFrame:
-    """chrom, rnk, avg_dist over the replicates."""
-    return profiles.groupBy("chrom", "rnk").agg(F.avg("dist").alias("avg_dist"))
+def expected_profile(profiles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, chrom, rnk, avg_dist over the replicates."""
+    return profiles.groupBy(*keys, "chrom", "rnk").agg(F.avg("dist").alias("avg_dist"))
 
 
-def null_summaries(profiles: DataFrame, expected: DataFrame) -> DataFrame:
-    """replicate, chrom, entropy, median."""
-    keys = ("replicate", "chrom")
-    return relative_entropy(profiles, expected, keys).join(distance_medians(profiles, keys=keys), list(keys))
+def null_summaries(profiles: DataFrame, expected: DataFrame, keys: tuple[str, ...] = (), truncate: bool = False) -> DataFrame:
+    """keys, replicate, chrom, entropy, median."""
+    by = (*keys, "replicate", "chrom")
+    return relative_entropy(profiles, expected, by, (*keys, "chrom")).join(distance_medians(profiles, keys=by, truncate=truncate), list(by))
 
 
-def resampling_pvalue(observed: DataFrame, expected: DataFrame, nulls: DataFrame, axis: DataFrame, replicates: int) -> DataFrame:
+def resampling_pvalue(observed: DataFrame, expected: DataFrame, nulls: DataFrame, axis: DataFrame, replicates: int, truncate: bool = False) -> DataFrame:
     """chrom, entropy, o_median, e_median, p_value = (b + 1) / (R + 1), b counting replicates as extreme and no wider than expected.
 
-    1 where the observed median exceeds the expected one or the chromosome has no distances.
+    1 where the observed median exceeds the expected one or the chromosome has no
+    distances. ``truncate`` cuts both medians to integers before they are compared.
     """
-    o = relative_entropy(observed, expected).join(distance_medians(observed).withColumnRenamed("median", "o_median"), "chrom")
-    o = o.join(distance_medians(expected, "avg_dist").withColumnRenamed("median", "e_median"), "chrom")
+    o = relative_entropy(observed, expected).join(distance_medians(observed, truncate=truncate).withColumnRenamed("median", "o_median"), "chrom")
+    o = o.join(distance_medians(expected, "avg_dist", truncate=truncate).withColumnRenamed("median", "e_median"), "chrom")
     n = nulls.withColumnsRenamed({"entropy": "r_entropy", "median": "r_median"}).join(o, "chrom").groupBy("chrom").agg(F.count_if((F.col("r_entropy") >= F.col("entropy")) & (F.col("r_median") <= F.col("e_median"))).alias("b"))
     rows = axis.join(o, "chrom", "left").join(n, "chrom", "left")
     p = F.when(F.col("entropy").isNull() | (F.col("o_median") > F.col("e_median")), 1.0).otherwise((F.coalesce("b", F.lit(0)) + 1) / (replicates + 1))
     return rows.select("chrom", "entropy", "o_median", "e_median", p.alias("p_value"))
 
 
-def _draw(seed: int, chrom: int, replicate: int, sites: np.ndarray, sizes: np.ndarray, uniform: bool) -> np.ndarray:
-    """Sorted cross-method distances of one replicate."""
-    sets = []
-    for method, n in enumerate(sizes, 1):
-        rng = np.random.default_rng([seed, chrom, replicate, method])
-        sets.append(rng.integers(sites[0], sites[-1] + 1, n) if uniform else sites[rng.choice(len(sites), min(n, len(sites)), replace=False)])
-    every = [np.abs(a[:, None] - b[None]).ravel() for k, a in enumerate(sets) for b in sets[k + 1 :]]
-    return np.sort(np.concatenate(every)) if every else np.zeros(0)
-
-
-def _blocks(universe: DataFrame, counts: DataFrame, replicates: int, block: int) -> DataFrame:
-    """chrom, block, sites (sorted), sizes: a universe chromosome once for each block of replicates."""
-    sites = universe.groupBy("chrom").agg(F.array_sort(F.collect_set("pos")).alias("sites"))
-    sizes = counts.groupBy("chrom").agg(F.transform(F.array_sort(F.collect_list(F.struct("method", "n"))), lambda x: x["n"]).alias("sizes"))
-    rows = sites.join(sizes, "chrom").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // block))))
-    return rows.repartition("chrom", "block")
-
-
-def block_expected_profile(universe: DataFrame, counts: DataFrame, replicates: int, seed: int, block: int = 100, uniform: bool = False) -> DataFrame:
-    """Pass 1: chrom, rnk, avg_dist from partial sums of each block."""
-
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                span = range(r.block * block + 1, min(replicates, (r.block + 1) * block) + 1)
-                total = sum(_draw(seed, r.chrom, k, np.asarray(r.sites), np.asarray(r.sizes), uniform) for k in span)
-                yield pd.DataFrame({"chrom": r.chrom, "rnk": np.arange(1, len(total) + 1), "s": np.asarray(total, float)})
-
-    sums = _blocks(universe, counts, replicates, block).mapInPandas(run, "chrom int, rnk long, s double")
-    return sums.groupBy("chrom", "rnk").agg((F.sum("s") / replicates).alias("avg_dist"))
-
-
-def block_null_summaries(universe: DataFrame, counts: DataFrame, expected: DataFrame, replicates: int, seed: int, block: int = 100, uniform: bool = False) -> DataFrame:
-    """Pass 2: replicate, chrom, entropy, median from the same draws."""
-    lists = expected.groupBy("chrom").agg(F.transform(F.array_sort(F.collect_list(F.struct("rnk", "avg_dist"))), lambda x: x["avg_dist"]).alias("q"))
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                q = np.asarray(r.q, float)
-                for k in range(r.block * block + 1, min(replicates, (r.block + 1) * block) + 1):
-                    d = _draw(seed, r.chrom, k, np.asarray(r.sites), np.asarray(r.sizes), uniform).astype(float)
-                    rows.append((k, r.chrom, entropy_of(d, q), float(np.median(d)) if len(d) else 0.0))
-            yield pd.DataFrame(rows, columns=["replicate", "chrom", "entropy", "median"])
-
-    return _blocks(universe, counts, replicates, block).join(lists, "chrom").mapInPandas(run, "replicate int, chrom int, entropy double, median double")
-
-
-def entropy_of(p: np.ndarray, q: np.ndarray) -> float:
-    """Relative entropy of two equally long profiles."""
-    if len(p) != len(q):
-        raise ValueError("profiles of different length")
-    if len(p) < 2 or p.sum() <= 0 or q.sum() <= 0:
-        return 0.0
-    p, q = p / p.sum(), np.maximum(q / q.sum(), 1e-15)
-    return float((p[p > 0] * np.log(p[p > 0] / q[p > 0])).sum())
+def distance_test(universe: DataFrame, candidates: DataFrame, axis: DataFrame, replicates: int, seed: int, sampler: Callable = sample_without_replacement, truncate: bool = False) -> DataFrame:
+    """The whole test: samples of the candidates' sizes (more than there are sites is an error), expected profile, null summaries, p-values."""
+    n = candidates.groupBy("method", "chrom").agg(F.count("*").alias("n"))
+    profiles = kept(replicate_profiles(sampler(universe, n, replicates, seed, strict=True)))
+    expected = kept(expected_profile(profiles))
+    observed = kept(profile(cross_distances(candidates)))
+    return resampling_pvalue(observed, expected, null_summaries(profiles, expected, truncate=truncate), axis, replicates, truncate)

@@ -37,6 +37,11 @@ def dense_counts(candidates: DataFrame, axis: DataFrame, methods: int) -> DataFr
     return grid.join(n, ["method", "chrom"], "left").select("method", "chrom", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def chromosome_totals(sites: DataFrame) -> DataFrame:
+    """chrom, total: all rows of each chromosome, as the reports give for the universe."""
+    return sites.groupBy("chrom").agg(F.count("*").alias("total"))
+
+
 def site_stats(sites: DataFrame) -> DataFrame:
     """Per (method, chrom): smallest, largest, range, mean, population deviation and median position."""
     return sites.groupBy("method", "chrom").agg(

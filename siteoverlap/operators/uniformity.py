@@ -1,7 +1,9 @@
 """How evenly sites cover each chromosome: statistics, scores, ranking.
 
-All statistics are closed forms over the rank of a distinct position, so one
-window and one aggregate suffice. Undefined values are null.
+All statistics are closed forms over the rank of a distinct position. A rank is that
+within the bin plus the number of positions in the bins before, so a chromosome is
+spread over as many tasks as it has bins, and only its bins are put in order.
+Undefined values are null.
 """
 
 from __future__ import annotations
@@ -20,23 +22,22 @@ def spatial_uniformity(universe: DataFrame, bins: int | None = None) -> DataFram
     Fewer than 10 rows: all statistics null. A single position: ks 1, the rest null.
     """
     own = universe.groupBy("chrom", "pos").agg(F.count("*").alias("times"))
-    by = Window.partitionBy("chrom")
-    rows = own.withColumns(
-        {"i": F.row_number().over(by.orderBy("pos")), "n": F.count("*").over(by), "raw": F.sum("times").over(by), "lo": F.min("pos").over(by), "hi": F.max("pos").over(by)}
-    )
+    size = own.groupBy("chrom").agg(F.count("*").alias("n"), F.sum("times").alias("raw"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     b = F.lit(bins) if bins else F.least(F.lit(BINS_HIGH), F.greatest(F.lit(BINS_LOW), F.floor(F.col("n") / BIN_TARGET)))
-    rows = rows.withColumns({"span": F.col("hi") - F.col("lo"), "b": b.cast("long")})
-    x, n, i = F.when(F.col("span") > 0, (F.col("pos") - F.col("lo")) / F.col("span")), F.col("n"), F.col("i")
-    rows = rows.withColumns({
-        "ks": F.greatest(i / n - x, x - (i - 1) / n), "cvm": F.pow((2 * i - 1) / (2 * n) - x, F.lit(2)),
-        "bin": F.floor((F.col("pos") - F.col("lo")) * F.col("b") / (F.col("span") + 1)),
-    })
+    size = size.withColumns({"span": F.col("hi") - F.col("lo"), "b": b.cast("long")}).drop("hi")
+    rows = own.join(size, "chrom").withColumn("bin", F.floor((F.col("pos") - F.col("lo")) * F.col("b") / (F.col("span") + 1)))
+    x, n = F.when(F.col("span") > 0, (F.col("pos") - F.col("lo")) / F.col("span")), F.col("n")
+    rows = rows.select("chrom", "bin", "n", "raw", "span", "b", x.alias("x"), F.row_number().over(Window.partitionBy("chrom", "bin").orderBy("pos")).alias("r"))
+    u = (2 * F.col("r") - 1) / (2 * n) - F.col("x")
     per_bin = rows.groupBy("chrom", "bin").agg(
-        F.count("*").alias("c"), F.max("ks").alias("ks"), F.sum("cvm").alias("cvm"), F.first("n").alias("n"), F.first("raw").alias("raw"), F.first("span").alias("span"), F.first("b").alias("b")
-    )
-    out = per_bin.groupBy("chrom").agg(
-        F.max("ks").alias("ks"), F.sum("cvm").alias("cvm"), F.sum(F.col("c") * F.col("c")).cast("double").alias("c2"),
-        F.first("n").alias("n"), F.first("raw").alias("raw"), F.first("span").alias("span"), F.first("b").alias("b"),
+        F.count("*").alias("c"), F.max(F.col("r") / n - F.col("x")).alias("over"), F.max(F.col("x") - (F.col("r") - 1) / n).alias("under"), F.sum(u).alias("u"), F.sum(u * u).alias("u2"),
+        *(F.first(c).alias(c) for c in ("n", "raw", "span", "b")),
+    )
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / n
+    off = F.col("off")
+    out = per_bin.withColumn("off", before).groupBy("chrom").agg(
+        F.max(F.greatest(F.col("over") + off, F.col("under") - off)).alias("ks"), F.sum(F.col("u2") + 2 * off * F.col("u") + F.col("c") * off * off).alias("cvm"),
+        F.sum(F.col("c") * F.col("c")).cast("double").alias("c2"), *(F.first(c).alias(c) for c in ("n", "raw", "span", "b")),
     )
     enough, spread, mean = F.col("raw") >= LEAST_SITES, F.col("span") > 0, F.col("n") / F.col("b")
     ok = enough & spread
@@ -113,8 +114,9 @@ def rank_terciles(metrics: DataFrame, key: str = "ks_stat") -> DataFrame:
     return ranked(rows, key)
 
 
-def metrics_by_class(classes: DataFrame, label: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """chrom, metrics: the metrics of that class, in report order, comma-joined."""
-    order = F.array(*(F.lit(m) for m in METRICS if m not in exclude))
-    had = classes.groupBy("chrom").agg(F.collect_set(F.when(F.col("metric_class") == label, F.col("metric"))).alias("had"))
+def metrics_by_class(classes: DataFrame, label: str, exclude: bool = False) -> DataFrame:
+    """chrom, metrics: the metrics of that class, or with ``exclude`` those of any other, in report order, comma-joined."""
+    fits = F.col("metric_class") != label if exclude else F.col("metric_class") == label
+    had = classes.groupBy("chrom").agg(F.collect_set(F.when(fits, F.col("metric"))).alias("had"))
+    order = F.array(*(F.lit(m) for m in METRICS))
     return had.select("chrom", F.concat_ws(",", F.filter(order, lambda m: F.array_contains("had", m))).alias("metrics"))

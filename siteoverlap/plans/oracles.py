@@ -67,9 +67,9 @@ d AS (SELECT chrom, any_value(n) AS n, any_value(raw) AS raw, any_value(span) AS
   sum(((2 * i - 1)::DOUBLE / (2 * n) - x) ** 2) AS cvm FROM x GROUP BY 1),
 e AS (SELECT chrom, sum(c * c)::DOUBLE AS c2 FROM (SELECT chrom, (pos - lo) * b // (span + 1) AS bin, count(*) AS c FROM x GROUP BY 1, 2) GROUP BY 1),
 mm AS (SELECT chrom, raw::BIGINT AS n_raw, n AS n_distinct, span AS range_bp, CASE WHEN raw >= 10 AND span > 0 THEN b::INT END AS bins_used,
-  round(CASE WHEN raw >= 10 THEN CASE WHEN span > 0 THEN ks ELSE 1 END END, 6) AS ks_stat, round(CASE WHEN raw >= 10 AND span > 0 THEN 1.0 / (12 * n) + cvm END, 6) AS cvm_stat,
-  round(CASE WHEN raw >= 10 AND span > 0 THEN c2 / (n::DOUBLE / b) - n END, 6) AS chi2_stat,
-  round(CASE WHEN raw >= 10 AND span > 0 THEN sqrt(greatest(c2 / b - (n::DOUBLE / b) ** 2, 0)) / (n::DOUBLE / b) END, 6) AS cv_counts FROM d JOIN e USING (chrom))"""
+  CASE WHEN raw >= 10 THEN CASE WHEN span > 0 THEN ks ELSE 1 END END AS ks_stat, CASE WHEN raw >= 10 AND span > 0 THEN 1.0::DOUBLE / (12 * n) + cvm END AS cvm_stat,
+  CASE WHEN raw >= 10 AND span > 0 THEN c2 / (n::DOUBLE / b) - n END AS chi2_stat,
+  CASE WHEN raw >= 10 AND span > 0 THEN sqrt(greatest(c2 / b - (n::DOUBLE / b) ** 2, 0)) / (n::DOUBLE / b) END AS cv_counts FROM d JOIN e USING (chrom))"""
 LONG = """lm AS (SELECT chrom, 'ks_stat' AS metric, ks_stat AS value FROM mm UNION ALL SELECT chrom, 'cvm_stat', cvm_stat FROM mm UNION ALL SELECT chrom, 'cv_counts', cv_counts FROM mm)"""
 SCORES = """sc AS (SELECT chrom, metric, value, (rank() OVER (PARTITION BY metric ORDER BY value) - 1 + (count(*) OVER (PARTITION BY metric, value) - 1) / 2) / (count(*) OVER (PARTITION BY metric) - 1)::DOUBLE AS pct_score
   FROM lm WHERE value IS NOT NULL)"""
@@ -79,6 +79,7 @@ COMPOSITE = """z AS (SELECT mm.chrom, composite_score FROM mm LEFT JOIN (SELECT
 zq AS (SELECT quantile_cont(composite_score, 0.25) AS lo, quantile_cont(composite_score, 0.75) AS hi FROM z),
 rk AS (SELECT chrom, composite_score, row_number() OVER (ORDER BY composite_score ASC NULLS LAST, chrom)::INT AS rank,
   CASE WHEN composite_score IS NULL THEN 'insufficient_data' WHEN composite_score <= lo THEN 'close' WHEN composite_score >= hi THEN 'strong' ELSE 'medium' END AS uniformity_class FROM z, zq)"""
+NOT_CLOSE = """nc AS (SELECT chrom, coalesce(string_agg(metric, ',' ORDER BY list_position(['ks_stat', 'cvm_stat', 'cv_counts'], metric)) FILTER (metric_class <> 'close'), '') AS metrics FROM k GROUP BY 1)"""
 BY_CLASS = """nu AS (SELECT chrom, coalesce(string_agg(metric, ',' ORDER BY list_position(['ks_stat', 'cvm_stat', 'cv_counts'], metric)) FILTER (metric_class = 'strong'), '') AS metrics FROM k GROUP BY 1)"""
 
 CONTAIN = f"""{RC}, n AS (SELECT chrom, method, count(*) AS n FROM c GROUP BY 1, 2), ch AS (SELECT DISTINCT chrom FROM c),
@@ -111,14 +112,30 @@ def entropy(name: str, rows: str, keys: str) -> str:
   SELECT {keys}, p, q, sum(p) OVER w AS sp, sum(q) OVER w AS sq, count(*) OVER w AS n FROM (SELECT {keys}, r.dist::DOUBLE AS p, ex.avg_dist AS q FROM {rows} r JOIN ex USING (chrom, rnk)) WINDOW w AS (PARTITION BY {keys})) GROUP BY {keys})"""
 
 
-RESAMPLED = f"""{EU}, {EC}, {OBS}, {sample(5)}, {PROFILES}, {entropy('oe', 'ob', 'chrom')}, {entropy('re', 'pf', 'replicate, chrom')},
-om AS (SELECT chrom, quantile_cont(dist::DOUBLE, 0.5) AS o_median FROM ob GROUP BY 1), em AS (SELECT chrom, quantile_cont(avg_dist, 0.5) AS e_median FROM ex GROUP BY 1),
-rm AS (SELECT replicate, chrom, quantile_cont(dist::DOUBLE, 0.5) AS median FROM pf GROUP BY 1, 2),
+def indices(r: int, seed: int = 42) -> str:
+    """The index sampler: draws until n places are different; of more than half the universe, those not drawn by N - n."""
+    return f"""{COUNTS}, pl AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS place FROM (SELECT DISTINCT chrom, pos FROM u)),
+sz AS (SELECT method, chrom, replicate, have, 2 * least(n, have) > have AS most, CASE WHEN 2 * least(n, have) > have THEN have - least(n, have) ELSE n END AS m
+  FROM nn JOIN (SELECT chrom, count(*) AS have FROM pl GROUP BY 1) USING (chrom) CROSS JOIN (SELECT unnest(generate_series(1, {r}))::INT AS replicate)),
+jj AS (SELECT *, unnest(generate_series(1, CAST(floor(2 * m + 20 * sqrt(m) + 50) AS BIGINT))) AS j FROM sz WHERE m > 0),
+dr AS (SELECT replicate, method, chrom, m, most, ('0x' || substr(md5(concat_ws('|', '{seed}', replicate, method, chrom, j)), 1, 15))::BIGINT % have AS place, min(j) AS j FROM jj GROUP BY ALL),
+dk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY replicate, method, chrom ORDER BY j) AS k FROM dr) WHERE k <= m),
+sm AS (SELECT replicate, method, chrom, pos FROM dk JOIN pl USING (chrom, place) WHERE NOT most UNION ALL
+  SELECT replicate, method, chrom, pos FROM sz JOIN pl USING (chrom) WHERE most AND NOT EXISTS (SELECT 1 FROM dk WHERE dk.replicate = sz.replicate AND dk.method = sz.method AND dk.chrom = sz.chrom AND dk.place = pl.place))"""
+
+
+def resampled(drawn: str, cut: str = "") -> str:
+    return f"""{EU}, {EC}, {OBS}, {drawn}, {PROFILES}, {entropy('oe', 'ob', 'chrom')}, {entropy('re', 'pf', 'replicate, chrom')},
+om AS (SELECT chrom, {cut}(quantile_cont(dist::DOUBLE, 0.5)) AS o_median FROM ob GROUP BY 1), em AS (SELECT chrom, {cut}(quantile_cont(avg_dist, 0.5)) AS e_median FROM ex GROUP BY 1),
+rm AS (SELECT replicate, chrom, {cut}(quantile_cont(dist::DOUBLE, 0.5)) AS median FROM pf GROUP BY 1, 2),
 oo AS (SELECT chrom, entropy, o_median, e_median FROM oe JOIN om USING (chrom) JOIN em USING (chrom)),
 bb AS (SELECT oo.chrom, count(*) FILTER (re.entropy >= oo.entropy AND median <= e_median) AS b FROM oo JOIN re ON re.chrom = oo.chrom JOIN rm ON rm.chrom = oo.chrom AND rm.replicate = re.replicate GROUP BY 1),
 ax AS (SELECT unnest(generate_series(1, (SELECT max(chrom) FROM u)))::INT AS chrom),
 rv AS (SELECT ax.chrom, entropy, o_median, e_median, CASE WHEN entropy IS NULL OR o_median > e_median THEN 1 ELSE (coalesce(b, 0) + 1) / 6.0 END::DOUBLE AS p_value FROM ax LEFT JOIN oo USING (chrom) LEFT JOIN bb USING (chrom))"""
 
+
+RESAMPLED = resampled(sample(5))
+
 PVALUES = f"""{LU}, {LC}, {sample(8, 'u')},
 tt AS (SELECT chrom, count(DISTINCT pos) AS n_units FROM u GROUP BY 1),
 hh AS (SELECT replicate, chrom, pos, max((method = 1)::INT) AS b1, max((method = 2)::INT) AS b2, max((method = 3)::INT) AS b3 FROM sm GROUP BY 1, 2, 3),
@@ -134,12 +151,59 @@ def rates(alpha: float) -> str:
     return f"fr AS (SELECT scenario, universe_id, chrom, count(*) AS n, sum((p_value <= {alpha})::INT)::BIGINT AS positives, avg((p_value <= {alpha})::INT) AS rate FROM pv GROUP BY GROUPING SETS ((scenario), (scenario, universe_id), (scenario, chrom)))"
 
 
+def universes_sql(replicates: int = 4) -> str:
+    """P-values on the universes (real, 0), (half, 0) and (half, 1); the seed grows with universe_id."""
+    return f"""{LU}, {LUM.replace('u AS', 'v AS')}, {LC}, {COUNTS},
+us AS (SELECT 'real' AS scenario, 0 AS universe_id, chrom, pos FROM u UNION ALL SELECT 'half', 0, chrom, pos FROM u WHERE pos % 2 = 0 UNION ALL SELECT 'half', 1, chrom, pos FROM v),
+rr AS (SELECT unnest(generate_series(1, {replicates}))::INT AS replicate),
+sm AS (SELECT * FROM (SELECT scenario, universe_id, replicate, method, chrom, pos, n,
+  row_number() OVER (PARTITION BY scenario, universe_id, replicate, method, chrom ORDER BY md5(concat_ws('|', 42 + universe_id, replicate, method, chrom, pos)), pos) AS k FROM us JOIN nn USING (chrom) CROSS JOIN rr) WHERE k <= n),
+tt AS (SELECT scenario, universe_id, chrom, count(DISTINCT pos) AS n_units FROM us GROUP BY 1, 2, 3),
+hh AS (SELECT scenario, universe_id, replicate, chrom, pos, max((method = 1)::INT) AS b1, max((method = 2)::INT) AS b2, max((method = 3)::INT) AS b3 FROM sm GROUP BY 1, 2, 3, 4, 5),
+n AS (SELECT scenario, universe_id, replicate, chrom, n_units, sum(b1)::BIGINT AS n_1, sum(b2)::BIGINT AS n_2, sum(b3)::BIGINT AS n_3, sum(b1 * b2 * b3)::BIGINT AS k_obs FROM hh JOIN tt USING (scenario, universe_id, chrom) GROUP BY 1, 2, 3, 4, 5),
+s AS (SELECT *, unnest(generate_series(greatest(0, n_1 + n_2 - n_units), least(n_1, n_2))) AS t FROM n WHERE k_obs > 0 AND k_obs <= least(n_1, n_2, n_3)),
+mp AS (SELECT *, {hyper('t', 'n_1', 'n_2', 'n_units')} AS pt FROM s),
+r AS (SELECT *, unnest(generate_series(greatest(k_obs, t + n_3 - n_units, 0), least(t, n_3))) AS s FROM mp WHERE t >= k_obs),
+p AS (SELECT scenario, universe_id, replicate, chrom, sum(pt * {hyper('s', 't', 'n_3', 'n_units')}) AS p FROM r GROUP BY 1, 2, 3, 4),
+ax AS (SELECT scenario, universe_id, unnest(generate_series(1, max(chrom)))::INT AS chrom FROM us GROUP BY 1, 2),
+pv AS (SELECT ax.scenario, ax.universe_id, rr.replicate, ax.chrom, CASE WHEN k_obs IS NULL THEN 1 WHEN k_obs > least(n_1, n_2, n_3) THEN 0 WHEN k_obs <= 0 THEN 1 ELSE least(1, p) END AS p_value
+  FROM ax CROSS JOIN rr LEFT JOIN n ON n.scenario = ax.scenario AND n.universe_id = ax.universe_id AND n.replicate = rr.replicate AND n.chrom = ax.chrom
+  LEFT JOIN p ON p.scenario = ax.scenario AND p.universe_id = ax.universe_id AND p.replicate = rr.replicate AND p.chrom = ax.chrom)"""
+
+
+def distance_calibration(replicates: int = 3, nulls: int = 4) -> str:
+    """P-values of the distance test in two universes, both passes by the hash sampler."""
+    keys = "universe_id, replicate, chrom"
+
+    def drawn(name: str, r: int, seed: int) -> str:
+        return f"""{name} AS (SELECT * FROM (SELECT universe_id, replicate, method, chrom, pos, n,
+  row_number() OVER (PARTITION BY universe_id, replicate, method, chrom ORDER BY md5(concat_ws('|', {seed} + universe_id, replicate, method, chrom, pos)), pos) AS k
+  FROM us JOIN nn USING (chrom) CROSS JOIN (SELECT unnest(generate_series(1, {r}))::INT AS replicate)) WHERE k <= n),
+{name}p AS (SELECT {keys}, dist, row_number() OVER (PARTITION BY {keys} ORDER BY dist) AS rnk FROM
+  (SELECT x.universe_id, x.replicate, x.chrom, abs(x.pos - y.pos) AS dist FROM {name} x JOIN {name} y ON x.universe_id = y.universe_id AND x.replicate = y.replicate AND x.chrom = y.chrom AND x.method < y.method))"""
+
+    def summed(name: str) -> str:
+        return f"""{name}s AS (SELECT {keys}, sum(CASE WHEN n >= 2 AND sp > 0 AND sq > 0 AND p > 0 THEN (p / sp) * ln((p / sp) / greatest(q / sq, 1e-15)) ELSE 0 END) AS entropy, quantile_cont(p, 0.5) AS median FROM (
+  SELECT {keys}, p, q, sum(p) OVER w AS sp, sum(q) OVER w AS sq, count(*) OVER w AS n FROM (SELECT {keys}, r.dist::DOUBLE AS p, ex.avg_dist AS q FROM {name}p r JOIN ex USING (universe_id, chrom, rnk)) WINDOW w AS (PARTITION BY {keys})) GROUP BY {keys})"""
+
+    return f"""{EU}, {EC}, {COUNTS}, us AS (SELECT DISTINCT 0 AS universe_id, chrom, pos FROM u UNION SELECT DISTINCT 1, chrom, pos FROM u WHERE pos % 3 > 0),
+{drawn('nl', nulls, 42)}, {drawn('tr', replicates, 43)}, ex AS (SELECT universe_id, chrom, rnk, avg(dist) AS avg_dist FROM nlp GROUP BY 1, 2, 3), {summed('nl')}, {summed('tr')},
+md AS (SELECT universe_id, chrom, quantile_cont(avg_dist, 0.5) AS e_median FROM ex GROUP BY 1, 2),
+hd AS (SELECT trs.universe_id, trs.replicate, trs.chrom, CASE WHEN any_value(trs.median) > any_value(e_median) THEN 1 ELSE (count(*) FILTER (nls.entropy >= trs.entropy AND nls.median <= e_median) + 1) / {nulls + 1}.0 END AS p
+  FROM trs JOIN nls ON nls.universe_id = trs.universe_id AND nls.chrom = trs.chrom JOIN md ON md.universe_id = trs.universe_id AND md.chrom = trs.chrom GROUP BY 1, 2, 3),
+ax AS (SELECT universe_id, unnest(generate_series(1, max(chrom)))::INT AS chrom FROM us GROUP BY 1),
+pv AS (SELECT 'real' AS scenario, ax.universe_id, rr.replicate, ax.chrom, coalesce(p, 1)::DOUBLE AS p_value FROM ax CROSS JOIN (SELECT unnest(generate_series(1, {replicates}))::INT AS replicate) rr
+  LEFT JOIN hd ON hd.universe_id = ax.universe_id AND hd.replicate = rr.replicate AND hd.chrom = ax.chrom)"""
+
+
 def warned() -> str:
     absent = ", ".join(f"CASE WHEN o_{m} > 0 THEN 'method {m}: ' || o_{m} || ' not in the universe, first ' || f_{m} END" for m in (1, 2, 3))
     return f"concat_ws('; ', CASE WHEN n_units <= 1 THEN 'degenerate universe' WHEN n_units < 10 THEN 'very small universe' WHEN n_units < 20 THEN 'small universe' END, {absent})"
 
 
 DENSE = "(SELECT chrom, coalesce(sum((method = 1)::INT), 0)::BIGINT AS sites_1, coalesce(sum((method = 2)::INT), 0)::BIGINT AS sites_2, coalesce(sum((method = 3)::INT), 0)::BIGINT AS sites_3 FROM c GROUP BY 1)"
+TOTALS = "(SELECT chrom, count(*) AS total_sites FROM u GROUP BY 1)"
+K3_EXACT = K3.replace("WITH " + units(1) + ",", "WITH").replace("round(CASE", "(CASE").replace("END, 6) AS p_value", "END) AS p_value")
 PICK = "SELECT method, chrom, count(*) AS n FROM c GROUP BY 1, 2"
 
 ORACLE_SQL: dict[str, str] = {
@@ -166,16 +230,17 @@ SELECT method, chrom, a AS pos FROM e UNION ALL SELECT method, chrom, b FROM e W
     "proximity_pairs": f"WITH {EC} SELECT x.method AS method_i, y.method AS method_j, x.chrom, x.pos AS pos_i, y.pos AS pos_j FROM c x JOIN c y ON x.chrom = y.chrom AND x.method < y.method AND abs(x.pos - y.pos) <= 10000",
     "proximity_tuples3": f"WITH {TUPLES3} SELECT chrom, 'SEL_123' AS subset, 3 AS size, p1, p2, p3 FROM t3",
     "kway_sites": f"WITH {TUPLES3} SELECT DISTINCT chrom, unnest([p1, p2, p3]) AS pos FROM t3",
-    "tuple_difference": "SELECT CAST(NULL AS VARCHAR) AS side, CAST(NULL AS BIGINT) AS n WHERE false",
-    "spatial_uniformity": f"WITH {EU}, {UNIFORM} SELECT * FROM mm",
-    "uniformity_scores": f"WITH {EU}, {UNIFORM}, {LONG}, {SCORES} SELECT chrom, metric, value, round(pct_score, 6) AS pct_score FROM sc",
+    "tuple_difference": f"WITH {EC} SELECT CASE WHEN abs(x.pos - y.pos) > 10000 THEN 'right' ELSE 'left' END AS side, count(*) AS n FROM c x JOIN c y ON x.chrom = y.chrom AND x.method < y.method AND ((abs(x.pos - y.pos) <= 10000 AND x.pos % 7 = 0) OR (abs(x.pos - y.pos) > 10000 AND abs(x.pos - y.pos) <= 12000 AND x.pos % 7 <> 0)) GROUP BY 1",
+    "spatial_uniformity": f"WITH {EU}, {UNIFORM} SELECT chrom, n_raw, n_distinct, range_bp, bins_used, round(ks_stat, 6) AS ks_stat, round(cvm_stat, 6) AS cvm_stat, round(chi2_stat, 6) AS chi2_stat, round(cv_counts, 6) AS cv_counts FROM mm",
+    "uniformity_scores": f"WITH {EU}, {UNIFORM}, {LONG}, {SCORES} SELECT chrom, metric, round(value, 6) AS value, round(pct_score, 6) AS pct_score FROM sc",
     "rank_composite": f"WITH {EU}, {UNIFORM}, {LONG}, {SCORES}, {COMPOSITE} SELECT chrom, round(composite_score, 6) AS composite_score, rank, uniformity_class FROM rk",
     "rank_multivariate": f"""WITH {EU}, {UNIFORM}, {LONG}, {CLASSES}, v AS (SELECT chrom, count(value) AS known, count(*) FILTER (metric_class = 'close') AS cl, count(*) FILTER (metric_class = 'strong') AS st FROM k GROUP BY 1)
-SELECT mm.chrom, ks_stat, row_number() OVER (ORDER BY ks_stat ASC NULLS LAST, mm.chrom)::INT AS rank, CASE WHEN known = 0 THEN 'insufficient_data' WHEN cl >= 2 THEN 'close' WHEN st >= 2 THEN 'strong' ELSE 'medium' END AS uniformity_class FROM mm JOIN v USING (chrom)""",
+SELECT mm.chrom, round(ks_stat, 6) AS ks_stat, row_number() OVER (ORDER BY ks_stat ASC NULLS LAST, mm.chrom)::INT AS rank, CASE WHEN known = 0 THEN 'insufficient_data' WHEN cl >= 2 THEN 'close' WHEN st >= 2 THEN 'strong' ELSE 'medium' END AS uniformity_class FROM mm JOIN v USING (chrom)""",
     "rank_terciles": f"""WITH {EU}, {UNIFORM}, tq AS (SELECT quantile_cont(ks_stat, 0.33) AS lo, quantile_cont(ks_stat, 0.66) AS hi FROM mm)
-SELECT chrom, ks_stat, row_number() OVER (ORDER BY ks_stat ASC NULLS LAST, chrom)::INT AS rank, CASE WHEN ks_stat IS NULL THEN 'insufficient_data' WHEN ks_stat <= lo THEN 'close' WHEN ks_stat >= hi THEN 'strong' ELSE 'medium' END AS uniformity_class FROM mm, tq""",
-    "metric_classes": f"WITH {EU}, {UNIFORM}, {LONG}, {CLASSES} SELECT chrom, metric, value, metric_class FROM k",
+SELECT chrom, round(ks_stat, 6) AS ks_stat, row_number() OVER (ORDER BY ks_stat ASC NULLS LAST, chrom)::INT AS rank, CASE WHEN ks_stat IS NULL THEN 'insufficient_data' WHEN ks_stat <= lo THEN 'close' WHEN ks_stat >= hi THEN 'strong' ELSE 'medium' END AS uniformity_class FROM mm, tq""",
+    "metric_classes": f"WITH {EU}, {UNIFORM}, {LONG}, {CLASSES} SELECT chrom, metric, round(value, 6) AS value, metric_class FROM k",
     "metrics_by_class": f"WITH {EU}, {UNIFORM}, {LONG}, {CLASSES}, {BY_CLASS} SELECT chrom, metrics FROM nu",
+    "metrics_not_close": f"WITH {EU}, {UNIFORM}, {LONG}, {CLASSES}, {NOT_CLOSE} SELECT chrom, metrics FROM nc",
     "containment": f"WITH {CONTAIN} SELECT * FROM co",
     "redundant_pairs": f"WITH {CONTAIN}, {RPAIRS} SELECT * FROM rp",
     "redundant_pairs_global": f"WITH {CONTAIN}, g AS (SELECT method_i, method_j, sum(n_i)::BIGINT AS n_i, sum(n_j)::BIGINT AS n_j, sum(shared)::BIGINT AS shared FROM co GROUP BY 1, 2) SELECT *, {CLOSE} AS redundant FROM g",
@@ -202,6 +267,21 @@ en AS (SELECT chrom, min(v) AS lo, max(v) AS hi FROM al GROUP BY 1),
 bi AS (SELECT chrom, series, CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) * nb / (hi - lo))::BIGINT, nb - 1) END AS bin FROM al JOIN en USING (chrom) JOIN hb USING (chrom))
 SELECT chrom, series, bin, round(count(*) / sum(count(*)) OVER (PARTITION BY chrom, series), 6) AS freq FROM bi GROUP BY chrom, series, bin""",
     "resampling_pvalue": f"WITH {RESAMPLED} SELECT chrom, round(entropy, 6) AS entropy, round(o_median, 6) AS o_median, round(e_median, 6) AS e_median, round(p_value, 6) AS p_value FROM rv",
+    "resampling_pvalue_truncated": f"WITH {resampled(sample(5), 'floor')} SELECT chrom, round(entropy, 6) AS entropy, o_median, e_median, round(p_value, 6) AS p_value FROM rv",
+    "resampling_pvalue_indices": f"WITH {resampled(indices(5))} SELECT chrom, round(entropy, 6) AS entropy, round(o_median, 6) AS o_median, round(e_median, 6) AS e_median, round(p_value, 6) AS p_value FROM rv",
+    "sample_indices": f"WITH {EU}, {EC}, {indices(2)} SELECT * FROM sm",
+    "calibrate_overlap_universes": f"WITH {universes_sql()}, {rates(0.5)} SELECT scenario, universe_id, chrom, n, positives, round(rate, 6) AS rate FROM fr",
+    "calibrate_overlap_windows": f"""WITH {LU}, {LC}, {COUNTS}, w AS (SELECT DISTINCT chrom, CAST(floor((pos - lo)::DOUBLE / 10) AS BIGINT) AS pos FROM u JOIN (SELECT chrom, min(pos) AS lo FROM u GROUP BY 1) USING (chrom)),
+sm AS (SELECT * FROM (SELECT replicate, method, chrom, pos, n, row_number() OVER (PARTITION BY replicate, method, chrom ORDER BY md5(concat_ws('|', '42', replicate, method, chrom, pos)), pos) AS k
+  FROM w JOIN nn USING (chrom) CROSS JOIN (SELECT unnest([1, 2])::INT AS replicate)) WHERE k <= n),
+h AS (SELECT replicate, chrom, pos, count(DISTINCT method) AS k FROM sm GROUP BY 1, 2, 3)
+SELECT 'empirical' AS scenario, 0 AS universe_id, replicate, chrom, round(avg((k = 3)::INT), 6) AS p_value FROM h GROUP BY 3, 4""",
+    "calibrate_distance": f"WITH {distance_calibration()}, {rates(0.5)} SELECT scenario, universe_id, chrom, n, positives, round(rate, 6) AS rate FROM fr",
+    "read_layouts": f"""WITH {LU}, l AS (SELECT unnest(['comma.csv', 'semicolon.csv', 'plain.map', 'first.tped', 'two.txt', 'three.hapflk']) AS layout)
+SELECT layout, chrom, count(*) AS n, sum(pos)::BIGINT AS total FROM u CROSS JOIN l GROUP BY 1, 2 UNION ALL SELECT 'last.norm', 1, count(*), sum(pos)::BIGINT FROM u WHERE pos % 3 = 2""",
+    "load_files": f"""WITH {LU}, c AS (SELECT 1 AS method, chrom FROM u UNION ALL SELECT 2, 1 FROM u WHERE pos % 3 = 2 UNION ALL SELECT 3, chrom FROM u)
+SELECT method, CASE WHEN grouping(chrom) = 1 THEN 0 ELSE chrom END AS chrom, count(*) AS n, CASE method WHEN 1 THEN 'comma' WHEN 2 THEN 'last' ELSE 'three' END AS name FROM c GROUP BY GROUPING SETS ((method, chrom), (method))""",
+    "one_chromosome_tuples": f"WITH {EC} SELECT x.chrom, 'SEL_' || x.method || y.method AS subset, x.pos AS p1, y.pos AS p2 FROM c x JOIN c y ON x.chrom = y.chrom AND x.method < y.method AND abs(x.pos - y.pos) <= 10000 WHERE x.chrom = 7",
     "fp_rates": f"WITH {PVALUES}, {rates(0.05)} SELECT scenario, universe_id, chrom, n, positives, round(rate, 6) AS rate FROM fr",
     "fwer": f"""WITH {PVALUES}, ks AS (SELECT scenario, universe_id, replicate, count(*) FILTER (p_value <= 0.05) AS k_sig FROM pv GROUP BY 1, 2, 3)
 SELECT scenario, universe_id, round(avg((k_sig > 0)::INT), 6) AS fwer, round(avg(k_sig), 6) AS mean_sig, round(var_pop(k_sig), 6) AS var_sig, round(1 - 0.95::DOUBLE ** 10, 6) AS expected FROM ks GROUP BY GROUPING SETS ((scenario), (scenario, universe_id))""",
@@ -209,17 +289,22 @@ SELECT scenario, universe_id, round(avg((k_sig > 0)::INT), 6) AS fwer, round(avg
 fc AS (SELECT scenario, min(rate) AS a, quantile_cont(rate, 0.5) AS b, max(rate) AS c FROM fr WHERE chrom IS NOT NULL GROUP BY 1)
 SELECT scenario, round(m, 6) AS mean_rate, round(sd, 6) AS sd_rate, round(va, 6) AS var_rate, n_eff, round(sd / sqrt(n_eff), 6) AS se_rate, round(a, 6) AS chrom_min, round(b, 6) AS chrom_median, round(c, 6) AS chrom_max FROM fu JOIN fc USING (scenario)""",
     "fp_top_chromosomes": f"WITH {PVALUES}, {rates(0.5)}, ra AS (SELECT scenario, chrom, rate, row_number() OVER (PARTITION BY scenario ORDER BY rate DESC, chrom)::INT AS rank FROM fr WHERE chrom IS NOT NULL) SELECT scenario, chrom, round(rate, 6) AS rate, rank FROM ra WHERE rank <= 10",
-    "report_overlap": f"""WITH {units(1)}, {UNIFORM.replace('e AS', 'eb AS').replace('JOIN e USING', 'JOIN eb USING')}, {LONG}, {SCORES}, {COMPOSITE}, {CLASSES}, {BY_CLASS}, pp AS ({K3.replace('WITH ' + units(1) + ',', 'WITH')})
+    "report_overlap": f"""WITH {units(1)}, {UNIFORM.replace('e AS', 'eb AS').replace('JOIN e USING', 'JOIN eb USING')}, {LONG}, {SCORES}, {COMPOSITE}, {CLASSES}, {NOT_CLOSE}, pp AS ({K3.replace('WITH ' + units(1) + ',', 'WITH')})
 SELECT n.chrom, n_units, n_1 AS units_1, n_2 AS units_2, n_3 AS units_3, n.k_obs, round(CASE WHEN n_units > 0 THEN n_1::DOUBLE * n_2 * n_3 / n_units::DOUBLE ** 2 END, 6) AS expected_k, p_value,
-sites_1, sites_2, sites_3, round(composite_score, 6) AS composite_score, rank, uniformity_class, metrics AS not_uniform
-FROM n JOIN pp USING (chrom) LEFT JOIN {DENSE} de USING (chrom) LEFT JOIN rk USING (chrom) LEFT JOIN nu USING (chrom)""",
-    "report_distance": f"""WITH {RESAMPLED}, {UNIFORM.replace('o AS', 'ou AS').replace('FROM o)', 'FROM ou)')}, {LONG}, {SCORES}, {COMPOSITE}, {CLASSES}, {BY_CLASS}
+sites_1, sites_2, sites_3, coalesce(total_sites, 0) AS total_sites, round(composite_score, 6) AS composite_score, rank, uniformity_class, metrics AS not_uniform
+FROM n JOIN pp USING (chrom) LEFT JOIN {DENSE} de USING (chrom) LEFT JOIN {TOTALS} tot USING (chrom) LEFT JOIN rk USING (chrom) LEFT JOIN nc USING (chrom)""",
+    "report_text": f"""WITH {units(1)}, {UNIFORM.replace('e AS', 'eb AS').replace('JOIN e USING', 'JOIN eb USING')}, {LONG}, {SCORES}, {COMPOSITE}, pp AS ({K3_EXACT})
+SELECT n.chrom::VARCHAR AS CHR, total_sites::VARCHAR AS TOTALS, n_units::VARCHAR AS Nc, sites_1::VARCHAR AS SNPs1, n_1::VARCHAR AS n1, n.k_obs::VARCHAR AS kobs, CASE WHEN p_value > 1e-6 THEN printf('%.6f', p_value) ELSE printf('%.6e', p_value) END AS Pr, uniformity_class AS Uclasf
+FROM n JOIN pp USING (chrom) LEFT JOIN {DENSE} de USING (chrom) LEFT JOIN {TOTALS} tot USING (chrom) LEFT JOIN rk USING (chrom)""",
+    "report_distance": f"""WITH {resampled(sample(5), 'floor')}, {UNIFORM.replace('o AS', 'ou AS').replace('FROM o)', 'FROM ou)')}, {LONG}, {SCORES}, {COMPOSITE}, {CLASSES}, {NOT_CLOSE}
 SELECT rv.chrom, round(entropy, 6) AS entropy, round(p_value, 6) AS p_value, floor(o_median)::BIGINT AS o_q2, floor(e_median)::BIGINT AS e_q2, coalesce(sites_1, 0) AS sites_1, coalesce(sites_2, 0) AS sites_2, coalesce(sites_3, 0) AS sites_3,
-round(composite_score, 6) AS composite_score, rank, uniformity_class, metrics AS not_uniform FROM rv LEFT JOIN {DENSE} de USING (chrom) LEFT JOIN rk USING (chrom) LEFT JOIN nu USING (chrom)""",
+coalesce(total_sites, 0) AS total_sites, round(composite_score, 6) AS composite_score, rank, uniformity_class, metrics AS not_uniform
+FROM rv LEFT JOIN {DENSE} de USING (chrom) LEFT JOIN {TOTALS} tot USING (chrom) LEFT JOIN rk USING (chrom) LEFT JOIN nc USING (chrom)""",
     "report_intersections_wide": f"""WITH {TUPLES3}, al AS (
 SELECT chrom, 'SEL_123' AS subset, [p1, p2, p3] AS p FROM t3 UNION ALL
 SELECT x.chrom, 'SEL_' || x.method || y.method, [x.pos, y.pos] FROM c x JOIN c y ON x.chrom = y.chrom AND x.method < y.method AND abs(x.pos - y.pos) <= 10000),
-nr AS (SELECT chrom, subset, array_to_string(p, ',') AS t, row_number() OVER (PARTITION BY chrom, subset ORDER BY p)::INT AS row FROM al)
-SELECT chrom, row, max(CASE WHEN subset = 'SEL_12' THEN t END) AS SEL_12, max(CASE WHEN subset = 'SEL_13' THEN t END) AS SEL_13, max(CASE WHEN subset = 'SEL_23' THEN t END) AS SEL_23, max(CASE WHEN subset = 'SEL_123' THEN t END) AS SEL_123 FROM nr GROUP BY 1, 2""",
+ks AS (SELECT DISTINCT chrom, 'sites' AS subset, [unnest([p1, p2, p3])] AS p FROM t3),
+nr AS (SELECT chrom, subset, array_to_string(p, ',') AS t, row_number() OVER (PARTITION BY chrom, subset ORDER BY p)::INT AS row FROM (SELECT * FROM al UNION ALL SELECT * FROM ks))
+SELECT chrom, row, '1E4' AS distance, max(CASE WHEN subset = 'sites' THEN t END) AS intersec_sites, max(CASE WHEN subset = 'SEL_12' THEN t END) AS SEL_12, max(CASE WHEN subset = 'SEL_13' THEN t END) AS SEL_13, max(CASE WHEN subset = 'SEL_23' THEN t END) AS SEL_23, max(CASE WHEN subset = 'SEL_123' THEN t END) AS SEL_123 FROM nr GROUP BY 1, 2""",
     "significant_tuples": f"""WITH {RESAMPLED}, {TUPLES3.replace(EC + ', ', '')} SELECT chrom, count(*) AS n FROM t3 WHERE chrom IN (SELECT chrom FROM rv WHERE p_value <= 0.5) GROUP BY 1""",
 }

@@ -13,8 +13,8 @@ from ..operators.summary import chromosomes
 from ..sources import reports
 from . import bindings as b
 
-#: Replicates and seed of the hash sampler in the queries.
-REPLICATES, SEED, ALPHA, METHODS = 5, 42, 0.05, 3
+#: Replicates and seed of the hash sampler in the queries that have SQL beside them, and of the index sampler in the test with many replicates.
+REPLICATES, MANY, SEED, ALPHA, METHODS = 5, 199, 42, 0.05, 3
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -139,10 +139,10 @@ def kway_sites(s, d):
 
 
 def tuple_difference(s, d):
-    """Pairs by the island join against pairs by the bin join: none differ."""
+    """Pairs by the island join within 10,000 against pairs by the bin join within 12,000 whose first site is no multiple of 7."""
     t = _tuples(s, d, (2,))
-    p = proximity.proximity_pairs(b.candidates_e(s, d), b.DISTANCE)
-    p = p.select("chrom", F.concat(F.lit("SEL_"), F.col("method_i").cast("string"), F.col("method_j").cast("string")).alias("subset"), F.array("pos_i", "pos_j").alias("positions"))
+    p = proximity.proximity_pairs(b.candidates_e(s, d), 12_000).where("pos_i % 7 <> 0")
+    p = p.select("chrom", F.concat(F.lit("SEL_"), F.col("method_i").cast("string"), F.col("method_j").cast("string")).alias("subset"), F.array("pos_j", "pos_i").alias("positions"))
     return proximity.tuple_difference(t, p).groupBy("side").agg(F.count("*").alias("n"))
 
 
@@ -155,22 +155,26 @@ def spatial_uniformity(s, d):
 
 
 def uniformity_scores(s, d):
-    return rounded(uniformity.percentile_scores(rounded(_metrics(s, d))))
+    return rounded(uniformity.percentile_scores(_metrics(s, d)))
 
 
 def _rank(how):
     def query(s, d):
-        return rounded(how(rounded(_metrics(s, d))).select("chrom", *(["composite_score"] if how is uniformity.rank_composite else ["ks_stat"]), "rank", "uniformity_class"))
+        return rounded(how(_metrics(s, d)).select("chrom", *(["composite_score"] if how is uniformity.rank_composite else ["ks_stat"]), "rank", "uniformity_class"))
 
     return query
 
 
 def metric_classes(s, d):
-    return rounded(uniformity.metric_classes(rounded(_metrics(s, d))))
+    return rounded(uniformity.metric_classes(_metrics(s, d)))
 
 
 def metrics_by_class(s, d):
-    return uniformity.metrics_by_class(uniformity.metric_classes(rounded(_metrics(s, d))), "strong")
+    return uniformity.metrics_by_class(uniformity.metric_classes(_metrics(s, d)), "strong")
+
+
+def metrics_not_close(s, d):
+    return uniformity.metrics_by_class(uniformity.metric_classes(_metrics(s, d)), "close", exclude=True)
 
 
 def containment(s, d):
@@ -242,26 +246,36 @@ def profile_entropy(s, d):
 
 
 def distance_histogram(s, d):
-    return rounded(distances.distance_histogram(_observed(s, d), rounded(resample.expected_profile(_profiles(s, d)))))
+    return rounded(distances.distance_histogram(resample.kept(_observed(s, d)), resample.kept(rounded(resample.expected_profile(_profiles(s, d))))))
 
 
-def _resampling(s, d):
-    p = _profiles(s, d)
-    e = resample.expected_profile(p)
-    return resample.resampling_pvalue(_observed(s, d), e, resample.null_summaries(p, e), chromosomes(b.universe_e(s, d)), REPLICATES)
+def _resampling(s, d, **options):
+    u, c = b.universe_e(s, d), b.candidates_e(s, d)
+    return resample.distance_test(u, c, chromosomes(u), options.pop("replicates", REPLICATES), SEED, **options)
 
 
 def resampling_pvalue(s, d):
     return rounded(_resampling(s, d))
 
 
+def resampling_pvalue_truncated(s, d):
+    """The same test with medians cut to integers, as the report gives them."""
+    return rounded(_resampling(s, d, truncate=True))
+
+
+def resampling_pvalue_indices(s, d):
+    """The same test by the index sampler."""
+    return rounded(_resampling(s, d, sampler=resample.sample_indices))
+
+
 def resampling_pvalue_blocks(s, d):
-    """The same test by the block sampler, with many more replicates."""
-    u, c = b.universe_e(s, d), b.candidates_e(s, d)
-    n = summary.dense_counts(c, chromosomes(u), METHODS)
-    e = resample.block_expected_profile(u, n, 200, SEED)
-    nulls = resample.block_null_summaries(u, n, e, 200, SEED)
-    return resample.resampling_pvalue(_observed(s, d), e, nulls, chromosomes(u), 200)
+    """The same test with enough replicates for p = 0.005; too many rows for SQL, so tests hold its samplers against each other."""
+    return rounded(_resampling(s, d, replicates=MANY, sampler=resample.sample_indices))
+
+
+def sample_indices(s, d):
+    n = b.candidates_e(s, d).groupBy("method", "chrom").agg(F.count("*").alias("n"))
+    return resample.sample_indices(b.universe_e(s, d), n, 2, SEED)
 
 
 def _pvalues(s, d):
@@ -286,33 +300,118 @@ def fp_top_chromosomes(s, d):
     return rounded(calibrate.fp_top_chromosomes(calibrate.fp_rates(_pvalues(s, d), 0.5)))
 
 
+def universes(s, d):
+    """The universe of L as (real, 0), its even sites as (half, 0), and the universe of L-miss as (half, 1)."""
+    u, m = b.universe_l(s, d), b.universe_l_miss(s, d)
+    tag = lambda t, name, k: t.select(F.lit(name).alias("scenario"), F.lit(k).alias("universe_id"), "chrom", "pos")
+    return tag(u, "real", 0).unionByName(tag(u.where("pos % 2 = 0"), "half", 0)).unionByName(tag(m, "half", 1))
+
+
+def calibrate_overlap_universes(s, d):
+    """False-positive rates on universes of the caller's own."""
+    n = b.candidates_l(s, d).groupBy("method", "chrom").agg(F.count("*").alias("n"))
+    return rounded(calibrate.fp_rates(calibrate.calibrate_overlap(universes(s, d), n, METHODS, 4, SEED), 0.5))
+
+
+def calibrate_overlap_windows(s, d):
+    """With windows of ten positions and a test of the caller's own: the share of the windows hit by all methods."""
+    def share(units, drawn, methods):
+        keys = [*calibrate.KEYS, "chrom"]
+        hit = drawn.groupBy(*keys, "pos").agg(F.countDistinct("method").alias("k")).groupBy(*keys).agg(F.avg((F.col("k") == methods).cast("double")).alias("p_value"))
+        return hit
+
+    n = b.candidates_l(s, d).groupBy("method", "chrom").agg(F.count("*").alias("n"))
+    return rounded(calibrate.calibrate_overlap(b.universe_l(s, d), n, METHODS, 2, SEED, 10, share))
+
+
 def calibrate_distance(s, d):
     u, c = b.universe_e(s, d), b.candidates_e(s, d)
-    n = summary.dense_counts(c, chromosomes(u), METHODS)
-    return calibrate.fp_rates(calibrate.calibrate_distance(u, n, 20, 100, SEED), ALPHA)
+    tag = lambda t, k: t.select(F.lit("real").alias("scenario"), F.lit(k).alias("universe_id"), "chrom", "pos")
+    n = c.groupBy("method", "chrom").agg(F.count("*").alias("n"))
+    return rounded(calibrate.fp_rates(calibrate.calibrate_distance(tag(u, 0).unionByName(tag(u.where("pos % 3 > 0"), 1)), n, 3, 4, SEED), 0.5))
+
+
+def _uneven(m):
+    return uniformity.metrics_by_class(uniformity.metric_classes(m), "close", exclude=True)
 
 
 def report_overlap(s, d):
     u, c = _l(s, d)
-    m = rounded(uniformity.spatial_uniformity(u))
-    ranking, strong = uniformity.rank_composite(m), uniformity.metrics_by_class(uniformity.metric_classes(m), "strong")
-    return rounded(reports.overlap_report(overlap.overlap_test(u, c, METHODS), summary.dense_counts(c, chromosomes(u), METHODS), ranking, METHODS, strong))
+    m = uniformity.spatial_uniformity(u)
+    counts, totals = summary.dense_counts(c, chromosomes(u), METHODS), summary.chromosome_totals(u)
+    return rounded(reports.overlap_report(overlap.overlap_test(u, c, METHODS), counts, totals, uniformity.rank_composite(m), METHODS, _uneven(m)))
 
 
 def report_distance(s, d):
     u, c = b.universe_e(s, d), b.candidates_e(s, d)
-    m = rounded(_metrics(s, d))
-    ranking, strong = uniformity.rank_composite(m), uniformity.metrics_by_class(uniformity.metric_classes(m), "strong")
-    return rounded(reports.distance_report(_resampling(s, d), summary.dense_counts(c, chromosomes(u), METHODS), ranking, METHODS, strong))
+    m = _metrics(s, d)
+    counts, totals = summary.dense_counts(c, chromosomes(u), METHODS), summary.chromosome_totals(u)
+    return rounded(reports.distance_report(_resampling(s, d, truncate=True), counts, totals, uniformity.rank_composite(m), METHODS, _uneven(m)))
 
 
 def report_intersections_wide(s, d):
-    return reports.intersections_wide(_tuples(s, d), [(1, 2), (1, 3), (2, 3), (1, 2, 3)], METHODS)
+    return reports.intersections_wide(_tuples(s, d), proximity.subsets_of(METHODS), METHODS, b.DISTANCE)
+
+
+def one_chromosome_tuples(s, d):
+    """Tuples of one chromosome; the filter reaches the scan."""
+    return proximity.proximity_tuples(summary.one_chromosome(b.candidates_e(s, d), 7), b.DISTANCE, METHODS, (2,)).select("chrom", "subset", F.col("positions")[0].alias("p1"), F.col("positions")[1].alias("p2"))
+
+
+def _files(s, d):
+    """The sites of L as text files, one folder for each layout of columns."""
+    from ..sources.sites import scratch
+
+    u = b.universe_l(s, d).select(F.col("chrom").cast("string").alias("c"), F.col("pos").cast("string").alias("p"), F.format_number("pos", 0).alias("q"), F.col("pos"))
+    x = F.lit("x")
+    lines = {
+        "comma.csv": ("chr,pos,name", F.concat_ws(",", "c", F.concat(F.lit('"'), "q", F.lit('"')), x)), "semicolon.csv": ("chr;pos", F.concat_ws(";", "c", "q")), "plain.map": (None, F.concat_ws("\t", "c", x, F.lit("0.5"), "p")),
+        "first.tped": ("first line", F.concat_ws(" ", "c", x, F.lit("0"), "p", F.lit("A"))), "two.txt": ("CHR POS", F.concat_ws("  ", "c", "q")), "three.hapflk": ("rs chr pos", F.concat_ws(" ", x, "c", "p")),
+        "last.norm": ("id pos crit", F.concat_ws("\t", x, "p", (F.col("pos") % 3 - 1).cast("string"))),
+    }
+    root = scratch(s)
+    for name, (header, line) in lines.items():
+        out = u.select(line.alias(header or "line")).write
+        (out.csv(f"{root}/{name}", sep="\x01", quote="", header=True) if header else out.text(f"{root}/{name}"))
+    return root, list(lines)
+
+
+def read_layouts(s, d):
+    """Sites written in every layout and read again."""
+    from ..sources.sites import read_sites
+
+    root, names = _files(s, d)
+    rows = None
+    for name in names:
+        own = read_sites(s, f"{root}/{name}").groupBy("chrom").agg(F.count("*").alias("n"), F.sum("pos").alias("total")).withColumn("layout", F.lit(name))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
+def load_files(s, d):
+    """A universe and three candidate files of different layouts as two tables."""
+    from ..sources.sites import load_sites
+
+    root, _ = _files(s, d)
+    _, c, names = load_sites(s, f"{root}/plain.map", [f"{root}/{x}" for x in ("comma.csv", "last.norm", "three.hapflk")])
+    return summary.site_counts(c).join(names, "method")
+
+
+def report_text(s, d):
+    """The overlap report as it is written, read back from its file."""
+    from ..sources.sites import scratch
+
+    u, c = _l(s, d)
+    m = uniformity.spatial_uniformity(u)
+    report = reports.overlap_report(overlap.overlap_test(u, c, METHODS), summary.dense_counts(c, chromosomes(u), METHODS), summary.chromosome_totals(u), uniformity.rank_composite(m), METHODS, _uneven(m))
+    path = scratch(s)
+    reports.write_tsv(reports.overlap_text(report, METHODS), path)
+    return s.read.csv(path, sep="\t", header=True).select("CHR", "TOTALS", "Nc", "SNPs1", "n1", "kobs", "Pr", "Uclasf")
 
 
 def significant_tuples(s, d):
     """Tuples of the chromosomes that the distance test leaves at p <= 0.5."""
-    gate = summary.significant(_resampling(s, d), 0.5)
+    gate = resample.kept(summary.significant(_resampling(s, d), 0.5))
     c = b.candidates_e(s, d).join(gate, "chrom", "left_semi")
     return proximity.proximity_tuples(c, b.DISTANCE, METHODS, (3,)).groupBy("chrom").agg(F.count("*").alias("n"))
 
@@ -322,9 +421,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         site_counts, site_stats, range_stats, cross_distance_counts, dense_counts, testable_chromosomes, axis_mismatch, missing_from_universe, in_universe, kway_overlap,
         expected_overlap, overlap_pvalue_k2, overlap_pvalue_k3, overlap_warnings, thin_clusters, proximity_pairs, proximity_tuples3, kway_sites, tuple_difference,
-        spatial_uniformity, uniformity_scores, metric_classes, metrics_by_class, containment, redundant_pairs, redundant_pairs_global, drop_redundant, cross_distances,
+        spatial_uniformity, uniformity_scores, metric_classes, metrics_by_class, metrics_not_close, containment, redundant_pairs, redundant_pairs_global, drop_redundant, cross_distances,
         nearest_distances, distance_median, sample_without_replacement, sample_uniform, sites_of_windows, expected_profile, profile_entropy, distance_histogram,
-        resampling_pvalue, resampling_pvalue_blocks, fp_rates, fwer, fp_summary, fp_top_chromosomes, calibrate_distance, report_overlap, report_distance,
+        resampling_pvalue, resampling_pvalue_truncated, resampling_pvalue_indices, resampling_pvalue_blocks, sample_indices, fp_rates, fwer, fp_summary, fp_top_chromosomes, calibrate_distance, calibrate_overlap_universes, calibrate_overlap_windows, read_layouts, load_files, report_text, one_chromosome_tuples, report_overlap, report_distance,
         report_intersections_wide, significant_tuples,
     )
 } | {

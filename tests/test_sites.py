@@ -104,7 +104,9 @@ def test_entropy(spark):
     exp = spark.createDataFrame([(1, k, float(v)) for k, v in enumerate([1, 2, 3, 4], 1)] + [(2, 1, 5.0)] + [(3, k, 1.0) for k in (1, 2)], "chrom int, rnk int, avg_dist double")
     got = {r["chrom"]: r["entropy"] for r in distances.relative_entropy(obs, exp).collect()}
     assert got[1] == pytest.approx(0.1745985962885566) and got[2] == 0 and got[3] == 0
-    assert resample.entropy_of(np.array([0, 1, 2, 5.0]), np.array([1, 2, 3, 4.0])) == pytest.approx(0.1745985962885566)
+    for longer, shorter in ((obs, exp.where("rnk < 4")), (obs.where("rnk < 4"), exp)):
+        with pytest.raises(Exception, match="different length"):
+            distances.relative_entropy(longer, shorter).collect()
 
 
 def test_uniformity_golden(spark):
@@ -147,13 +149,17 @@ def test_samplers_agree_and_repeat(spark):
     drawn = resample.sample_without_replacement(u, n, 60, 1)
     assert drawn.distinct().count() == 60 * 14
     hashed = {r["rnk"]: r["avg_dist"] for r in resample.expected_profile(resample.replicate_profiles(drawn)).collect()}
-    blocks = {r["rnk"]: r["avg_dist"] for r in resample.block_expected_profile(u, n, 400, 1, block=90).collect()}
-    assert hashed.keys() == blocks.keys() and all(abs(hashed[k] - blocks[k]) < 0.15 * max(blocks.values()) for k in hashed)
-    assert blocks == pytest.approx({r["rnk"]: r["avg_dist"] for r in resample.block_expected_profile(u, n, 400, 1, block=33).collect()})
+    indices = resample.sample_indices(u, n, 400, 1)
+    assert indices.distinct().count() == indices.count() == 400 * 14
+    places = {r["rnk"]: r["avg_dist"] for r in resample.expected_profile(resample.replicate_profiles(indices)).collect()}
+    assert hashed.keys() == places.keys() and all(abs(hashed[k] - places[k]) < 0.15 * max(places.values()) for k in hashed)
+    most = spark.createDataFrame([(1, 1, 290), (2, 1, 300), (3, 1, 400)], "method int, chrom int, n long")
+    assert {tuple(r) for r in resample.sample_indices(u, most, 2, 1).groupBy("replicate", "method").agg(F.countDistinct("pos"), F.count("*")).collect()} == {(k, m, x, x) for k in (1, 2) for m, x in ((1, 290), (2, 300), (3, 300))}
     many = spark.createDataFrame([(1, 1, 500)], "method int, chrom int, n long")
     assert resample.sample_without_replacement(u, many, 1, 1).count() == 300
-    with pytest.raises(ValueError, match="larger"):
-        resample.sample_without_replacement(u, many, 1, 1, strict=True)
+    for sampler in (resample.sample_without_replacement, resample.sample_indices):
+        with pytest.raises(Exception, match="larger"):
+            sampler(u, many, 1, 1, strict=True).collect()
     ends = resample.sample_uniform(u, n, 3, 1).agg(F.min("pos"), F.max("pos"), F.count("*")).first()
     assert ends[2] == 42 and ends[0] >= 0 and ends[1] < 100_000
 
@@ -192,8 +198,9 @@ def test_readers(spark, tmp_path):
     got = lambda df: sorted(map(tuple, df.collect()))
     assert got(sites.read_sites(spark, write("a.csv", 'chr,pos,x\n1,"12,345",a\n\n,,\n3,7,b\n'))) == [(1, 12345), (3, 7)]
     assert got(sites.read_sites(spark, write("b.csv", "chr;pos\n2;10\n1;5\n0;9\n"))) == [(1, 5), (2, 10)]
-    with pytest.raises(ValueError, match="missing or wrong"):
-        sites.read_sites(spark, write("c.csv", "chr,pos\n1,\n"))
+    for name, text in (("c.csv", "chr,pos\n1,\n"), ("c2.csv", "chr,pos\n1,x\n"), ("c.norm", "id pos crit\na five 1\n"), ("c2.norm", "id pos crit\na 5 x\n"), ("c.txt", "chr pos\n1\n")):
+        with pytest.raises(Exception, match="missing or wrong"):
+            sites.read_sites(spark, write(name, text)).count()
     assert got(sites.read_sites(spark, write("d.map", "1 rs1 0.5 100\n2\trs2 0.1  1,200\n"))) == [(1, 100), (2, 1200)]
     assert got(sites.read_sites(spark, write("e.tped", "1 a 0 1\n1 b 0 2\n"))) == [(1, 2)]
     assert got(sites.read_sites(spark, write("e2.tped", "1 a 0 1\n1 b 0 2\n"), header=False)) == [(1, 1), (1, 2)]
@@ -207,11 +214,11 @@ def test_readers(spark, tmp_path):
 def test_report_sinks(spark, tmp_path):
     c = cands(spark, [[1, 2, 30], [2, 31]])
     t = proximity.proximity_tuples(c, 1, 2)
-    wide = reports.intersections_wide(t, [(1, 2)], 2)
-    assert [r["SEL_12"] for r in wide.orderBy("row").collect()] == ["1,2", "2,2", "30,31"]
+    wide = reports.intersections_wide(t, [(1, 2)], 2, 10_000)
+    assert [(r["SEL_12"], r["intersec_sites"], r["distance"]) for r in wide.orderBy("row").collect()] == [("1,2", "1", "1E4"), ("2,2", "2", "1E4"), ("30,31", "30", "1E4"), (None, "31", "1E4")]
     reports.write_tuples(t, f"file://{tmp_path}/t")
     reports.write_tsv(wide, f"file://{tmp_path}/w")
-    assert spark.read.parquet(f"file://{tmp_path}/t").count() == 3 and spark.read.csv(f"file://{tmp_path}/w", sep="\t", header=True).count() == 3
+    assert spark.read.parquet(f"file://{tmp_path}/t").count() == 3 and spark.read.csv(f"file://{tmp_path}/w", sep="\t", header=True).count() == 4
 
 
 def test_scalars(spark):
@@ -221,3 +228,101 @@ def test_scalars(spark):
     ).first()
     assert tuple(r) == ("0.001", "2.000000e-07", "0.500000", "1E4", "set one.map", 1234)
     assert summary.axis_mismatch(uni(spark, [1], 3), cands(spark, [[1]])).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_thinning_and_islands_equal_plain_versions(spark, seed):
+    draw = random.Random(seed)
+    sets = [[draw.randint(-300, 300) for _ in range(draw.choice([3, 20, 60]))] for _ in range(3)]
+    gap, least = draw.choice([0, 1, 5, 40]), draw.choice([1, 10, 100])
+    want = []
+    for m, s in enumerate(sets, 1):
+        line = sorted(s)
+        if len(line) < least:
+            want += [(m, 1, p) for p in line]
+            continue
+        cluster = [line[0]]
+        for p in [*line[1:], None]:
+            if p is None or p - cluster[-1] > gap:
+                want += [(m, 1, x) for x in sorted({cluster[0], cluster[-1]})]
+                cluster = []
+            cluster.append(p)
+    assert sorted(map(tuple, islands.thin_clusters(cands(spark, sets), gap, least).collect())) == sorted(want)
+    line, island, number = sorted({p for s in sets for p in s}), {}, 0
+    for k, p in enumerate(line):
+        number += k > 0 and p - line[k - 1] > gap
+        island[p] = number
+    got = islands.pooled_islands(cands(spark, sets), gap).collect()
+    assert len(got) == sum(len(set(s)) for s in sets) and all(island[r["pos"]] == r["island"] for r in got)
+
+
+def test_nearest_distances_equal_all_pairs(spark):
+    draw = random.Random(4)
+    sets = [[draw.randint(0, 90) for _ in range(30)] for _ in range(3)]
+    want = sorted(abs(a - b) for i, j in itertools.combinations(range(3), 2) for a in sets[i] for b in sets[j])
+    got = distances.nearest_distances(cands(spark, sets), 3, 25).orderBy("rnk").collect()
+    assert [(r["rnk"], r["dist"]) for r in got] == list(enumerate(want[2:25], 3))
+
+
+def test_log_factorials_at_any_size():
+    from math import lgamma
+
+    from siteoverlap.functions.hypergeom import log_factorial
+
+    for n in (0, 1, 5, 170, 255, 256, 257, 1000, 10**6, 10**12):
+        assert float(log_factorial(n)) == pytest.approx(lgamma(n + 1), rel=1e-14, abs=1e-13)
+    assert cascade_tail([1000, 900], 10**9, 1) == pytest.approx(1 - (1 - 1000 / 1e9) ** 900, rel=1e-6)
+
+
+def test_calibration_of_several_universes(spark):
+    from siteoverlap.operators.overlap import overlap_counts, unit_flags
+
+    def universe(scenario, number, pos):
+        return uni(spark, pos).select(F.lit(scenario).alias("scenario"), F.lit(number).alias("universe_id"), "chrom", "pos")
+
+    u = universe("a", 0, range(60)).unionByName(universe("a", 1, range(300))).unionByName(universe("b", 0, range(60)))
+    n = spark.createDataFrame([(m, 1, 20) for m in (1, 2)], "method int, chrom int, n long")
+    for sampler in (resample.sample_without_replacement, resample.sample_indices):
+        p = {(r["scenario"], r["universe_id"], r["replicate"]): r["p_value"] for r in calibrate.calibrate_overlap(u, n, 2, 5, 3, sampler=sampler).collect()}
+        assert len(p) == 15 and all(p["a", 0, k] == p["b", 0, k] for k in range(1, 6)) and any(p["a", 0, k] != p["a", 1, k] for k in range(1, 6))
+        alone = calibrate.calibrate_overlap(u.where("universe_id = 0 and scenario = 'a'").drop("scenario", "universe_id"), n, 2, 5, 3, sampler=sampler)
+        assert {r["replicate"]: r["p_value"] for r in alone.collect()} == {k: p["a", 0, k] for k in range(1, 6)}
+    few = n.withColumn("n", F.lit(4).cast("long"))
+    d = calibrate.calibrate_distance(u, few, 5, 10, 3).collect()
+    assert len(d) == 15 and {r["universe_id"] for r in d} == {0, 1} and all(1 / 11 <= r["p_value"] <= 1 for r in d)
+
+    def always(units, drawn, methods):
+        """A test of the caller's own: p = 0 wherever anything was drawn."""
+        return drawn.select(*calibrate.KEYS, "chrom").distinct().withColumn("p_value", F.lit(0.0))
+
+    assert {r["p_value"] for r in calibrate.calibrate_overlap(u, n, 2, 2, 3, window=7, test=always).collect()} == {0.0}
+
+
+def test_metrics_that_are_not_close(spark):
+    rows = spark.createDataFrame([(1, "ks_stat", "close"), (1, "cvm_stat", "medium"), (1, "cv_counts", "strong"), (2, "ks_stat", "close"), (3, "cv_counts", "insufficient_data"), (3, "ks_stat", "strong")], "chrom int, metric string, metric_class string")
+    got = {r["chrom"]: r["metrics"] for r in uniformity.metrics_by_class(rows, "close", exclude=True).collect()}
+    assert got == {1: "cvm_stat,cv_counts", 2: "", 3: "ks_stat,cv_counts"}
+    assert {r["chrom"]: r["metrics"] for r in uniformity.metrics_by_class(rows, "strong").collect()} == {1: "cv_counts", 2: "", 3: "ks_stat"}
+
+
+def test_from_files_to_reports(spark, tmp_path):
+    from siteoverlap import workflow
+
+    draw = random.Random(2)
+    everything = sorted(draw.sample(range(100_000), 400))
+    (tmp_path / "all.map").write_text("".join(f"{c} s 0 {p}\n" for c in (1, 2) for p in everything))
+    one = draw.sample(everything, 30)
+    files = []
+    for name, sites_ in (("a", one), ("b", one[:29] + [everything[0]]), ("c", draw.sample(everything, 25))):
+        (tmp_path / f"{name}.txt").write_text("CHR POS\n" + "".join(f"{c} {p}\n" for c in (1, 2) for p in sites_))
+        files.append(f"file://{tmp_path}/{name}.txt")
+    for test in ("overlap", "distance"):
+        r = workflow.run(spark, f"file://{tmp_path}/all.map", files, f"file://{tmp_path}/{test}", test=test, replicates=20, alpha=1.0, distance=500)
+        assert r.dropped == [(1, 2)] and r.methods == 2 and sorted(map(tuple, r.names.collect())) == [(1, "a"), (2, "c")]
+        text = [x.asDict() for x in spark.read.csv(f"file://{tmp_path}/{test}/report", sep="\t", header=True).collect()]
+        assert [x["CHR"] for x in text] == ["1", "2"] and all(x["TOTALS"] == "400" for x in text)
+        assert ("kobs" in text[0]) == (test == "overlap") and "." in text[0]["Pr"]
+        assert r.intersections.columns == ["chrom", "row", "SEL_12", "intersec_sites", "distance"]
+        assert spark.read.parquet(f"file://{tmp_path}/{test}/tuples").count() == r.tuples.count() > 0
+    only = workflow.run(spark, f"file://{tmp_path}/all.map", files, test=None, chrom=2, remove_redundant=False)
+    assert only.methods == 3 and {x["chrom"] for x in only.tuples.select("chrom").distinct().collect()} == {2} and only.report is None
