@@ -14,7 +14,7 @@ from ..sources import reports
 from . import bindings as b
 
 #: Replicates and seed of the hash sampler in the queries that have SQL beside them, and of the index sampler in the test with many replicates.
-REPLICATES, MANY, SEED, ALPHA, METHODS = 5, 199, 42, 0.05, 3
+REPLICATES, MANY, SEED, ALPHA, METHODS = 5, 39, 42, 0.05, 3
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def resampling_pvalue_indices(s, d):
 
 
 def resampling_pvalue_blocks(s, d):
-    """The same test with enough replicates for p = 0.005; too many rows for SQL, so tests hold its samplers against each other."""
+    """The same test with enough replicates for p = 0.025; too many rows for SQL, so tests hold its samplers against each other."""
     return rounded(_resampling(s, d, replicates=MANY, sampler=resample.sample_indices))
 
 
