@@ -33,6 +33,7 @@ text columns are read, so other columns may have any name.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -389,6 +390,19 @@ def dealt(rows: DataFrame, vertices: DataFrame, turn: int) -> DataFrame:
     return grouped(rows, vertices, "tree")
 
 
+def with_partners(blocks: DataFrame, percent: int) -> DataFrame:
+    """The rows (centre, vertex, n) but those whose size no other vertex of the block comes near enough to.
+
+    Sizes are put into classes so wide that partners are in the same or in neighbouring
+    ones; only numbers are shuffled.
+    """
+    width = max(math.log(100 / percent), 1e-9) * (1 + 1e-9)
+    rows = blocks.withColumn("size", F.floor(F.ln(F.col("n").cast("double")) / width))
+    near = rows.groupBy("centre", "size").count().select("centre", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "count")
+    near = near.groupBy("centre", "size").agg(F.sum("count").alias("m")).where("m > 1").select("centre", "size")
+    return rows.join(near, ["centre", "size"], "left_semi").select("centre", "vertex", "n")
+
+
 def held_apart(rows: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
     """Groups of two parts of a block that may hold a link between different components. rows: centre, vertex, component.
 
@@ -418,9 +432,10 @@ def classes(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -
     one = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
     vertices = stored(sig.where("vertex is not null").groupBy("vertex").agg(F.min(one).alias("one"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "vertices")
 
-    tokens = sig.where("vertex is not null").select(F.explode("prefix").alias("token"), "vertex")
+    tokens = sig.where("vertex is not null").select(F.explode("prefix").alias("token"), "vertex", "n")
     shared = tokens.groupBy("token").agg(F.min("vertex").alias("centre"), F.max("vertex").alias("last")).where("centre <> last").select("token", "centre")
-    blocks = stored(tokens.join(bounded(shared, "shared"), "token").select("centre", "vertex").distinct(), "blocks")
+    blocks = stored(tokens.join(bounded(shared, "shared"), "token").select("centre", "vertex", "n").distinct(), "blocks")
+    blocks = stored(with_partners(blocks, percent).select("centre", "vertex"), "blocks")
 
     alone = blocks.select("centre", "vertex", F.col("vertex").alias("component"))
     first = stored(searched(dealt(alone, vertices, 0), percent, FEW_PAIRS), "searched")

@@ -116,3 +116,11 @@ def test_rows_without_id_and_shared_ids(spark):
     docs = spark.createDataFrame([(None, text, "a"), (5, text, "b"), (5, "quite another text of some words here", "c"), (None, "lonely text with no copy at all", "d"), (None, "LONELY text with no copy at all", "e")], "doc_id long, text string, mark string")
     kept = {r["mark"] for r in j.first_of_each_class(docs).collect()}
     assert {"b", "c"} <= kept and len(kept & {"d", "e"}) == 1 and "a" not in kept
+
+
+@pytest.mark.parametrize("percent", [70, 80, 85, 100])
+def test_rows_with_partners_of_fitting_size_stay(spark, percent):
+    sizes = [(a, b) for a in range(1, 130) for b in range(a, 130) if 100 * a >= percent * b]
+    blocks = spark.createDataFrame([(c, 2 * c + k, n) for c, pair in enumerate(sizes) for k, n in enumerate(pair)] + [(-1, -1, 5), (-1, -2, 500)], "centre long, vertex long, n int")
+    got = j.with_partners(blocks, percent)
+    assert got.where("centre >= 0").count() == 2 * len(sizes) and got.where("centre < 0").count() == 0
