@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_extract, jaccard, licenses, pii, quality, secrets, warc
+from . import ann, bpe, decontaminate, html_extract, jaccard, licenses, merkle, pii, quality, secrets, warc
 from .textio import scratch
 
 
@@ -95,7 +95,21 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_nn_descent": op2_nn_descent, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard}
+#: Documents whose crc32 is a multiple of this are tampered with before they are checked.
+TAMPERED = 7
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % TAMPERED == 0
+    leaf = lambda n: merkle.digest_of(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+    leaves = merkle.leaves_of(table(spark, sf_dir, "documents"), F.col("lang"), F.col("doc_id"), leaf(F.col("n_chars")), F.when(tampered, leaf(F.col("n_chars") + 1)))
+    _, proofs = merkle.manifest(leaves)
+    again = merkle.folded(F.coalesce("again", "digest"), F.col("steps"))
+    found = proofs.select(F.col("id").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), again.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_nn_descent": op2_nn_descent, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard, "op12_merkle": op12_merkle}
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -125,4 +139,60 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY 1) m ON m.v = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL, "op10_jaccard": OP10_SQL}
+OP12_SQL = """
+WITH RECURSIVE v AS (
+  SELECT doc_id, lang, n_chars, text, coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS mid FROM documents
+),
+h AS (
+  SELECT doc_id, lang,
+    sha256(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || mid || coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || mid || coalesce(length((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS altered
+  FROM v
+),
+-- unsigned crc32, eight steps a byte
+c AS (
+  SELECT DISTINCT doc_id, doc_id::VARCHAR AS s, 0 AS i, 0 AS bit, 4294967295::BIGINT AS x FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, s, i + (bit = 8)::INT, (bit + 1) % 9,
+    CASE WHEN bit = 0 THEN xor(x, ascii(s[i + 1])::BIGINT) WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  FROM c WHERE i < length(s)
+),
+tampered AS (SELECT doc_id FROM c WHERE i = length(s) AND xor(x, 4294967295::BIGINT) % 7 = 0),
+l AS (
+  SELECT h.*, CASE WHEN t.doc_id IS NULL THEN leaf ELSE altered END AS found, row_number() OVER (PARTITION BY lang ORDER BY h.doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n
+  FROM h LEFT JOIN tampered t ON t.doc_id = h.doc_id
+),
+t AS (
+  SELECT lang, 0 AS lvl, r AS k, leaf AS d, n FROM l
+  UNION ALL
+  SELECT lang, lvl + 1, k // 2, sha256(d || coalesce(nxt, '')), (n + 1) // 2
+  FROM (SELECT *, lead(d) OVER (PARTITION BY lang ORDER BY k) AS nxt FROM t WHERE n > 1) WHERE k % 2 = 0
+),
+s AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS lvl, r AS k, subroot AS d, n FROM s
+  UNION ALL
+  SELECT lvl + 1, k // 2, sha256(d || coalesce(nxt, '')), (n + 1) // 2 FROM (SELECT *, lead(d) OVER (ORDER BY k) AS nxt FROM u WHERE n > 1) WHERE k % 2 = 0
+),
+levels AS (SELECT DISTINCT lang, lvl FROM t WHERE n > 1),
+steps AS (
+  SELECT l.lang, l.r, v.lvl AS seq, t.d, (l.r >> v.lvl) % 2 AS odd
+  FROM l JOIN levels v ON v.lang IS NOT DISTINCT FROM l.lang LEFT JOIN t ON t.lang IS NOT DISTINCT FROM l.lang AND t.lvl = v.lvl AND t.k = xor(l.r >> v.lvl, 1)
+  UNION ALL
+  SELECT l.lang, l.r, 1000 + v.lvl, u.d, (s.r >> v.lvl) % 2
+  FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT DISTINCT lvl FROM u WHERE n > 1) v ON true LEFT JOIN u ON u.lvl = v.lvl AND u.k = xor(s.r >> v.lvl, 1)
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang, r ORDER BY seq) AS i, count(*) OVER (PARTITION BY lang, r) AS m FROM steps),
+f AS (
+  SELECT lang, r, 0::BIGINT AS i, found AS acc FROM l
+  UNION ALL
+  SELECT f.lang, f.r, f.i + 1, sha256(CASE WHEN x.odd = 1 THEN coalesce(x.d, '') ELSE '' END || f.acc || CASE WHEN x.odd = 0 THEN coalesce(x.d, '') ELSE '' END)
+  FROM f JOIN numbered x ON x.lang IS NOT DISTINCT FROM f.lang AND x.r = f.r AND x.i = f.i + 1
+),
+ends AS (SELECT lang, r, arg_max(acc, i) AS folded_root FROM f GROUP BY lang, r),
+proof AS (SELECT lang, r, string_agg(coalesce(d, ''), '' ORDER BY seq) AS p FROM steps GROUP BY lang, r)
+SELECT l.doc_id, l.leaf, s.subroot, (SELECT d FROM u WHERE n = 1) AS root, sha256(coalesce(p.p, '')) AS proof_sha256, e.folded_root, e.folded_root = (SELECT d FROM u WHERE n = 1) AS verified
+FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN ends e ON e.lang IS NOT DISTINCT FROM l.lang AND e.r = l.r LEFT JOIN proof p ON p.lang IS NOT DISTINCT FROM l.lang AND p.r = l.r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_warc": OP8_SQL, "op10_jaccard": OP10_SQL, "op12_merkle": OP12_SQL}
