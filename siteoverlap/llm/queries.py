@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_extract, jaccard, licenses, merkle, pii, quality, secrets, warc
+from . import ann, bpe, decontaminate, html_extract, jaccard, licenses, lines, merkle, pii, quality, secrets, warc
 from .textio import scratch
 
 
@@ -109,7 +109,12 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_nn_descent": op2_nn_descent, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard, "op12_merkle": op12_merkle}
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.judge(docs, lines.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_nn_descent": op2_nn_descent, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard, "op12_merkle": op12_merkle, "op13_lines": op13_lines}
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
