@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, html_extract, jaccard, licenses, lines, merkle, pii, quality, secrets, warc
+from . import align, ann, bpe, decontaminate, html_extract, jaccard, licenses, lines, merkle, pii, quality, secrets, warc
 from .textio import scratch
 
 
@@ -95,6 +95,16 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+#: The files of the two tokenizers that are aligned.
+BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.alignment_report(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.PATTERN, public_tokenizers.path(PIECES))
+
+
 #: Documents whose crc32 is a multiple of this are tampered with before they are checked.
 TAMPERED = 7
 
@@ -114,7 +124,7 @@ def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.judge(docs, lines.train(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_nn_descent": op2_nn_descent, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard, "op12_merkle": op12_merkle, "op13_lines": op13_lines}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_nn_descent": op2_nn_descent, "op3_quality": op3_quality, "op4_licenses": op4_licenses, "op5_pii": op5_pii, "op6_bpe": op6_bpe, "op7_html": op7_html, "op8_warc": op8_warc, "op9_secrets": op9_secrets, "op10_jaccard": op10_jaccard, "op11_align": op11_align, "op12_merkle": op12_merkle, "op13_lines": op13_lines}
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
