@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hypergeom import overlap_pvalue
+from ..functions.hypergeom import overlap_pvalue, spread
 from .overlap import window_id
 from .resample import expected_profile, kept, null_summaries, replicate_profiles, sample_without_replacement
 
@@ -37,7 +37,7 @@ def overlap_pvalues(universe: DataFrame, sampled: DataFrame, methods: int) -> Da
     n = units.groupBy(*KEYS, "chrom").agg(
         F.array(*(F.sum((F.col("mask").bitwiseAND(1 << (m - 1)) != 0).cast("long")) for m in range(1, methods + 1))).alias("n_i"), F.count_if(F.col("mask") == full).alias("k_obs")
     )
-    return n.join(total, [*by, "chrom"]).select(*KEYS, "chrom", overlap_pvalue("n_i", "n_units", "k_obs").alias("p_value"))
+    return spread(n.join(total, [*by, "chrom"]), *KEYS, "chrom").select(*KEYS, "chrom", overlap_pvalue("n_i", "n_units", "k_obs").alias("p_value"))
 
 
 def grid_of(universe: DataFrame, replicates: int) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hypergeom import overlap_pvalue
+from ..functions.hypergeom import overlap_pvalue, spread
 from .summary import chromosomes
 
 
@@ -77,7 +77,7 @@ def overlap_warnings(total: Column, missing_n: Column, missing_min: Column, meth
 def overlap_test(universe: DataFrame, candidates: DataFrame, methods: int, window: int = 1) -> DataFrame:
     """chrom, n_units, n_i, k_obs, expected_k, p_value, warnings, missing: one row a chromosome."""
     counts = overlap_counts(unit_flags(universe, candidates, window), chromosomes(universe, candidates), methods)
-    return counts.select(
+    return spread(counts, "chrom").select(
         "chrom", "n_units", "n_i", "k_obs", expected_overlap(F.col("n_i"), F.col("n_units")).alias("expected_k"), overlap_pvalue("n_i", "n_units", "k_obs").alias("p_value"),
         overlap_warnings(F.col("n_units"), F.col("missing_n"), F.col("missing_min"), methods).alias("warnings"), F.exists("missing_n", lambda x: x > 0).alias("missing"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hypergeom import overlap_pvalue
+from ..functions.hypergeom import overlap_pvalue, spread
 from ..operators import calibrate, distances, islands, overlap, proximity, redundancy, resample, summary, uniformity
 from ..operators.summary import chromosomes
 from ..sources import reports
@@ -99,11 +99,11 @@ def expected_overlap(s, d):
 def overlap_pvalue_k2(s, d):
     u, c = b.universe_l(s, d), b.candidates_l(s, d).where("method <= 2")
     n = overlap.overlap_counts(overlap.unit_flags(u, c), chromosomes(u, c), 2)
-    return rounded(n.select("chrom", "k_obs", overlap_pvalue("n_i", "n_units", "k_obs").alias("p_value")))
+    return rounded(spread(n, "chrom").select("chrom", "k_obs", overlap_pvalue("n_i", "n_units", "k_obs").alias("p_value")))
 
 
 def overlap_pvalue_k3(s, d):
-    return rounded(counts_l(s, d).select("chrom", "k_obs", overlap_pvalue("n_i", "n_units", "k_obs").alias("p_value")))
+    return rounded(spread(counts_l(s, d), "chrom").select("chrom", "k_obs", overlap_pvalue("n_i", "n_units", "k_obs").alias("p_value")))
 
 
 def overlap_warnings(s, d):

@@ -274,9 +274,28 @@ def test_log_factorials_at_any_size():
     assert cascade_tail([1000, 900], 10**9, 1) == pytest.approx(1 - (1 - 1000 / 1e9) ** 900, rel=1e-6)
 
 
-def test_calibration_of_several_universes(spark):
-    from siteoverlap.operators.overlap import overlap_counts, unit_flags
+def test_cascade_bands():
+    """Bands against the whole sum in exact arithmetic, far tails and large sets included."""
+
+    def exact(n, total, k):
+        n = sorted(n)
+        mass = {n[0]: Fraction(1)}
+        for x in n[1:]:
+            new: dict[int, Fraction] = {}
+            for t, p in mass.items():
+                for s in range(max(k, t + x - total), min(t, x) + 1):
+                    new[s] = new.get(s, 0) + p * Fraction(comb(t, s) * comb(total - t, x - s), comb(total, x))
+            mass = new
+        return float(sum(mass.values()))
+
+    for n, total, k in (([150, 160], 900, 20), ([150, 160], 900, 140), ([150, 300, 200], 10**9, 2), ([140, 180, 130], 400, 3), ([200, 200, 199], 200, 150), ([130, 1000, 900], 1000, 120), ([150, 131, 140, 160], 260, 14), ([300, 300], 600, 290)):
+        assert cascade_tail(n, total, k) == pytest.approx(exact(n, total, k), rel=1e-9)
+    assert cascade_tail([200_000] * 3, 1_900_000, 2216) == pytest.approx(0.50353, abs=1e-5)
+    assert cascade_tail([200_000] * 3, 1_900_000, 3000) == pytest.approx(2.28392e-58, rel=1e-5)
+    assert cascade_tail([10**6] * 3, 10**7, 1) == 1 and cascade_tail([3, 200, 2], 300, 3) == 0
 
+
+def test_calibration_of_several_universes(spark):
     def universe(scenario, number, pos):
         return uni(spark, pos).select(F.lit(scenario).alias("scenario"), F.lit(number).alias("universe_id"), "chrom", "pos")
 
