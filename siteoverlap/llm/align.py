@@ -30,7 +30,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,12 @@ MOST_PAIRS = 2_000_000
 WIDE = 4096
 #: Characters of a text that B encodes at once.
 PIECE = 1 << 17
+#: Ends of the shorter list that share a start of their search.
+FINGER = 32
+#: In a packed list of tokens, marks the last token of a group.
+END = 1 << 31
+#: Bytes of a row group of packed tokens: what a reader holds at once.
+ROW_GROUP = 1 << 23
 #: A's ranks and its own library agree on texts of Latin letters without such long white space; others take the library.
 _ODD = re.compile(r"[^\x00-ȿ]|\s{400}")
 
@@ -134,6 +142,12 @@ def starts(n: np.ndarray) -> np.ndarray:
     return np.cumsum(n) - n
 
 
+def found_at(keys: np.ndarray, start: np.ndarray, line: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """``gallop`` for sorted keys: every ``FINGER``-th one first, the others from where the one before them of these was found."""
+    finger = gallop(keys[::FINGER], start[::FINGER], line, stop[::FINGER])
+    return gallop(keys, np.maximum(start, np.repeat(finger, FINGER)[: len(keys)]), line, stop)
+
+
 def common_ends(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, place in a and place in b of all common ends. a, b: the sorted ends of each text, one text after another; n_a, n_b: how many each has."""
     found = []
@@ -141,7 +155,7 @@ def common_ends(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray)
         text = np.repeat(np.arange(len(nx)), nx)
         at = np.flatnonzero(first[text])
         text = text[at]
-        to = gallop(x[at], starts(ny)[text], y, (starts(ny) + ny)[text])
+        to = found_at(x[at], starts(ny)[text], y, (starts(ny) + ny)[text])
         same = y[to] == x[at]
         pair = (at[same], to[same])
         found.append((text[same], *(pair[::-1] if swap else pair)))
@@ -150,12 +164,26 @@ def common_ends(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray)
     return text[order], at[order], to[order]
 
 
-def lists(n: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values.astype(np.int32)))
+def packed(n: np.ndarray, ids: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The tokens of each text (n of them) in 32 bits each, those at ``last`` with the mark of an end."""
+    ids = ids.astype(np.uint32)
+    ids[last] |= np.uint32(END)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * 4), pa.py_buffer(ids)]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of packed tokens, how many each text has, the size of each group, and how many groups each text has."""
+    column = column.cast(pa.large_binary())
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]].copy().view("<u4") if at[-1] > at[0] else np.zeros(0, np.uint32)
+    at = (at - at[0]) // 4
+    last = np.flatnonzero(raw & END)
+    return (raw & (END - 1)).astype(np.int64), np.diff(at), np.diff(last, prepend=-1), np.diff(np.searchsorted(last, at))
 
 
 def aligned(docs: DataFrame, a_path: str, a_pattern: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, a, b (token ids), a_sizes, b_sizes (tokens of each group, in order); no tokens where the bytes differ."""
+    """id, a, b: the packed tokens of both sides with the ends of their groups, as ``unpacked`` gives them; no tokens where the bytes differ."""
 
     def start():
         one, two = ByteTokenizer(a_path, a_pattern), PieceTokenizer(b_path)
@@ -174,18 +202,26 @@ def aligned(docs: DataFrame, a_path: str, a_pattern: str, b_path: str, id_col: s
             a, b = np.concatenate([*a, none]), np.concatenate([*b, none])
             # ends within all texts of the slice, so that they keep their order
             text, at, to = common_ends(np.cumsum(one.size[a]), n_a, np.cumsum(two.size[b]), n_b)
-            groups = np.bincount(text, minlength=len(n_a))
-            return {"id": ids, "a": lists(n_a, a), "b": lists(n_b, b), "a_sizes": lists(groups, np.diff(at, prepend=-1)), "b_sizes": lists(groups, np.diff(to, prepend=-1))}
+            return {"id": ids, "a": packed(n_a, a, at), "b": packed(n_b, b, to)}
 
         return work
 
-    found = map_texts(docs, id_col, text_col, start, "id long, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>")
-    return found.withColumnRenamed("id", id_col)
+    return map_texts(docs, id_col, text_col, start, "id long, a binary, b binary").withColumnRenamed("id", id_col)
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column, and how many each row has."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.diff(column.offsets.to_numpy())
+def groups_of(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, group (from 0), a_ids, b_ids: one row for each group of aligned rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                (a, _, m, groups), (b, _, n, _) = unpacked(part.column("a")), unpacked(part.column("b"))
+                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]).astype(np.int32)), pa.array(x.astype(np.int32))) for k, x in ((m, a), (n, b))]
+                row = np.repeat(np.arange(part.num_rows), groups)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), pa.array(within(groups)), *lists], ["id", "group", "a_ids", "b_ids"])
+
+    found = rows.select(F.col(id_col).cast("long").alias("id"), "a", "b").mapInArrow(run, "id long, group long, a_ids array<int>, b_ids array<int>")
+    return found.withColumnRenamed("id", id_col)
 
 
 def within(n: np.ndarray) -> np.ndarray:
@@ -209,19 +245,20 @@ def links(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[n
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def linked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, pair and times of all links of aligned rows (a, b, a_sizes, b_sizes)."""
-    (a, _), (b, _), (m, groups), (n, _) = (flat(batch.column(c)) for c in ("a", "b", "a_sizes", "b_sizes"))
+def linked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number of the pair and times of all links of aligned rows, and the pairs by number."""
+    (a, _, m, groups), (b, _, n, _) = unpacked(batch.column("a")), unpacked(batch.column("b"))
     group, pair, times = links(a, b, m, n)
-    return np.repeat(np.arange(batch.num_rows), groups)[group], pair, times
+    number, pairs = pd.factorize(pair)
+    return np.repeat(np.arange(batch.num_rows), groups)[group], number, times, pairs
 
 
-def parts(batch: pa.RecordBatch, tokens: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with a bounded number of tokens (a longer text is alone)."""
-    end, first = np.cumsum(np.diff(batch.column("a").offsets.to_numpy())), 0
+def parts(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with a bounded number of bytes of A's tokens (a longer text is alone)."""
+    end, first = np.cumsum(pc.binary_length(batch.column("a")).to_numpy().astype(np.int64)), 0
     while first < batch.num_rows:
         before = end[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(end, before + tokens, "right")))
+        last = max(first + 1, int(np.searchsorted(end, before + most, "right")))
         yield batch.slice(first, last - first)
         first = last
 
@@ -232,16 +269,12 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
-                row, pair, _ = linked(part)
-                order = np.lexsort((row, pair))
-                row, pair = row[order], pair[order]
-                new = np.ones(len(pair), bool)
-                new[1:] = (pair[1:] != pair[:-1]) | (row[1:] != row[:-1])
-                pair, n = np.unique(pair[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
+                row, number, _, pairs = linked(part)
+                each = pd.unique(number * part.num_rows + row) // part.num_rows  # a pair once for each row that links it
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(np.bincount(each, minlength=len(pairs)))], ["pair", "n"])
 
     small_batches(rows.sparkSession)
-    counts = rows.select("a", "b", "a_sizes", "b_sizes").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counts = rows.select("a", "b").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = stored(counts, "pairs")
     token = F.shiftright("pair", 32).alias("token")
     most = counts.groupBy(token).agg(F.max("n").alias("most"))  # a row for each id of A
@@ -256,30 +289,29 @@ def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.n
     return pair[order], n[order], best[order]
 
 
-def spelled(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All groups as text (``a1,a2|b1;a3|b2,b3;``, ids in decimal) in one array of bytes, and the end of each group in it."""
+def decimals(n: int) -> np.ndarray:
+    """The digits of 0 to n - 1, right-aligned before a free column, 0 where there is none."""
+    width = len(str(max(1, n - 1)))
+    k = np.arange(n)
+    cells = np.zeros((n, width + 1), np.uint8)
+    for j in range(width):
+        cells[:, width - 1 - j] = np.where((k >= 10**j) | (j == 0), k // 10**j % 10 + 48, 0)
+    return cells
+
+
+def digests(part: pa.RecordBatch, shown: np.ndarray) -> list[str]:
+    """The SHA-256 of each row's groups as ``a1,a2|b1;a3|b2,b3``, ids in decimal; "" without tokens."""
+    (a, _, m, groups), (b, _, n, _) = unpacked(part.column("a")), unpacked(part.column("b"))
     both, ids = starts(m + n), np.zeros(len(a) + len(b), np.int64)
     ids[np.repeat(both, m) + within(m)] = a
     ids[np.repeat(both + m, n) + within(n)] = b
-    width = len(str(ids.max(initial=0)))
-    cells = np.zeros((len(ids), width + 1), np.uint8)
-    for k in range(width):  # right-aligned digits, then the mark that follows
-        cells[:, width - 1 - k] = ids // 10**k % 10 + 48
-    cells[:, width] = ord(",")
-    cells[both + m - 1, width] = ord("|")
-    cells[both + m + n - 1, width] = ord(";")
-    shown = np.ones(cells.shape, bool)
-    for k in range(1, width):
-        shown[:, width - 1 - k] = ids >= 10**k
-    end = np.cumsum(shown.sum(axis=1))
-    return cells[shown], end[both + m + n - 1]
-
-
-def digests(part: pa.RecordBatch) -> list[str]:
-    """The SHA-256 of each row's groups as text; "" without tokens."""
-    (a, _), (b, _), (m, groups), (n, _) = (flat(part.column(c)) for c in ("a", "b", "a_sizes", "b_sizes"))
-    text, end = spelled(a, b, m, n)
-    end = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(groups)])]
+    cells = shown[ids]
+    cells[:, -1] = ord(",")
+    cells[both + m - 1, -1] = ord("|")
+    cells[both + m + n - 1, -1] = ord(";")
+    there = cells > 0
+    end = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
+    text, end = cells[there], end[np.concatenate([[0], np.cumsum(m + n)])][np.concatenate([[0], np.cumsum(groups)])]
     return [hashlib.sha256(text[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
 
 
@@ -287,36 +319,39 @@ REPORT = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long,
 
 
 def weighed(rows: DataFrame, counts: DataFrame, id_col: str = "doc_id", most: int = MOST_PAIRS) -> DataFrame:
-    """One row for each aligned row (id, row, a, b, a_sizes, b_sizes; ``row`` tells them apart): id, n_a, n_b, n_groups, n_links, n_best (links whose pair is best), count_sum (counts of the pairs, over all links), groups_sha256."""
+    """One row for each aligned row (id, row, a, b; ``row`` tells them apart): id, n_a, n_b, n_groups, n_links, n_best (links whose pair is best), count_sum (counts of the pairs, over all links), groups_sha256."""
     spark = rows.sparkSession
     small_batches(spark)
     counts = stored(counts, "counts")
     table = spark.sparkContext.broadcast(frequent(counts, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, best = table.value
+        (known, n, best), shown = table.value, decimals(0)
         for batch in batches:
             for part in parts(batch):
-                row, pair, times = linked(part)
-                same, inverse = np.unique(pair, return_inverse=True)
-                at = np.searchsorted(known, same)
-                there = np.zeros(len(same), bool)
-                there[at < len(known)] = known[at[at < len(known)]] == same[at < len(known)]
-                count, top = (np.zeros(len(same), np.int64) for _ in range(2))
+                row, number, times, pairs = linked(part)
+                at = np.searchsorted(known, pairs)
+                there = np.zeros(len(pairs), bool)
+                there[at < len(known)] = known[at[at < len(known)]] == pairs[at < len(known)]
+                count, top = np.zeros((2, len(pairs)), np.int64)
                 count[there], top[there] = n[at[there]], best[at[there]]
-                total = lambda x, row=row: np.bincount(row, x, part.num_rows).astype(np.int64) if len(row) else np.zeros(part.num_rows, np.int64)  # noqa: E731, B023
-                links_, best_ = total(times), total(top[inverse] * times)
-                sums = np.zeros(part.num_rows, np.int64)
-                np.add.at(sums, row, count[inverse] * times)  # may exceed what doubles hold exactly
-                rest = np.flatnonzero(~there[inverse])
+
+                def total(x: np.ndarray, row: np.ndarray = row, rows: int = part.num_rows) -> np.ndarray:
+                    out = np.zeros(rows, np.int64)
+                    np.add.at(out, row, x)
+                    return out
+
+                rest = np.flatnonzero(~there[number])
                 rest = rest[np.argsort(row[rest], kind="stable")]
                 bound = np.concatenate([[0], np.cumsum(np.bincount(row[rest], minlength=part.num_rows))]).astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(bound), pa.StructArray.from_arrays([pa.array(pair[rest]), pa.array(times[rest])], ["pair", "times"]))
-                sizes = [np.diff(part.column(c).offsets.to_numpy()).astype(np.int64) for c in ("a", "b", "a_sizes")]
-                cols = [part.column("id"), *map(pa.array, (*sizes, links_, best_, sums)), pa.array(digests(part), pa.string()), part.column("row"), rest]
+                rest = pa.ListArray.from_arrays(pa.array(bound), pa.StructArray.from_arrays([pa.array(pairs[number[rest]]), pa.array(times[rest])], ["pair", "times"]))
+                (a, n_a, _, groups), (b, n_b, _, _) = unpacked(part.column("a")), unpacked(part.column("b"))
+                most_id = max(a.max(initial=0), b.max(initial=0))
+                shown = shown if most_id < len(shown) else decimals(int(most_id) + 1)
+                cols = [part.column("id"), *map(pa.array, (n_a, n_b, groups, total(times), total(top[number] * times), total(count[number] * times))), pa.array(digests(part, shown), pa.string()), part.column("row"), rest]
                 yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in REPORT.split(", ")])
 
-    found = rows.select(F.col(id_col).cast("long").alias("id"), "row", "a", "b", "a_sizes", "b_sizes").mapInArrow(run, REPORT)
+    found = rows.select(F.col(id_col).cast("long").alias("id"), "row", "a", "b").mapInArrow(run, REPORT)
     if counts.count() > most:
         found = stored(found, "weighed")
         rest = found.select("row", F.explode("rest").alias("of")).select("row", "of.pair", "of.times").join(counts, "pair")
@@ -328,5 +363,5 @@ def weighed(rows: DataFrame, counts: DataFrame, id_col: str = "doc_id", most: in
 def alignment_report(docs: DataFrame, a_path: str, a_pattern: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_PAIRS) -> DataFrame:
     """Aligns all texts, counts all pairs, and weighs the links of each text by the counts."""
     rows = aligned(docs, a_path, a_pattern, b_path, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    rows = stored(rows, "aligned")
+    rows = stored(rows, "aligned", **{"parquet.block.size": ROW_GROUP, "compression": "zstd"})
     return weighed(rows, pair_counts(rows), id_col, most)

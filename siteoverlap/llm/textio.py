@@ -128,8 +128,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors.
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write a table to the shared folder (with the writer's options) and read it again: cuts the lineage, survives lost executors.
 
     Nothing reads the shuffles of the write again once the table is there, so their
     files go with it instead of waiting for the driver to collect its garbage. The
@@ -139,7 +139,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

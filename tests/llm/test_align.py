@@ -131,3 +131,10 @@ def test_common_ends_and_links(seed):
             own[g, p] += t
         results.append(own)
     assert results[0] == results[1] and sum(results[0].values()) == int((m * n).sum())
+
+
+def test_groups(spark, libraries):
+    docs = documents()[:40]
+    rows = align.aligned(spark.createDataFrame(docs, "doc_id long, text string, x string"), A_PATH, P.PATTERN, B_PATH)
+    got = sorted((r["doc_id"], r["group"], r["a_ids"], r["b_ids"]) for r in align.groups_of(rows).collect())
+    assert got == sorted((i, k, g, h) for i, t, _ in docs for k, (g, h) in enumerate(plain_groups(t, libraries)[2]))
