@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hypergeom import overlap_pvalue, spread
+from .distances import distance_medians
 from .overlap import window_id
-from .resample import expected_profile, kept, null_summaries, replicate_profiles, sample_without_replacement
+from .profiles import expected_of, samples, summaries_of
+from .resample import kept, sample_without_replacement
 
 KEYS = ("scenario", "universe_id", "replicate")
 
@@ -72,16 +74,18 @@ def calibrate_overlap(
 
 
 def calibrate_distance(universe: DataFrame, counts: DataFrame, replicates: int, null_replicates: int, seed: int, sampler: Callable = sample_without_replacement) -> DataFrame:
-    """P-values of the distance test in each universe: profile and null summaries once, then each replicate held against them. Untestable chromosomes have p = 1."""
+    """P-values of the distance test in each universe: profile and null summaries once, then each replicate ranked among the nulls (rows in proportion to both numbers of replicates). Untestable chromosomes have p = 1."""
     universe, by = keyed(universe), KEYS[:2]
-    null = kept(replicate_profiles(sampler(universe, counts, null_replicates, seed, keys=by), by))
-    expected = kept(expected_profile(null, by))
-    nulls = null_summaries(null, expected, by).select(*by, "chrom", F.col("entropy").alias("e0"), F.col("median").alias("m0"))
-    tried = null_summaries(replicate_profiles(sampler(universe, counts, replicates, seed + 1, keys=by), by), expected, by)
-    middle = expected.groupBy(*by, "chrom").agg(F.percentile("avg_dist", F.lit(0.5)).alias("e_median"))
-    held = tried.join(nulls, [*by, "chrom"]).join(middle, [*by, "chrom"]).groupBy(*KEYS, "chrom", "entropy", "median", "e_median").agg(
-        F.count_if((F.col("e0") >= F.col("entropy")) & (F.col("m0") <= F.col("e_median"))).alias("b")
-    )
+    on = [*by, "chrom"]
+    null = kept(samples(sampler(universe, counts, null_replicates, seed, keys=by), (*by, "replicate", "chrom")))
+    expected = kept(expected_of(null, by))
+    middle = distance_medians(expected, "avg_dist", (*by, "chrom")).withColumnRenamed("median", "e_median")
+    tried = samples(sampler(universe, counts, replicates, seed + 1, keys=by), (*by, "replicate", "chrom"))
+    # a null that is wider than expected counts for no replicate; of the others those count that come no later in order of entropy
+    nulls = summaries_of(null, expected, by).join(middle, on).where("median <= e_median").select(*on, "entropy", F.lit(1).alias("of_null"), *(F.lit(None).cast(t).alias(c) for c, t in (("replicate", "int"), ("median", "double"), ("e_median", "double"))))
+    rows = summaries_of(tried, expected, by).join(middle, on).select(*on, "entropy", F.lit(0).alias("of_null"), "replicate", "median", "e_median").unionByName(nulls)
+    order = Window.partitionBy(*on).orderBy(F.desc("entropy")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    held = rows.withColumn("b", F.sum("of_null").over(order)).where("of_null = 0")
     p = F.when(F.col("median") > F.col("e_median"), 1.0).otherwise((F.col("b") + 1) / (null_replicates + 1))
     held = grid_of(universe, replicates).join(held.select(*KEYS, "chrom", p.alias("p")), [*KEYS, "chrom"], "left")
     return held.select(*KEYS, "chrom", F.coalesce("p", F.lit(1.0)).alias("p_value"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS_LOW, BINS_HIGH = 30, 500
+#: Distances of a range that are ranked together, and sites of a bin, on average.
+RANGE_ROWS, BIN_SITES = 1 << 20, 4096
 
 
 def cross_distances(candidates: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
@@ -21,8 +23,24 @@ def cross_distances(candidates: DataFrame, keys: tuple[str, ...] = ("chrom",)) -
 
 
 def profile(distances: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """keys, rnk, dist: distances by rank within their keys."""
-    return distances.withColumn("rnk", F.row_number().over(Window.partitionBy(*keys).orderBy("dist")))
+    """keys, rnk, dist: distances by rank within their keys.
+
+    A rank is that within a range of distances plus the rows of the ranges before, so
+    only ranges are put in order. ``profiles.profile_of`` ranks without rows to sort.
+    """
+    size = distances.groupBy(*keys).agg(F.max("dist").alias("far"), F.ceil(F.count("*") / RANGE_ROWS).alias("ranges"))
+    rows = distances.join(size, list(keys)).withColumn("range", F.floor(F.col("dist") * F.col("ranges") / (F.col("far") + 1))).select(*keys, "range", "dist")
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "range").agg(F.count("*").alias("n")).select(*keys, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy(*keys, "range").orderBy("dist")))
+    return rows.join(before, [*keys, "range"]).select(*keys, (F.col("before") + F.col("within")).alias("rnk"), "dist")
+
+
+def paired(sites: DataFrame, by: tuple[str, ...], last: int) -> DataFrame:
+    """by, bin, other (bin), dist of each site (method, chrom, pos, bin) with those of the ``last`` sites behind it that are of other methods."""
+    ahead = Window.partitionBy(*by).orderBy("pos", "method").rowsBetween(1, last)
+    pairs = sites.select("*", F.collect_list(F.struct("method", "pos", "bin")).over(ahead).alias("others")).select("*", F.explode("others").alias("to"))
+    return pairs.where(F.col("to.method") != F.col("method")).select("chrom", "bin", F.col("to.bin").alias("other"), (F.col("to.pos") - F.col("pos")).alias("dist"))
 
 
 def nearest_distances(candidates: DataFrame, first: int = 1, last: int = 10) -> DataFrame:
@@ -30,19 +48,26 @@ def nearest_distances(candidates: DataFrame, first: int = 1, last: int = 10) ->
 
     Each site meets only the ``last`` sites behind it. Of two sites further apart in
     order, each site between them is of another method than one of the two, which
-    makes as many pairs that are no wider.
+    makes as many pairs that are no wider. Sites are put in order within bins of equal
+    width; the ``last`` sites at each end of a bin are enough for pairs across bins.
     """
-    ahead = Window.partitionBy("chrom").orderBy("pos", "method").rowsBetween(1, last)
-    pairs = candidates.select("method", "chrom", "pos", F.collect_list(F.struct("method", "pos")).over(ahead).alias("others"))
-    pairs = pairs.select("method", "chrom", "pos", F.explode("others").alias("to"))
-    near = pairs.where(F.col("to.method") != F.col("method")).select("chrom", (F.col("to.pos") - F.col("pos")).alias("dist"))
-    return profile(near).where(F.col("rnk") <= last).where(F.col("rnk") >= first)
+    size = candidates.groupBy("chrom").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.ceil(F.count("*") / BIN_SITES).alias("bins"))
+    sites = candidates.select("method", "chrom", "pos").join(size, "chrom")
+    sites = sites.select("method", "chrom", "pos", F.floor((F.col("pos") - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low") + 1)).alias("bin"))
+    order = Window.partitionBy("chrom", "bin").orderBy("pos", "method")
+    ends = sites.withColumns({"up": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("chrom", "bin"))})
+    ends = ends.where((F.col("up") <= last) | (F.col("up") > F.col("n") - last)).select("method", "chrom", "pos", "bin")
+    near = paired(sites, ("chrom", "bin"), last).unionByName(paired(ends, ("chrom",), last).where("bin <> other"))
+    best = Window.partitionBy("chrom", "bin").orderBy("dist")
+    near = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= last)
+    ranked = near.select("chrom", F.row_number().over(Window.partitionBy("chrom").orderBy("dist")).alias("rnk"), "dist")
+    return ranked.where((F.col("rnk") <= last) & (F.col("rnk") >= first))
 
 
 def distance_medians(ranked: DataFrame, value: str = "dist", keys: tuple[str, ...] = ("chrom",), truncate: bool = False) -> DataFrame:
     """keys, median: interpolated, read from the middle ranks of a profile."""
-    n = F.count("*").over(Window.partitionBy(*keys))
-    middle = ranked.withColumn("n", n).where((F.col("rnk") >= F.floor((F.col("n") + 1) / 2)) & (F.col("rnk") <= F.floor(F.col("n") / 2) + 1))
+    n = ranked.groupBy(*keys).agg(F.count("*").alias("n"))
+    middle = ranked.join(n, list(keys)).where((F.col("rnk") >= F.floor((F.col("n") + 1) / 2)) & (F.col("rnk") <= F.floor(F.col("n") / 2) + 1))
     median = F.avg(F.col(value).cast("double"))
     return middle.groupBy(*keys).agg((F.floor(median).cast("double") if truncate else median).alias("median"))
 

@@ -6,6 +6,9 @@ them. Both samplers are plain column expressions over md5, which any engine can
 follow. The hash sampler looks at every universe site for every replicate; the index
 sampler draws places, so that its work follows the size of the samples alone.
 
+Repeated rows of a universe are sites of their own: they can be drawn as often as
+they occur, and count in its size.
+
 ``keys`` are further columns of the universe (as scenario and universe_id); each of
 their values is a universe of its own.
 """
@@ -17,7 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distances import cross_distances, distance_medians, profile, relative_entropy
+from .distances import distance_medians, relative_entropy
+from .profiles import expected_of, profile_of, samples, summaries_of
 
 
 def kept(rows: DataFrame) -> DataFrame:
@@ -39,14 +43,25 @@ def hash_key(seed: int, *columns: str, keys: tuple[str, ...] = ()) -> Column:
     return F.md5(F.concat_ws("|", seed_of(seed, keys), *(F.col(c).cast("string") for c in columns)))
 
 
+#: Hexadecimal digits of a key that are read as a number.
+DIGITS = 15
+
+
 def number_of(key: Column) -> Column:
-    """The first 15 hexadecimal digits as a number."""
-    return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
+    """The first digits as a number."""
+    return F.conv(F.substring(key, 1, DIGITS), 16, 10).cast("long")
+
+
+def with_copies(universe: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, chrom, pos, copy: the rows of a universe, numbered from 2 where one is repeated (null: the first)."""
+    times = universe.groupBy(*keys, "chrom", "pos").agg(F.count("*").cast("int").alias("times"))
+    rows = times.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return rows.select(*keys, "chrom", "pos", F.when(F.col("copy") > 1, F.col("copy")).alias("copy"))
 
 
 def sizes(universe: DataFrame, counts: DataFrame, replicates: int, strict: bool, keys: tuple[str, ...]) -> DataFrame:
-    """keys, method, chrom, n, replicate, have (sites of the universe); n is at most have, or with ``strict`` larger samples are an error."""
-    have = universe.groupBy(*keys, "chrom").agg(F.countDistinct("pos").alias("have"))
+    """keys, method, chrom, n, replicate, have (rows of the universe); n is at most have, or with ``strict`` larger samples are an error."""
+    have = universe.groupBy(*keys, "chrom").agg(F.count("*").alias("have"))
     on = [*(k for k in keys if k in counts.columns), "chrom"]
     rows = counts.where("n > 0").join(have, on, "left" if strict else "inner")
     if strict:
@@ -54,6 +69,25 @@ def sizes(universe: DataFrame, counts: DataFrame, replicates: int, strict: bool,
     return replicates_of(rows.select(*keys, "method", "chrom", F.least("n", "have").alias("n"), "have"), replicates)
 
 
+#: Rows of a universe that are numbered together, on average.
+PLACES = 1 << 16
+
+
+def numbered(universe: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """keys, chrom, pos, place (0..N - 1, in order of pos; repeated rows have a place each).
+
+    A place is that within a bin of positions plus the rows of the bins before, so
+    only bins are put in order, not the sites of a chromosome.
+    """
+    on = [*keys, "chrom"]
+    size = universe.groupBy(*on).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.ceil(F.count("*") / PLACES).alias("bins"))
+    rows = universe.select(*on, "pos").join(size, on).withColumn("bin", F.floor((F.col("pos") - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low") + 1))).select(*on, "pos", "bin")
+    before = Window.partitionBy(*on).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*on, "bin").agg(F.count("*").alias("n")).select(*on, "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy(*on, "bin").orderBy("pos")))
+    return rows.join(before, [*on, "bin"]).select(*on, "pos", (F.col("before") + F.col("within") - 1).alias("place"))
+
+
 def enough(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows with rnk <= n; a group that has fewer rows than its n is an error (the margins of the samplers leave less than one case in 10^20)."""
     rows = rows.withColumn("there", F.count("*").over(Window.partitionBy(*by)))
@@ -63,13 +97,13 @@ def enough(rows: DataFrame, by: list[str]) -> DataFrame:
 def sample_without_replacement(universe: DataFrame, counts: DataFrame, replicates: int, seed: int, strict: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, replicate, method, chrom, pos: n universe sites each, those of smallest md5; capped at what there is (``strict``: an error).
 
-    Only keys below a bound a little over n / N are sorted.
+    Only keys below a bound a little over n / N are sorted; the bound is compared as text.
     """
     by = [*keys, "replicate", "method", "chrom"]
-    drawn = universe.select(*keys, "chrom", "pos").distinct().join(sizes(universe, counts, replicates, strict, keys), [*keys, "chrom"])
-    drawn = drawn.withColumn("key", hash_key(seed, "replicate", "method", "chrom", "pos", keys=keys))
     share = (F.col("n") + 10 * F.sqrt("n") + 50) / F.col("have")
-    drawn = drawn.where((share >= 1) | (number_of(F.col("key")) < share * float(16**15)))
+    bound = F.when(share < 1, F.lower(F.lpad(F.hex((share * float(16**DIGITS)).cast("long")), DIGITS, "0"))).otherwise("g")  # beyond all digits
+    drawn = with_copies(universe, keys).join(sizes(universe, counts, replicates, strict, keys).withColumn("bound", bound), [*keys, "chrom"])
+    drawn = drawn.withColumn("key", hash_key(seed, "replicate", "method", "chrom", "pos", "copy", keys=keys)).where(F.col("key") < F.col("bound"))
     order = Window.partitionBy(*by).orderBy("key", "pos")
     return enough(drawn.withColumn("rnk", F.row_number().over(order)), by).select(*by, "pos")
 
@@ -82,11 +116,11 @@ def sample_indices(universe: DataFrame, counts: DataFrame, replicates: int, seed
     """
     by = [*keys, "replicate", "method", "chrom"]
     size = sizes(universe, counts, replicates, strict, keys)
-    places = universe.select(*keys, "chrom", "pos").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*keys, "chrom").orderBy("pos")) - 1)
+    places = numbered(universe, keys)
     size = size.withColumns({"most": 2 * F.col("n") > F.col("have"), "want": F.col("n")}).withColumn("n", F.when(F.col("most"), F.col("have") - F.col("n")).otherwise(F.col("n")))
     tries = (2 * F.col("n") + 20 * F.sqrt("n") + 50).cast("int")  # n of at most N / 2 take 1.39 n draws on average
     drawn = size.where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(1), tries)))
-    drawn = drawn.withColumn("place", (number_of(hash_key(seed, "replicate", "method", "chrom", "j", keys=keys)) % F.col("have")).cast("int"))
+    drawn = drawn.withColumn("place", (number_of(hash_key(seed, "replicate", "method", "chrom", "j", keys=keys)) % F.col("have")))
     drawn = drawn.groupBy(*by, "n", "most", "place").agg(F.min("j").alias("j"))
     drawn = enough(drawn.withColumn("rnk", F.row_number().over(Window.partitionBy(*by).orderBy("j"))), by).select(*by, "most", "place")
     few = drawn.where("not most").join(places, [*keys, "chrom", "place"]).select(*by, "pos")
@@ -113,9 +147,8 @@ def sites_of_windows(universe: DataFrame, sampled: DataFrame, window: int, seed:
 
 
 def replicate_profiles(sampled: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, replicate, chrom, rnk, dist."""
-    by = (*keys, "replicate", "chrom")
-    return profile(cross_distances(sampled, by), by)
+    """keys, replicate, chrom, rnk, dist; one row a distance. ``profiles.expected_of`` and ``summaries_of`` do without these rows."""
+    return profile_of(sampled, (*keys, "replicate", "chrom"))
 
 
 def expected_profile(profiles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -132,10 +165,11 @@ def null_summaries(profiles: DataFrame, expected: DataFrame, keys: tuple[str, ..
 def resampling_pvalue(observed: DataFrame, expected: DataFrame, nulls: DataFrame, axis: DataFrame, replicates: int, truncate: bool = False) -> DataFrame:
     """chrom, entropy, o_median, e_median, p_value = (b + 1) / (R + 1), b counting replicates as extreme and no wider than expected.
 
-    1 where the observed median exceeds the expected one or the chromosome has no
-    distances. ``truncate`` cuts both medians to integers before they are compared.
+    observed: chrom, entropy, median; nulls: the same of each replicate. p is 1 where
+    the observed median exceeds the expected one or the chromosome has no distances.
+    ``truncate`` cuts the expected median to an integer before it is compared.
     """
-    o = relative_entropy(observed, expected).join(distance_medians(observed, truncate=truncate).withColumnRenamed("median", "o_median"), "chrom")
+    o = observed.select("chrom", "entropy", F.col("median").alias("o_median"))
     o = o.join(distance_medians(expected, "avg_dist", truncate=truncate).withColumnRenamed("median", "e_median"), "chrom")
     n = nulls.withColumnsRenamed({"entropy": "r_entropy", "median": "r_median"}).join(o, "chrom").groupBy("chrom").agg(F.count_if((F.col("r_entropy") >= F.col("entropy")) & (F.col("r_median") <= F.col("e_median"))).alias("b"))
     rows = axis.join(o, "chrom", "left").join(n, "chrom", "left")
@@ -146,7 +180,8 @@ def resampling_pvalue(observed: DataFrame, expected: DataFrame, nulls: DataFrame
 def distance_test(universe: DataFrame, candidates: DataFrame, axis: DataFrame, replicates: int, seed: int, sampler: Callable = sample_without_replacement, truncate: bool = False) -> DataFrame:
     """The whole test: samples of the candidates' sizes (more than there are sites is an error), expected profile, null summaries, p-values."""
     n = candidates.groupBy("method", "chrom").agg(F.count("*").alias("n"))
-    profiles = kept(replicate_profiles(sampler(universe, n, replicates, seed, strict=True)))
-    expected = kept(expected_profile(profiles))
-    observed = kept(profile(cross_distances(candidates)))
-    return resampling_pvalue(observed, expected, null_summaries(profiles, expected, truncate=truncate), axis, replicates, truncate)
+    drawn = kept(samples(sampler(universe, n, replicates, seed, strict=True), ("replicate", "chrom")))
+    expected = kept(expected_of(drawn))
+    own = samples(candidates.withColumn("replicate", F.lit(0)), ("replicate", "chrom"))
+    observed = kept(summaries_of(own, expected, truncate=truncate))
+    return resampling_pvalue(observed, expected, summaries_of(drawn, expected, truncate=truncate), axis, replicates, truncate)

@@ -95,9 +95,12 @@ OBS = f"{CROSS}, ob AS (SELECT chrom, dist, row_number() OVER (PARTITION BY chro
 COUNTS = "nn AS (SELECT method, chrom, count(*) AS n FROM c GROUP BY 1, 2)"
 
 
-def sample(r: int, sites: str = "(SELECT DISTINCT chrom, pos FROM u)", seed: int = 42) -> str:
+COPIES = "nullif(row_number() OVER (PARTITION BY chrom, pos), 1) AS copy"
+
+
+def sample(r: int, sites: str = f"(SELECT chrom, pos, {COPIES} FROM u)", seed: int = 42) -> str:
     return f"""{COUNTS}, sm AS (SELECT replicate, method, chrom, pos FROM (SELECT replicate, method, chrom, pos, n,
-  row_number() OVER (PARTITION BY replicate, method, chrom ORDER BY md5(concat_ws('|', '{seed}', replicate, method, chrom, pos)), pos) AS rnk
+  row_number() OVER (PARTITION BY replicate, method, chrom ORDER BY md5(concat_ws('|', '{seed}', replicate, method, chrom, pos, copy)), pos) AS rnk
   FROM {sites} JOIN nn USING (chrom) CROSS JOIN (SELECT unnest(generate_series(1, {r}))::INT AS replicate)) WHERE rnk <= n)"""
 
 
@@ -114,7 +117,7 @@ def entropy(name: str, rows: str, keys: str) -> str:
 
 def indices(r: int, seed: int = 42) -> str:
     """The index sampler: draws until n places are different; of more than half the universe, those not drawn by N - n."""
-    return f"""{COUNTS}, pl AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS place FROM (SELECT DISTINCT chrom, pos FROM u)),
+    return f"""{COUNTS}, pl AS (SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS place FROM u),
 sz AS (SELECT method, chrom, replicate, have, 2 * least(n, have) > have AS most, CASE WHEN 2 * least(n, have) > have THEN have - least(n, have) ELSE n END AS m
   FROM nn JOIN (SELECT chrom, count(*) AS have FROM pl GROUP BY 1) USING (chrom) CROSS JOIN (SELECT unnest(generate_series(1, {r}))::INT AS replicate)),
 jj AS (SELECT *, unnest(generate_series(1, CAST(floor(2 * m + 20 * sqrt(m) + 50) AS BIGINT))) AS j FROM sz WHERE m > 0),
@@ -177,7 +180,7 @@ def distance_calibration(replicates: int = 3, nulls: int = 4) -> str:
 
     def drawn(name: str, r: int, seed: int) -> str:
         return f"""{name} AS (SELECT * FROM (SELECT universe_id, replicate, method, chrom, pos, n,
-  row_number() OVER (PARTITION BY universe_id, replicate, method, chrom ORDER BY md5(concat_ws('|', {seed} + universe_id, replicate, method, chrom, pos)), pos) AS k
+  row_number() OVER (PARTITION BY universe_id, replicate, method, chrom ORDER BY md5(concat_ws('|', {seed} + universe_id, replicate, method, chrom, pos, copy)), pos) AS k
   FROM us JOIN nn USING (chrom) CROSS JOIN (SELECT unnest(generate_series(1, {r}))::INT AS replicate)) WHERE k <= n),
 {name}p AS (SELECT {keys}, dist, row_number() OVER (PARTITION BY {keys} ORDER BY dist) AS rnk FROM
   (SELECT x.universe_id, x.replicate, x.chrom, abs(x.pos - y.pos) AS dist FROM {name} x JOIN {name} y ON x.universe_id = y.universe_id AND x.replicate = y.replicate AND x.chrom = y.chrom AND x.method < y.method))"""
@@ -186,7 +189,7 @@ def distance_calibration(replicates: int = 3, nulls: int = 4) -> str:
         return f"""{name}s AS (SELECT {keys}, sum(CASE WHEN n >= 2 AND sp > 0 AND sq > 0 AND p > 0 THEN (p / sp) * ln((p / sp) / greatest(q / sq, 1e-15)) ELSE 0 END) AS entropy, quantile_cont(p, 0.5) AS median FROM (
   SELECT {keys}, p, q, sum(p) OVER w AS sp, sum(q) OVER w AS sq, count(*) OVER w AS n FROM (SELECT {keys}, r.dist::DOUBLE AS p, ex.avg_dist AS q FROM {name}p r JOIN ex USING (universe_id, chrom, rnk)) WINDOW w AS (PARTITION BY {keys})) GROUP BY {keys})"""
 
-    return f"""{EU}, {EC}, {COUNTS}, us AS (SELECT DISTINCT 0 AS universe_id, chrom, pos FROM u UNION SELECT DISTINCT 1, chrom, pos FROM u WHERE pos % 3 > 0),
+    return f"""{EU}, {EC}, {COUNTS}, us AS (SELECT 0 AS universe_id, chrom, pos, {COPIES} FROM u UNION ALL SELECT 1, chrom, pos, {COPIES} FROM u WHERE pos % 3 > 0),
 {drawn('nl', nulls, 42)}, {drawn('tr', replicates, 43)}, ex AS (SELECT universe_id, chrom, rnk, avg(dist) AS avg_dist FROM nlp GROUP BY 1, 2, 3), {summed('nl')}, {summed('tr')},
 md AS (SELECT universe_id, chrom, quantile_cont(avg_dist, 0.5) AS e_median FROM ex GROUP BY 1, 2),
 hd AS (SELECT trs.universe_id, trs.replicate, trs.chrom, CASE WHEN any_value(trs.median) > any_value(e_median) THEN 1 ELSE (count(*) FILTER (nls.entropy >= trs.entropy AND nls.median <= e_median) + 1) / {nulls + 1}.0 END AS p
@@ -254,7 +257,7 @@ SELECT method, n FROM tot WHERE method NOT IN (SELECT CASE WHEN x.n < y.n THEN m
 j AS (SELECT *, unnest(generate_series(1, n)) AS j FROM nn JOIN e USING (chrom) CROSS JOIN (SELECT unnest([1, 2])::INT AS replicate))
 SELECT replicate, method, chrom, lo + ('0x' || substr(md5(concat_ws('|', '42', replicate, method, chrom, j)), 1, 15))::BIGINT % (hi - lo + 1) AS pos FROM j""",
     "sites_of_windows": f"""WITH {LU}, {LC}, uw AS (SELECT chrom, pos, CAST(floor((pos - lo)::DOUBLE / 10) AS BIGINT) AS unit FROM u JOIN (SELECT chrom, min(pos) AS lo FROM u GROUP BY 1) USING (chrom)),
-{sample(1, '(SELECT DISTINCT chrom, unit AS pos FROM uw)')},
+{sample(1, '(SELECT DISTINCT chrom, unit AS pos, NULL AS copy FROM uw)')},
 pk AS (SELECT replicate, method, chrom, uw.pos, row_number() OVER (PARTITION BY replicate, method, chrom, unit ORDER BY md5(concat_ws('|', '42', replicate, method, chrom, uw.pos)), uw.pos) AS k FROM sm JOIN uw USING (chrom) WHERE uw.unit = sm.pos)
 SELECT replicate, method, chrom, pos FROM pk WHERE k = 1""",
     "expected_profile": f"WITH {EU}, {EC}, {sample(5)}, {PROFILES} SELECT chrom, rnk::INT AS rnk, round(avg_dist, 6) AS avg_dist FROM ex",

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hypergeom import overlap_pvalue, spread
-from ..operators import calibrate, distances, islands, overlap, proximity, redundancy, resample, summary, uniformity
+from ..operators import calibrate, distances, islands, overlap, profiles, proximity, redundancy, resample, summary, uniformity
 from ..operators.summary import chromosomes
 from ..sources import reports
 from . import bindings as b
 
 #: Replicates and seed of the hash sampler in the queries that have SQL beside them, and of the index sampler in the test with many replicates.
-REPLICATES, MANY, SEED, ALPHA, METHODS = 5, 39, 42, 0.05, 3
+REPLICATES, MANY, SEED, ALPHA, METHODS = 5, 200, 42, 0.05, 3
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def nearest_distances(s, d):
 
 
 def _observed(s, d):
-    return distances.profile(distances.cross_distances(b.candidates_e(s, d)))
+    return profiles.profile_of(b.candidates_e(s, d))
 
 
 def distance_median(s, d):
@@ -216,8 +216,8 @@ def _sampled(s, d, replicates=REPLICATES):
     return resample.sample_without_replacement(b.universe_e(s, d), n, replicates, SEED)
 
 
-def _profiles(s, d):
-    return resample.replicate_profiles(_sampled(s, d))
+def _expected(s, d):
+    return profiles.expected_of(profiles.samples(_sampled(s, d), ("replicate", "chrom")))
 
 
 def sample_without_replacement(s, d):
@@ -238,15 +238,15 @@ def sites_of_windows(s, d):
 
 
 def expected_profile(s, d):
-    return rounded(resample.expected_profile(_profiles(s, d)))
+    return rounded(_expected(s, d))
 
 
 def profile_entropy(s, d):
-    return rounded(distances.relative_entropy(_observed(s, d), resample.expected_profile(_profiles(s, d))))
+    return rounded(distances.relative_entropy(_observed(s, d), _expected(s, d)))
 
 
 def distance_histogram(s, d):
-    return rounded(distances.distance_histogram(resample.kept(_observed(s, d)), resample.kept(rounded(resample.expected_profile(_profiles(s, d))))))
+    return rounded(distances.distance_histogram(resample.kept(_observed(s, d)), resample.kept(rounded(_expected(s, d)))))
 
 
 def _resampling(s, d, **options):
@@ -268,8 +268,8 @@ def resampling_pvalue_indices(s, d):
     return rounded(_resampling(s, d, sampler=resample.sample_indices))
 
 
-def resampling_pvalue_blocks(s, d):
-    """The same test with enough replicates for p = 0.025; too many rows for SQL, so tests hold its samplers against each other."""
+def resampling_pvalue_many(s, d):
+    """The same test with enough replicates for p = 0.005; too many rows for SQL, so a test holds it against rows of single distances."""
     return rounded(_resampling(s, d, replicates=MANY, sampler=resample.sample_indices))
 
 
@@ -423,7 +423,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         expected_overlap, overlap_pvalue_k2, overlap_pvalue_k3, overlap_warnings, thin_clusters, proximity_pairs, proximity_tuples3, kway_sites, tuple_difference,
         spatial_uniformity, uniformity_scores, metric_classes, metrics_by_class, metrics_not_close, containment, redundant_pairs, redundant_pairs_global, drop_redundant, cross_distances,
         nearest_distances, distance_median, sample_without_replacement, sample_uniform, sites_of_windows, expected_profile, profile_entropy, distance_histogram,
-        resampling_pvalue, resampling_pvalue_truncated, resampling_pvalue_indices, resampling_pvalue_blocks, sample_indices, fp_rates, fwer, fp_summary, fp_top_chromosomes, calibrate_distance, calibrate_overlap_universes, calibrate_overlap_windows, read_layouts, load_files, report_text, one_chromosome_tuples, report_overlap, report_distance,
+        resampling_pvalue, resampling_pvalue_truncated, resampling_pvalue_indices, resampling_pvalue_many, sample_indices, fp_rates, fwer, fp_summary, fp_top_chromosomes, calibrate_distance, calibrate_overlap_universes, calibrate_overlap_windows, read_layouts, load_files, report_text, one_chromosome_tuples, report_overlap, report_distance,
         report_intersections_wide, significant_tuples,
     )
 } | {

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from siteoverlap.functions import scalars
 from siteoverlap.functions.hypergeom import cascade_tail
-from siteoverlap.operators import calibrate, distances, islands, overlap, proximity, redundancy, resample, summary, uniformity
+from siteoverlap.operators import calibrate, distances, islands, overlap, profiles, proximity, redundancy, resample, summary, uniformity
 from siteoverlap.sources import reports, sites
 
 
@@ -91,6 +91,93 @@ def test_pairs_by_bins_islands_and_brute_force(spark, seed):
     assert proximity.tuple_difference(t, t).count() == 0
 
 
+@pytest.mark.parametrize("k", [2, 3, 4, 5])
+def test_tuples_equal_all_products(spark, k):
+    draw = random.Random(k)
+    sets = [sorted({draw.randint(-20, 60) for _ in range(9)}) for _ in range(k)]
+    t = proximity.proximity_tuples(cands(spark, sets), 4, k)
+    want = set()
+    for size in range(2, k + 1):
+        for subset in itertools.combinations(range(k), size):
+            for x in itertools.product(*(sets[m] for m in subset)):
+                if all(b - a <= 4 for a, b in itertools.pairwise(sorted(x))):
+                    want.add(("SEL_" + "".join(str(m + 1) for m in subset), size, x))
+    got = [(r["subset"], r["size"], tuple(r["positions"])) for r in t.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_tuples_of_a_dense_stretch(spark):
+    """One long island: what is joined on the way are qualifying tuples, not products of the island."""
+    sets = [[30 * k + 10 * m for k in range(300)] for m in range(3)]
+    levels = proximity.grown_tuples(cands(spark, sets), 10, 3)
+    assert islands.pooled_islands(cands(spark, sets), 10).select("island").distinct().count() == 1
+    assert [x.count() for x in levels] == [900, 899, 898]
+    assert proximity.proximity_tuples(cands(spark, sets), 10, 3).count() == 899 + 898
+    many = cands(spark, [[5]] * 11)
+    assert proximity.proximity_tuples(many, 0, 11, (11,)).first()["subset"] == "SEL_1_2_3_4_5_6_7_8_9_10_11"
+
+
+def test_profiles_by_blocks(spark):
+    """Blocks of few ranks, with ties across their bounds, against sorted lists of all pairs."""
+    draw = random.Random(8)
+    groups = {1: [[draw.randint(0, 30) for _ in range(n)] for n in (12, 1, 7)], 2: [[5] * 20, [5] * 9], 3: [[draw.randint(0, 10**12) for _ in range(15)] for _ in range(2)], 4: [[1, 2, 3]], 5: [[1], [4]]}
+    c = None
+    for chrom, sets in groups.items():
+        own = cands(spark, sets, chrom)
+        c = own if c is None else c.union(own)
+    want = {(chrom, k, d) for chrom, sets in groups.items() for k, d in enumerate(sorted(abs(a - b) for x, y in itertools.combinations(sets, 2) for a in x for b in y), 1)}
+    for block in (7, 64, profiles.BLOCK):
+        assert {tuple(r) for r in profiles.profile_of(c, block=block).collect()} == want
+    assert {tuple(r) for r in distances.profile(distances.cross_distances(c)).collect()} == want
+
+
+def test_blocks_equal_single_rows(spark):
+    """Expected profile and summaries by blocks and chunks against the same from rows of single distances."""
+    u = uni(spark, random.Random(1).sample(range(5_000), 200)).union(uni(spark, random.Random(2).sample(range(500), 90), 2))
+    n = spark.createDataFrame([(1, 1, 9), (2, 1, 8), (3, 1, 2), (1, 2, 5), (2, 2, 4), (1, 3, 4)], "method int, chrom int, n long")
+    drawn = resample.sample_indices(u, n, 20, 5)
+    rows = resample.replicate_profiles(drawn)
+    expected = resample.expected_profile(rows)
+    want = {(r["chrom"], r["rnk"]): r["avg_dist"] for r in expected.collect()}
+    held = {(r["chrom"], r["replicate"]): (r["entropy"], r["median"]) for r in resample.null_summaries(rows, expected).collect()}
+    s = profiles.samples(drawn, ("replicate", "chrom"))
+    for block, chunk in ((10, 3), (profiles.BLOCK, profiles.CHUNK)):
+        blocks = profiles.expected_of(s, block=block, chunk=chunk)
+        got = {(r["chrom"], r["rnk"]): r["avg_dist"] for r in blocks.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+        summary_rows = {(r["chrom"], r["replicate"]): (r["entropy"], r["median"]) for r in profiles.summaries_of(s, expected, block=block, chunk=chunk).collect()}
+        assert summary_rows.keys() == held.keys() and all(summary_rows[k] == pytest.approx(held[k], abs=1e-9) for k in held)
+    for wrong in (expected.where("rnk < 20"), expected.where("rnk <= 10"), expected.union(expected.selectExpr("chrom", "rnk + 100", "avg_dist"))):
+        with pytest.raises(Exception, match="different length"):
+            profiles.summaries_of(s, wrong, block=10).collect()
+
+
+def test_repeated_rows_in_the_distance_test(spark):
+    """Repeated rows of the universe are sites of their own, which a sample may hold as often."""
+    u = uni(spark, [10] * 3 + [20] * 2 + [30])
+    for sampler in (resample.sample_without_replacement, resample.sample_indices):
+        whole = sampler(u, spark.createDataFrame([(1, 1, 6)], "method int, chrom int, n long"), 2, 1, strict=True).collect()
+        assert sorted((r["replicate"], r["pos"]) for r in whole) == [(k, p) for k in (1, 2) for p in (10, 10, 10, 20, 20, 30)]
+        with pytest.raises(Exception, match="larger"):
+            sampler(u, spark.createDataFrame([(1, 1, 7)], "method int, chrom int, n long"), 1, 1, strict=True).collect()
+        some = sampler(u, spark.createDataFrame([(1, 1, 1)], "method int, chrom int, n long"), 600, 1).groupBy("pos").count().collect()
+        share = {r["pos"]: r["count"] / 600 for r in some}
+        assert all(abs(share[p] - x) < 0.09 for p, x in ((10, 1 / 2), (20, 1 / 3), (30, 1 / 6)))
+    same = cands(spark, [[10, 10, 20], [10, 20, 20]])
+    assert resample.distance_test(u, same, u.select("chrom").distinct(), 5, 1).first()["p_value"] > 0
+
+
+def test_places_by_bins(spark):
+    draw = random.Random(6)
+    pos = [draw.choice([3, 5, draw.randint(0, 10**9)]) for _ in range(500)]
+    keep, resample.PLACES = resample.PLACES, 32
+    try:
+        got = [tuple(r) for r in resample.numbered(uni(spark, pos), ()).select("place", "pos").orderBy("place").collect()]
+    finally:
+        resample.PLACES = keep
+    assert got == list(enumerate(sorted(pos)))
+
+
 def test_thinning_and_windows(spark):
     c = cands(spark, [[10, 15, 18, 40, 41, 90]])
     assert sorted(r["pos"] for r in islands.thin_clusters(c, 5, 3).collect()) == [10, 18, 40, 41, 90]
@@ -260,8 +347,15 @@ def test_nearest_distances_equal_all_pairs(spark):
     draw = random.Random(4)
     sets = [[draw.randint(0, 90) for _ in range(30)] for _ in range(3)]
     want = sorted(abs(a - b) for i, j in itertools.combinations(range(3), 2) for a in sets[i] for b in sets[j])
-    got = distances.nearest_distances(cands(spark, sets), 3, 25).orderBy("rnk").collect()
-    assert [(r["rnk"], r["dist"]) for r in got] == list(enumerate(want[2:25], 3))
+    for size in (distances.BIN_SITES, 20):
+        keep, distances.BIN_SITES = distances.BIN_SITES, size
+        got = distances.nearest_distances(cands(spark, sets), 3, 25).orderBy("rnk").collect()
+        distances.BIN_SITES = keep
+        assert [(r["rnk"], r["dist"]) for r in got] == list(enumerate(want[2:25], 3))
+    keep, distances.RANGE_ROWS = distances.RANGE_ROWS, 50
+    ranked = distances.profile(distances.cross_distances(cands(spark, sets))).orderBy("rnk").collect()
+    distances.RANGE_ROWS = keep
+    assert [(r["rnk"], r["dist"]) for r in ranked] == list(enumerate(want, 1))
 
 
 def test_log_factorials_at_any_size():
