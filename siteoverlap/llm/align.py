@@ -17,17 +17,16 @@ joined by a shuffle, so nothing is left out.
 Null and empty texts, and those whose bytes a tokenizer changes, have no tokens:
 zeros, and no groups. Repeated rows are documents each; ties for the highest count of
 an A token are all highest. An empty table gives an empty one. A very long text is a
-slice of its own, about 200 bytes of memory for each of its bytes in one task; B
-encodes it in pieces that start at single spaces, which no piece of its vocabulary
-crosses. Only the id and text columns are read, so others may have any name.
+slice of its own, about 200 bytes of memory for each of its bytes in one task. Only
+the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,22 +35,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textio import map_texts, small_batches, stored
+from .textio import buffers, map_texts, small_batches, stored
 
 #: Rows of the table of pairs that every task gets: at most 24 MB.
 MOST_PAIRS = 2_000_000
 #: Groups with more links than this are reduced to their different tokens before pairs are made.
 WIDE = 4096
-#: Characters of a text that B encodes at once.
-PIECE = 1 << 17
 #: Ends of the shorter list that share a start of their search.
-FINGER = 32
+FINGER = 8
 #: In a packed list of tokens, marks the last token of a group.
 END = 1 << 31
 #: Bytes of a row group of packed tokens: what a reader holds at once.
 ROW_GROUP = 1 << 23
-#: A's ranks and its own library agree on texts of Latin letters without such long white space; others take the library.
-_ODD = re.compile(r"[^\x00-ȿ]|\s{400}")
+#: A's ranks and its own library agree on texts of Latin letters (UTF-8 bytes below this) without such long white space; others take the library.
+LATIN, BLANKS = 0xC9, 400
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0xC2]] = True
 
 
 def byte_of_char() -> dict[str, int]:
@@ -82,10 +81,9 @@ class ByteTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
 
-    def encode(self, text: str) -> np.ndarray:
-        if _ODD.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int64)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+    def encode(self, text: str, plain: bool) -> list[int]:
+        return self.fast.encode_ordinary(text) if plain else self.whole.encode(text, add_special_tokens=False).ids
+
 
 
 class PieceTokenizer:
@@ -98,24 +96,24 @@ class PieceTokenizer:
         pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)  # no piece crosses a space that follows another character
-
-    def encode(self, text: str) -> list[int]:
-        if len(text) <= PIECE or not self.cuts:
-            return self.model.encode(text)
-        out, at = [], 0
-        while at < len(text):
-            cut = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])").search(text, at + PIECE)
-            end = cut.start() if cut else len(text)
-            out += self.model.encode(text[at:end])  # the space in front comes from the model
-            at = end + 1
-        return out
 
     def spells(self, ids: list[int], raw: bytes) -> bool:
         """Whether the pieces are these bytes."""
         return b"".join(map(self.bytes.__getitem__, ids)) == raw
 
 
+def plain_texts(texts: pa.Array) -> np.ndarray:
+    """Which texts have Latin letters and short white space only."""
+    raw, off = buffers(texts)
+    odd = raw >= LATIN
+    blank = np.concatenate([[False], _BLANK[raw], [False]])
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    first, end = edge[::2], edge[1::2]
+    odd[first[end - first >= BLANKS]] = True
+    count = np.concatenate([[0], np.cumsum(odd)])
+    return count[off[1:]] == count[off[:-1]]
+
+
 def gallop(keys: np.ndarray, start: np.ndarray, line: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """For each key the first place of ``line`` from ``start`` on that holds a value of at least the key.
 
@@ -144,8 +142,10 @@ def starts(n: np.ndarray) -> np.ndarray:
 
 def found_at(keys: np.ndarray, start: np.ndarray, line: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """``gallop`` for sorted keys: every ``FINGER``-th one first, the others from where the one before them of these was found."""
-    finger = gallop(keys[::FINGER], start[::FINGER], line, stop[::FINGER])
-    return gallop(keys, np.maximum(start, np.repeat(finger, FINGER)[: len(keys)]), line, stop)
+    if len(keys) > FINGER:
+        finger = found_at(keys[::FINGER], start[::FINGER], line, stop[::FINGER])
+        start = np.maximum(start, np.repeat(finger, FINGER)[: len(keys)])
+    return gallop(keys, start, line, stop)
 
 
 def common_ends(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,21 +187,17 @@ def aligned(docs: DataFrame, a_path: str, a_pattern: str, b_path: str, id_col: s
 
     def start():
         one, two = ByteTokenizer(a_path, a_pattern), PieceTokenizer(b_path)
-        none = np.zeros(0, np.int64)
 
         def work(ids, texts):
-            a, b = [], []
-            for text in texts.to_pylist():
-                raw = text.encode()
-                x, y = (two.encode(text), one.encode(" " + text)) if text else ([], none)
-                # byte-level tokens always spell the text
-                ok = bool(text) and int(one.size[y].sum()) == len(raw) + 1 and two.spells(x, b" " + raw)
-                a.append(y if ok else none)
-                b.append(np.array(x, np.int64) if ok else none)
-            n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
-            a, b = np.concatenate([*a, none]), np.concatenate([*b, none])
-            # ends within all texts of the slice, so that they keep their order
-            text, at, to = common_ends(np.cumsum(one.size[a]), n_a, np.cumsum(two.size[b]), n_b)
+            plain, texts = plain_texts(texts), texts.to_pylist()
+            a, b = [one.encode(" " + t, p) if t else [] for t, p in zip(texts, plain.tolist(), strict=True)], two.model.encode(texts, num_threads=1)
+            for k, text in enumerate(texts):  # A always spells the text
+                if not two.spells(b[k], b" " + text.encode()):
+                    a[k] = b[k] = []
+            n_a, n_b = (np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b))
+            a, b = (np.fromiter(chain.from_iterable(side), np.int32, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+            # ends within all texts of the slice (at most 2^31 bytes), so that they keep their order
+            _, at, to = common_ends(np.cumsum(one.size[a]), n_a, np.cumsum(two.size[b]), n_b)
             return {"id": ids, "a": packed(n_a, a, at), "b": packed(n_b, b, to)}
 
         return work
@@ -299,7 +295,7 @@ def decimals(n: int) -> np.ndarray:
     return cells
 
 
-def digests(part: pa.RecordBatch, shown: np.ndarray) -> list[str]:
+def digests(part: pa.RecordBatch, shown: np.ndarray, width: np.ndarray) -> list[str]:
     """The SHA-256 of each row's groups as ``a1,a2|b1;a3|b2,b3``, ids in decimal; "" without tokens."""
     (a, _, m, groups), (b, _, n, _) = unpacked(part.column("a")), unpacked(part.column("b"))
     both, ids = starts(m + n), np.zeros(len(a) + len(b), np.int64)
@@ -309,9 +305,8 @@ def digests(part: pa.RecordBatch, shown: np.ndarray) -> list[str]:
     cells[:, -1] = ord(",")
     cells[both + m - 1, -1] = ord("|")
     cells[both + m + n - 1, -1] = ord(";")
-    there = cells > 0
-    end = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
-    text, end = cells[there], end[np.concatenate([[0], np.cumsum(m + n)])][np.concatenate([[0], np.cumsum(groups)])]
+    end = np.concatenate([[0], np.cumsum(width[ids])])
+    text, end = cells[cells > 0], end[np.concatenate([[0], np.cumsum(m + n)])][np.concatenate([[0], np.cumsum(groups)])]
     return [hashlib.sha256(text[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(end[:-1].tolist(), end[1:].tolist(), strict=True)]
 
 
@@ -326,7 +321,7 @@ def weighed(rows: DataFrame, counts: DataFrame, id_col: str = "doc_id", most: in
     table = spark.sparkContext.broadcast(frequent(counts, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (known, n, best), shown = table.value, decimals(0)
+        (known, n, best), shown, width = table.value, np.zeros((0, 1), np.uint8), np.zeros(0, np.int64)
         for batch in batches:
             for part in parts(batch):
                 row, number, times, pairs = linked(part)
@@ -347,8 +342,10 @@ def weighed(rows: DataFrame, counts: DataFrame, id_col: str = "doc_id", most: in
                 rest = pa.ListArray.from_arrays(pa.array(bound), pa.StructArray.from_arrays([pa.array(pairs[number[rest]]), pa.array(times[rest])], ["pair", "times"]))
                 (a, n_a, _, groups), (b, n_b, _, _) = unpacked(part.column("a")), unpacked(part.column("b"))
                 most_id = max(a.max(initial=0), b.max(initial=0))
-                shown = shown if most_id < len(shown) else decimals(int(most_id) + 1)
-                cols = [part.column("id"), *map(pa.array, (n_a, n_b, groups, total(times), total(top[number] * times), total(count[number] * times))), pa.array(digests(part, shown), pa.string()), part.column("row"), rest]
+                if most_id >= len(shown):
+                    shown = decimals(int(most_id) + 1)
+                    width = (shown > 0).sum(axis=1) + 1
+                cols = [part.column("id"), *map(pa.array, (n_a, n_b, groups, total(times), total(top[number] * times), total(count[number] * times))), pa.array(digests(part, shown, width), pa.string()), part.column("row"), rest]
                 yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in REPORT.split(", ")])
 
     found = rows.select(F.col(id_col).cast("long").alias("id"), "row", "a", "b").mapInArrow(run, REPORT)

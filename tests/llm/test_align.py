@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -88,22 +89,19 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("seed", range(6))
 def test_encoders_equal_the_libraries(libraries, seed):
     draw = random.Random(seed)
-    a, b = align.ByteTokenizer(A_PATH, P.PATTERN), align.PieceTokenizer(B_PATH)
-    assert b.cuts
+    one = align.ByteTokenizer(A_PATH, P.PATTERN)
     letters = [*(chr(k) for k in range(0x250)), *"    \n\n\t\r'sdtmlver", *"abcXYZ019"]
+    texts = []
     for _ in range(150):
         text = "".join(draw.choice(letters) for _ in range(draw.randint(1, 60)))
-        text += draw.choice(["", " " * draw.randint(1, 700), " " * draw.randint(1, 900), "'s 'll\x85", "\x1c\x1d ", "日本 語"]) + draw.choice(letters)
-        assert a.encode(text).tolist() == libraries[0].encode(text, add_special_tokens=False).ids
-    words = ["a", "the", "été", "  x", "\n", "▁", "▁▁ y", "12", "X" * 9]
-    for size in (7, 40):
-        for _ in range(60):
-            text = " ".join(draw.choice(words) for _ in range(draw.randint(1, 60)))
-            align.PIECE, keep = size, align.PIECE
-            try:
-                assert b.encode(text) == libraries[1].encode(text)
-            finally:
-                align.PIECE = keep
+        texts.append(text + draw.choice(["", " " * draw.randint(1, 700), " " * draw.randint(1, 900), "'s 'll\x85", "\x1c\x1d ", "日本 語"]) + draw.choice(letters))
+    words = ["a", "the", "été", " x", "\n", "▁", "▁▁ y", "12", "X" * 9, "", " ", "\u3000", "x\ty", "日本", "'s", "\xa0"]
+    texts += [" ".join(draw.choice(words) for _ in range(draw.randint(1, 40))) for _ in range(400)]
+    plain = align.plain_texts(pa.array([" " + t for t in texts])).tolist()
+    assert 0 < sum(plain) < len(texts)
+    for text, p in zip(texts, plain, strict=True):
+        assert one.encode(" " + text, p) == libraries[0].encode(" " + text, add_special_tokens=False).ids
+    assert align.plain_texts(pa.array(["", "a", " " * 399, "b", " " * 400, "é", "Ȁ", "ʰ", None])).tolist() == [True, True, True, True, False, True, True, False, True]
 
 
 @pytest.mark.parametrize("seed", range(4))
