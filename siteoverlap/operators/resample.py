@@ -177,11 +177,16 @@ def resampling_pvalue(observed: DataFrame, expected: DataFrame, nulls: DataFrame
     return rows.select("chrom", "entropy", "o_median", "e_median", p.alias("p_value"))
 
 
-def distance_test(universe: DataFrame, candidates: DataFrame, axis: DataFrame, replicates: int, seed: int, sampler: Callable = sample_without_replacement, truncate: bool = False) -> DataFrame:
-    """The whole test: samples of the candidates' sizes (more than there are sites is an error), expected profile, null summaries, p-values."""
+def distance_tables(universe: DataFrame, candidates: DataFrame, replicates: int, seed: int, sampler: Callable = sample_without_replacement, truncate: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the test compares: the candidates' summary (chrom, entropy, median), the expected profile (chrom, rnk, avg_dist), and the summaries of the replicates."""
     n = candidates.groupBy("method", "chrom").agg(F.count("*").alias("n"))
     drawn = kept(samples(sampler(universe, n, replicates, seed, strict=True), ("replicate", "chrom")))
     expected = kept(expected_of(drawn))
     own = samples(candidates.withColumn("replicate", F.lit(0)), ("replicate", "chrom"))
-    observed = kept(summaries_of(own, expected, truncate=truncate))
-    return resampling_pvalue(observed, expected, summaries_of(drawn, expected, truncate=truncate), axis, replicates, truncate)
+    return kept(summaries_of(own, expected, truncate=truncate)), expected, summaries_of(drawn, expected, truncate=truncate)
+
+
+def distance_test(universe: DataFrame, candidates: DataFrame, axis: DataFrame, replicates: int, seed: int, sampler: Callable = sample_without_replacement, truncate: bool = False) -> DataFrame:
+    """The whole test: samples of the candidates' sizes (more than there are sites is an error), expected profile, null summaries, p-values."""
+    observed, expected, nulls = distance_tables(universe, candidates, replicates, seed, sampler, truncate)
+    return resampling_pvalue(observed, expected, nulls, axis, replicates, truncate)

@@ -95,6 +95,9 @@ OBS = f"{CROSS}, ob AS (SELECT chrom, dist, row_number() OVER (PARTITION BY chro
 COUNTS = "nn AS (SELECT method, chrom, count(*) AS n FROM c GROUP BY 1, 2)"
 
 
+CLUSTERS = """g AS (SELECT *, count(*) OVER (PARTITION BY method, chrom) AS n, CASE WHEN pos - lag(pos) OVER (PARTITION BY method, chrom ORDER BY pos) > 5 THEN 1 ELSE 0 END AS far FROM c),
+i AS (SELECT *, sum(far) OVER (PARTITION BY method, chrom ORDER BY pos) AS island FROM g), e AS (SELECT method, chrom, island, min(pos) AS a, max(pos) AS b FROM i WHERE n >= 10 GROUP BY 1, 2, 3)"""
+THINNED = "SELECT method, chrom, a AS pos FROM e UNION ALL SELECT method, chrom, b FROM e WHERE b <> a UNION ALL SELECT method, chrom, pos FROM i WHERE n < 10"
 COPIES = "nullif(row_number() OVER (PARTITION BY chrom, pos), 1) AS copy"
 
 
@@ -226,9 +229,7 @@ ORACLE_SQL: dict[str, str] = {
     "overlap_pvalue_k2": K2,
     "overlap_pvalue_k3": K3,
     "overlap_warnings": f"WITH {units(1, u=LUM)} SELECT chrom, {warned()} AS warnings, o_1 + o_2 + o_3 > 0 AS missing FROM n",
-    "thin_clusters": f"""WITH {LC}, g AS (SELECT *, count(*) OVER (PARTITION BY method, chrom) AS n, CASE WHEN pos - lag(pos) OVER (PARTITION BY method, chrom ORDER BY pos) > 5 THEN 1 ELSE 0 END AS far FROM c),
-i AS (SELECT *, sum(far) OVER (PARTITION BY method, chrom ORDER BY pos) AS island FROM g), e AS (SELECT method, chrom, island, min(pos) AS a, max(pos) AS b FROM i WHERE n >= 10 GROUP BY 1, 2, 3)
-SELECT method, chrom, a AS pos FROM e UNION ALL SELECT method, chrom, b FROM e WHERE b <> a UNION ALL SELECT method, chrom, pos FROM i WHERE n < 10""",
+    "thin_clusters": f"WITH {LC}, {CLUSTERS} {THINNED}",
     "islands": f"WITH {EC}, {ISLANDS} SELECT chrom, island::BIGINT AS island, count(*) AS sites, min(pos) AS first_pos, max(pos) AS last_pos FROM i GROUP BY 1, 2",
     "proximity_pairs": f"WITH {EC} SELECT x.method AS method_i, y.method AS method_j, x.chrom, x.pos AS pos_i, y.pos AS pos_j FROM c x JOIN c y ON x.chrom = y.chrom AND x.method < y.method AND abs(x.pos - y.pos) <= 10000",
     "proximity_tuples3": f"WITH {TUPLES3} SELECT chrom, 'SEL_123' AS subset, 3 AS size, p1, p2, p3 FROM t3",
@@ -291,6 +292,14 @@ SELECT scenario, universe_id, round(avg((k_sig > 0)::INT), 6) AS fwer, round(avg
     "fp_summary": f"""WITH {PVALUES}, {rates(0.05)}, fu AS (SELECT scenario, avg(rate) AS m, stddev_samp(rate) AS sd, var_samp(rate) AS va, count(*) AS n_eff FROM fr WHERE universe_id IS NOT NULL GROUP BY 1),
 fc AS (SELECT scenario, min(rate) AS a, quantile_cont(rate, 0.5) AS b, max(rate) AS c FROM fr WHERE chrom IS NOT NULL GROUP BY 1)
 SELECT scenario, round(m, 6) AS mean_rate, round(sd, 6) AS sd_rate, round(va, 6) AS var_rate, n_eff, round(sd / sqrt(n_eff), 6) AS se_rate, round(a, 6) AS chrom_min, round(b, 6) AS chrom_median, round(c, 6) AS chrom_max FROM fu JOIN fc USING (scenario)""",
+    "fp_summary_universes": f"""WITH {universes_sql()}, {rates(0.5)}, fu AS (SELECT scenario, avg(rate) AS m, stddev_samp(rate) AS sd, var_samp(rate) AS va, count(*) AS n_eff FROM fr WHERE universe_id IS NOT NULL GROUP BY 1),
+fc AS (SELECT scenario, min(rate) AS a, quantile_cont(rate, 0.5) AS b, max(rate) AS c FROM fr WHERE chrom IS NOT NULL GROUP BY 1)
+SELECT scenario, round(m, 6) AS mean_rate, round(sd, 6) AS sd_rate, round(va, 6) AS var_rate, n_eff, round(sd / sqrt(n_eff), 6) AS se_rate, round(a, 6) AS chrom_min, round(b, 6) AS chrom_median, round(c, 6) AS chrom_max FROM fu JOIN fc USING (scenario)""",
+    "counts_table": f"""WITH {LU}, {LC}, {CLUSTERS}, t AS ({THINNED}), r AS (SELECT method, count(*) AS sites_read FROM c GROUP BY 1), k AS (SELECT method, count(*) AS sites FROM t GROUP BY 1)
+SELECT 0 AS method, 'universe' AS name, count(*) AS sites, count(*) AS sites_read, '' AS note FROM u UNION ALL
+SELECT method, 'm' || method, coalesce(sites, 0), sites_read, CASE WHEN coalesce(sites, 0) <> sites_read THEN 'after grouping from ' || sites_read ELSE '' END FROM r LEFT JOIN k USING (method)""",
+    "pvalue_text": f"WITH {RESAMPLED} SELECT chrom, printf('%.4f', CASE WHEN p_value <= 0 THEN 1.0 / 10001 ELSE p_value END) AS p FROM rv",
+    "read_ragged": f"WITH {LU} SELECT chrom, count(*) AS n, sum(pos)::BIGINT AS total FROM u WHERE pos % 5 <> 0 AND pos % 7 <> 0 GROUP BY 1",
     "fp_top_chromosomes": f"WITH {PVALUES}, {rates(0.5)}, ra AS (SELECT scenario, chrom, rate, row_number() OVER (PARTITION BY scenario ORDER BY rate DESC, chrom)::INT AS rank FROM fr WHERE chrom IS NOT NULL) SELECT scenario, chrom, round(rate, 6) AS rate, rank FROM ra WHERE rank <= 10",
     "report_overlap": f"""WITH {units(1)}, {UNIFORM.replace('e AS', 'eb AS').replace('JOIN e USING', 'JOIN eb USING')}, {LONG}, {SCORES}, {COMPOSITE}, {CLASSES}, {NOT_CLOSE}, pp AS ({K3.replace('WITH ' + units(1) + ',', 'WITH')})
 SELECT n.chrom, n_units, n_1 AS units_1, n_2 AS units_2, n_3 AS units_3, n.k_obs, round(CASE WHEN n_units > 0 THEN n_1::DOUBLE * n_2 * n_3 / n_units::DOUBLE ** 2 END, 6) AS expected_k, p_value,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions.hypergeom import overlap_pvalue, spread
 from ..operators import calibrate, distances, islands, overlap, profiles, proximity, redundancy, resample, summary, uniformity
 from ..operators.summary import chromosomes
@@ -313,6 +314,43 @@ def calibrate_overlap_universes(s, d):
     return rounded(calibrate.fp_rates(calibrate.calibrate_overlap(universes(s, d), n, METHODS, 4, SEED), 0.5))
 
 
+def fp_summary_universes(s, d):
+    """Deviation and error of the rates over several universes of a scenario."""
+    n = b.candidates_l(s, d).groupBy("method", "chrom").agg(F.count("*").alias("n"))
+    return rounded(calibrate.fp_summary(calibrate.fp_rates(calibrate.calibrate_overlap(universes(s, d), n, METHODS, 4, SEED), 0.5)))
+
+
+def study_overlap(s, d):
+    """The study of false positives as users call it, on the whole universe; as in ``fp_top_chromosomes`` alpha is 0.5."""
+    from .. import workflow
+
+    return rounded(workflow.study(*_l(s, d), replicates=20, alpha=0.5, seed=SEED).top)
+
+
+def counts_table(s, d):
+    """Sites of the universe and of each method, before and after thinning."""
+    u, c = _l(s, d)
+    names = c.select("method").distinct().withColumn("name", F.concat(F.lit("m"), F.col("method").cast("string")))
+    return reports.counts_text(names, summary.site_counts(c), summary.site_counts(islands.thin_clusters(c, b.GAP, 10)), u)
+
+
+def pvalue_text(s, d):
+    """P-values as the distance report gives them."""
+    return _resampling(s, d).select("chrom", scalars.pvalue_text(F.col("p_value"), 10_000).alias("p"))
+
+
+def read_ragged(s, d):
+    """Files with blank rows, chromosomes below 1 and thousands commas."""
+    from ..sources.sites import read_sites, scratch
+
+    u = b.universe_l(s, d)
+    line = F.when(F.col("pos") % 5 == 0, ",").when(F.col("pos") % 7 == 0, F.concat_ws(",", F.lit("0"), F.col("pos").cast("string")))
+    u = u.select(F.coalesce(line, F.concat(F.col("chrom").cast("string"), F.lit(',"'), F.format_number("pos", 0), F.lit('"'))).alias("chr,pos"))
+    path = f"{scratch(s)}/ragged.csv"
+    u.write.csv(path, sep="\x01", quote="", header=True)
+    return read_sites(s, path).groupBy("chrom").agg(F.count("*").alias("n"), F.sum("pos").alias("total"))
+
+
 def calibrate_overlap_windows(s, d):
     """With windows of ten positions and a test of the caller's own: the share of the windows hit by all methods."""
     def share(units, drawn, methods):
@@ -423,7 +461,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         expected_overlap, overlap_pvalue_k2, overlap_pvalue_k3, overlap_warnings, thin_clusters, proximity_pairs, proximity_tuples3, kway_sites, tuple_difference,
         spatial_uniformity, uniformity_scores, metric_classes, metrics_by_class, metrics_not_close, containment, redundant_pairs, redundant_pairs_global, drop_redundant, cross_distances,
         nearest_distances, distance_median, sample_without_replacement, sample_uniform, sites_of_windows, expected_profile, profile_entropy, distance_histogram,
-        resampling_pvalue, resampling_pvalue_truncated, resampling_pvalue_indices, resampling_pvalue_many, sample_indices, fp_rates, fwer, fp_summary, fp_top_chromosomes, calibrate_distance, calibrate_overlap_universes, calibrate_overlap_windows, read_layouts, load_files, report_text, one_chromosome_tuples, report_overlap, report_distance,
+        resampling_pvalue, resampling_pvalue_truncated, resampling_pvalue_indices, resampling_pvalue_many, sample_indices, fp_rates, fwer, fp_summary, fp_top_chromosomes, calibrate_distance, calibrate_overlap_universes, calibrate_overlap_windows, fp_summary_universes, study_overlap, counts_table, pvalue_text, read_ragged, read_layouts, load_files, report_text, one_chromosome_tuples, report_overlap, report_distance,
         report_intersections_wide, significant_tuples,
     )
 } | {

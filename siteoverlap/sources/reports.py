@@ -47,6 +47,15 @@ def intersections_wide(tuples: DataFrame, subsets: list[tuple[int, ...]], method
     return wide.withColumn("distance", distance_label(F.lit(distance)))
 
 
+def counts_text(names: DataFrame, counts_read: DataFrame, counts: DataFrame, universe: DataFrame) -> DataFrame:
+    """The table above a report: a row for the universe (number 0) and each method, with its sites, those read, and a note where thinning left fewer. counts: as of ``summary.site_counts``, numbered like names."""
+    total = lambda t, name: t.where("chrom = 0").select("method", F.col("n").alias(name))
+    rows = names.join(total(counts, "sites"), "method", "left").join(total(counts_read, "sites_read"), "method", "left").fillna(0, ["sites", "sites_read"])
+    everything = universe.agg(F.count("*").alias("sites")).select(F.lit(0).alias("method"), F.lit("universe").alias("name"), "sites", F.col("sites").alias("sites_read"))
+    note = F.when(F.col("sites") != F.col("sites_read"), F.concat(F.lit("after grouping from "), F.col("sites_read").cast("string"))).otherwise("")
+    return everything.unionByName(rows.select("method", "name", "sites", "sites_read")).withColumn("note", note)
+
+
 def overlap_text(report: DataFrame, methods: int) -> DataFrame:
     """The overlap report as it is written: its titles, probabilities as text, in order of the chromosomes."""
     by_method = [c for m in range(1, methods + 1) for c in (F.col(f"sites_{m}").alias(f"SNPs{m}"), F.col(f"units_{m}").alias(f"n{m}"))]

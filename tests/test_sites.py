@@ -437,5 +437,71 @@ def test_from_files_to_reports(spark, tmp_path):
         assert ("kobs" in text[0]) == (test == "overlap") and "." in text[0]["Pr"]
         assert r.intersections.columns == ["chrom", "row", "SEL_12", "intersec_sites", "distance"]
         assert spark.read.parquet(f"file://{tmp_path}/{test}/tuples").count() == r.tuples.count() > 0
+        assert (r.histogram is not None) == (test == "distance") and not r.same_files
+        above = [tuple(x) for x in r.counts_text.orderBy("method").collect()]
+        assert above == [(0, "universe", 800, 800, ""), (1, "a", 60, 60, ""), (2, "c", 50, 50, "")]
     only = workflow.run(spark, f"file://{tmp_path}/all.map", files, test=None, chrom=2, remove_redundant=False)
     assert only.methods == 3 and {x["chrom"] for x in only.tuples.select("chrom").distinct().collect()} == {2} and only.report is None
+
+
+def test_choices_of_the_workflow(spark, tmp_path):
+    from siteoverlap import workflow
+
+    draw = random.Random(4)
+    everything = sorted(draw.sample(range(10_000), 300))
+    u = uni(spark, everything).union(uni(spark, everything[::3], 2)).union(uni(spark, [k * k for k in range(40)], 3))
+    sets = [draw.sample(everything, 40) for _ in range(3)]
+    c = cands(spark, sets).union(cands(spark, [s[:5] for s in sets], 3))
+    names = spark.createDataFrame([(1, "A"), (2, "a"), (3, "a")], "method int, name string")
+    r = workflow.analyse(u, c, names, thin_from=10, gap=200, ranking="terciles", metric="cv_counts", whole_genome=True, intersections=False)
+    assert r.same_files and "after grouping from 45" in {x["note"] for x in r.counts_text.collect()}
+    want = {x["chrom"]: (x["rank"], x["uniformity_class"]) for x in uniformity.rank_terciles(uniformity.spatial_uniformity(u), "cv_counts").collect()}
+    assert {x["chrom"]: (x["rank"], x["uniformity_class"]) for x in r.report.collect()} == want and all(x["composite_score"] is not None for x in r.report.collect())
+    for ranking in ("composite", "multivariate"):
+        assert workflow.ranked(uniformity.spatial_uniformity(u), ranking, how="mean").count() == 3
+    with pytest.raises(ValueError, match="no ranking"):
+        workflow.ranked(u, "x")
+    with pytest.raises(ValueError, match="A ends at 1, not 3"):
+        workflow.analyse(u, c.where("method > 1 or chrom = 1"), names)
+    assert workflow.analyse(u, c.where("method > 1 or chrom = 1"), names, check_axis=False, remove_redundant=False).methods == 3
+
+
+def test_study_from_files(spark, tmp_path):
+    from siteoverlap import workflow
+
+    draw = random.Random(3)
+    everything = {k: sorted(draw.sample(range(5_000), 150)) for k in (1, 2)}
+    (tmp_path / "all.map").write_text("".join(f"{k} s 0 {p}\n" for k, x in everything.items() for p in x))
+    files = []
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("CHR POS\n" + "".join(f"{k} {p}\n" for k, x in everything.items() for p in draw.sample(x, 20)))
+        files.append(f"file://{tmp_path}/{name}.txt")
+    for test in ("overlap", "distance"):
+        s = workflow.run_study(spark, f"file://{tmp_path}/all.map", files, f"file://{tmp_path}/{test}", test=test, replicates=12, null_replicates=30, alpha=0.3)
+        rows = s.pvalues.collect()
+        assert len(rows) == 24 and s.expected_fwer == pytest.approx(1 - 0.7**2)
+        share = sum(r["p_value"] <= 0.3 for r in rows) / 24
+        assert s.summary.first()["mean_rate"] == pytest.approx(share) and s.rates.where("universe_id is null and chrom is null").first()["rate"] == pytest.approx(share)
+        any_ = {r["replicate"] for r in rows if r["p_value"] <= 0.3}
+        assert s.fwer.where("universe_id is null").first()["fwer"] == pytest.approx(len(any_) / 12)
+        assert spark.read.csv(f"file://{tmp_path}/{test}/top", sep="\t", header=True).count() == s.top.count() == 2
+    u = sites.read_sites(spark, f"file://{tmp_path}/all.map")
+    several = u.select(F.lit("x").alias("scenario"), F.lit(0).alias("universe_id"), "chrom", "pos").unionByName(u.where("pos % 2 = 0").select(F.lit("x").alias("scenario"), F.lit(1).alias("universe_id"), "chrom", "pos"))
+    s = workflow.study(u, cands(spark, [x[:20] for x in (everything[1], everything[1][9:])]), replicates=10, universes=several, alpha=0.4)
+    assert s.summary.first()["n_eff"] == 2 and s.summary.first()["sd_rate"] is not None
+
+
+def test_calibration_ranks_equal_all_pairs(spark):
+    """b of each replicate by ranks against comparing it with every null."""
+    u = uni(spark, random.Random(5).sample(range(900), 60))
+    n = spark.createDataFrame([(1, 1, 4), (2, 1, 3)], "method int, chrom int, n long")
+    got = {r["replicate"]: r["p_value"] for r in calibrate.calibrate_distance(u, n, 15, 25, 7).collect()}
+    tag = calibrate.keyed(u)
+    null = profiles.samples(resample.sample_without_replacement(tag, n, 25, 7, keys=("scenario", "universe_id")), ("scenario", "universe_id", "replicate", "chrom"))
+    expected = profiles.expected_of(null, ("scenario", "universe_id"))
+    tried = profiles.samples(resample.sample_without_replacement(tag, n, 15, 8, keys=("scenario", "universe_id")), ("scenario", "universe_id", "replicate", "chrom"))
+    nulls, own = (profiles.summaries_of(x, expected, ("scenario", "universe_id")).collect() for x in (null, tried))
+    middle = distances.distance_medians(expected, "avg_dist").first()["median"]
+    for r in own:
+        b = sum(x["entropy"] >= r["entropy"] and x["median"] <= middle for x in nulls)
+        assert got[r["replicate"]] == pytest.approx(1 if r["median"] > middle else (b + 1) / 26)
