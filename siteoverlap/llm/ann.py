@@ -14,12 +14,14 @@ vertices seen, expands all that are not expanded yet, and stops when the beam ho
 nothing new. First rounds, pivots, entries and beam grow with the number of vertices.
 
 Graph and search measure the original vectors in double precision; they travel as
-floats where that loses nothing. Vectors that are null, zero or hold null or
-non-finite components take no part. Vectors of different lengths are compared as if
-zeros stood behind the shorter ones. Ties go to the smaller id; a repeated (id,
-vector) counts once; of several vectors with one id each is a row of its own. An
-empty table gives an empty one. Only the id and vector columns are read, so others
-may have any name.
+floats where that loses nothing. Rows without an id and vectors that are null, zero
+or hold null or non-finite components take no part. Vectors of different lengths are
+compared as if zeros stood behind the shorter ones. Ties go to the smaller id; a
+repeated (id, vector) counts once. Of several vectors with one id each is a row of its
+own: as queries they get a list each, as candidates each may stand in a list, and only
+the query's own row is left out of its list. Vertices are numbered in order of their
+smallest id, never by it. An empty table gives an empty one. Only the id and vector
+columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -42,8 +44,8 @@ ROUNDS, PIVOTS, BLOCK = 6, 64, 1024
 STOP_SHARE = 0.02
 #: Vertices that a query keeps (the least).
 BEAM = 256
-#: Query vectors that may be broadcast; more are joined by a shuffle.
-BROADCAST_QUERIES = 20_000
+#: Bytes of query vectors that may be broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 1 << 25
 
 log = logging.getLogger(__name__)
 
@@ -74,16 +76,23 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.dropDuplicates(["id", "vec"])
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``row``, different for each and growing with the id; stored, so that it stays what it is."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
 def members(rows: DataFrame, most: int) -> DataFrame:
-    """id, vertex, rank of the ``most`` smallest ids of each class of equal vectors; vertex is the smallest.
+    """id, vec, row, vertex, rank of the ``most`` first rows of each class of equal vectors; vertex is the number of the first.
 
     Ranked within 64 parts of a class first, so that one large class is no burden.
     """
-    part = Window.partitionBy("vec", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
+    part = Window.partitionBy("vec", F.pmod(F.xxhash64("row"), F.lit(64))).orderBy("row")
     few = rows.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= most).drop("rank")
-    whole = Window.partitionBy("vec").orderBy("id")
+    whole = Window.partitionBy("vec").orderBy("row")
     few = few.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= most)
-    return few.withColumn("vertex", F.first("id").over(whole))
+    return few.withColumn("vertex", F.first("row").over(whole))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -274,9 +283,14 @@ def neighbour_graph(vectors: DataFrame, k: int = K) -> DataFrame:
 
 
 def search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int) -> DataFrame:
-    """q, x, dist: the vertices in each query's beam when it holds nothing left to expand. starts: q, vec, from (vertices)."""
+    """q, x, dist: the vertices in each query's beam when it holds nothing left to expand. starts: q, vec, from (vertices).
+
+    What a query has met and not kept is no nearer than its beam's last, and the beam
+    only gets nearer; so each hop looks at the beams alone, not at all that was met.
+    """
     asked = starts.select("q", F.col("vec").alias("want"))
-    asked = F.broadcast(asked) if starts.count() <= BROADCAST_QUERIES else asked
+    size = starts.agg(F.count("*") * F.coalesce(F.max(F.size("vec")), F.lit(0)) * 8).first()[0]
+    asked = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
     starts = starts.select("q", F.explode("from").alias("x")).distinct()
     # both directions of an edge can be walked; of those into a vertex, a bounded sample
     back = Window.partitionBy("w").orderBy(F.xxhash64("w", "x"))
@@ -295,25 +309,21 @@ def search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int) -
         return both.mapInArrow(run, "q long, x long, dist double")
 
     held = stored(measured(starts).withColumn("done", F.lit(False)), "held")
-    seen = held.select("q", "x")  # all vertices that a query has met
     order = Window.partitionBy("q").orderBy("dist", "x")
     while True:
         todo = held.where("not done").select("q", F.col("x").alias("w"))
         if todo.isEmpty():
             return held.select("q", "x", "dist")
-        met = todo.join(ways, "w").select("q", F.explode("xs").alias("x")).distinct().join(seen, ["q", "x"], "left_anti")
-        fresh = stored(measured(met), "fresh")
-        seen = seen.union(fresh.select("q", "x"))
-        both = held.withColumn("done", F.lit(True)).unionByName(fresh.withColumn("done", F.lit(False)))
+        met = todo.join(ways, "w").select("q", F.explode("xs").alias("x")).distinct().join(held.select("q", "x"), ["q", "x"], "left_anti")
+        both = held.withColumn("done", F.lit(True)).unionByName(measured(met).withColumn("done", F.lit(False)))
         held = stored(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= beam).select("q", "x", "dist", "done"), "held")
 
 
 def nearest_neighbours(rows: DataFrame, queries: DataFrame, n: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", beam: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the n nearest rows found for each row of ``queries`` (ids among ``rows``), without itself."""
     small_batches(rows.sparkSession)
-    rows = stored(usable(rows, id_col, vec_col), "rows")
-    own = members(rows, n + 1)
-    own = stored(own.select("id", "vec", "rank", "vertex"), "members")
+    rows = numbered(usable(rows, id_col, vec_col))
+    own = stored(members(rows, n + 1).select("id", "vec", "row", "vertex", "rank"), "members")
     vectors = stored(own.where("rank = 1").select("vertex", "vec"), "vectors")
     n_vertices = vectors.count()
     if not n_vertices:
@@ -321,12 +331,13 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, n: int = 10, id_col:
     graph = neighbour_graph(vectors)
     entries = [r["vertex"] for r in vectors.select("vertex").orderBy(F.xxhash64("vertex"), "vertex").limit(n_vertices.bit_length()).collect()]
     asked = rows.join(queries.select(F.col(id_col).cast("long").alias("id")).distinct(), "id", "left_semi")
-    asked = stored(asked.join(vectors.withColumnRenamed("vec", "same"), F.col("vec") == F.col("same")).select(F.col("id").alias("query_id"), "vertex", "vec"), "asked")
+    asked = asked.join(vectors.withColumnRenamed("vec", "same"), F.col("vec") == F.col("same"))
+    asked = stored(asked.select(F.col("id").alias("query_id"), F.col("row").alias("asker"), "vertex", "vec"), "asked")
     starts = asked.select(F.col("vertex").alias("q"), "vec", F.array_union(F.array("vertex"), F.lit(entries).cast("array<long>")).alias("from")).dropDuplicates(["q"])
     found = search(starts, vectors, graph, beam or beam_of(n_vertices))
     near = Window.partitionBy("q").orderBy("dist", "x")
     found = found.withColumn("place", F.row_number().over(near)).where(F.col("place") <= n + 1).select("q", "x", "dist")
-    every = asked.select("query_id", F.col("vertex").alias("q")).join(found, "q").join(own.select(F.col("vertex").alias("x"), F.col("id").alias("vec_id")), "x")
-    best = Window.partitionBy("query_id").orderBy("dist", "vec_id")
-    every = every.where("vec_id <> query_id").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    every = asked.select("query_id", "asker", F.col("vertex").alias("q")).join(found, "q").join(own.select(F.col("vertex").alias("x"), F.col("id").alias("vec_id"), "row"), "x")
+    best = Window.partitionBy("asker").orderBy("dist", "vec_id", "row")
+    every = every.where("row <> asker").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
     return every.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("dist").alias("score"))

@@ -1,6 +1,7 @@
 """Nearest neighbours against brute force."""
 
 import numpy as np
+import pytest
 from siteoverlap.llm import ann
 
 
@@ -105,3 +106,21 @@ def test_packed_keeps_doubles(spark):
     for value, kind in ((0.5, "<f4"), (0.1, "<f8"), (1e300, "<f8")):
         codes, found = ann.packed(spark.createDataFrame([(1, [value, 1.0])], "vertex long, vec array<double>"))
         assert found == kind and ann.unpacked([bytes(codes.first()["code"])], kind).tolist() == [[value, 1.0]]
+
+
+@pytest.mark.parametrize("n", [60, 1500])
+def test_vectors_that_share_an_id(spark, n):
+    """Each is a row of its own, as query and as candidate; 1,500 vectors make several blocks."""
+    rng = np.random.default_rng(9)
+    points = np.round(rng.normal(size=(n, 4)), 3)
+    ids = [k // 2 if k < 20 else k for k in range(n)]
+    ids[30], points[31] = 0, points[30]
+    data = [(i, p.tolist()) for i, p in zip(ids, points, strict=True)]
+    docs = spark.createDataFrame([*data, data[0], data[30]], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(docs, docs.where("vec_id in (0, 1, 5, 31, 40)"), beam=n).collect()
+    want = []
+    for q in range(n):
+        if ids[q] in (0, 1, 5, 31, 40):
+            near = sorted((float(np.sqrt(((points[x] - points[q]) ** 2).sum())), ids[x]) for x in range(n) if x != q)[:10]
+            want += [(ids[q], k, i, round(d, 9)) for k, (d, i) in enumerate(near, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(want)
