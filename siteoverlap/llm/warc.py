@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textio import arrow_schema, bounded, small_batches
+from .textio import arrow_schema, bounded, small_batches, stored
 
 MAGIC = b"\x1f\x8b\x08"
 MIN_BYTES = 1000
@@ -249,5 +249,6 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     pieces = spark.read.option("encoding", "ISO-8859-1").option("lineSep", MAGIC.decode("latin-1")).text(path)
     pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
     parts = pieces.mapInArrow(scan, schema)
+    parts = parts if payloads else stored(parts, "records")  # without payloads far less to write than to scan again
     joined = parts.where("part <> 'record'").select("part", "file", "block", "nth", "raw").groupBy("file").applyInPandas(stitch, FIELDS)
     return parts.where("part = 'record'").select(*names).unionByName(joined)
