@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textio import BROADCAST_ROWS, bounded, buffers, map_texts, stored, text_column
+from .textio import BROADCAST_ROWS, bounded, buffers, freed, map_texts, stored, text_column
 
 #: About so many texts are counted to find tokens that many texts have; in how many of them such a token is, and how many are noted at most.
 SAMPLE_TEXTS, SAMPLE_LEAST, MOST_FREQUENT = 10_000, 3, 200_000
@@ -327,6 +327,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, id_col: str
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        freed()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -371,6 +372,7 @@ def searched(groups: DataFrame, percent: int, few: int | None) -> DataFrame:
             none = pa.nulls(len(more), pa.int64())
             cols = [pa.concat_arrays([pa.array(pairs[:, k]), none]) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(more, pa.int64())])], ["a", "b", "open"])
+        freed()
 
     return groups.select("centre", "members").mapInArrow(search, "a long, b long, open long")
 

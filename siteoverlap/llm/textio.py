@@ -50,6 +50,17 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def freed() -> None:
+    """Give memory that a finished task no longer uses back to the system: workers live on, and allocators keep what they once had."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session by bytes, not only by rows."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -72,6 +83,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, start: Callable, sche
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f in out for c in [cols[f.name]]], schema=out
                 )
+        freed()
 
     small_batches(docs.sparkSession)
     two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -94,6 +106,7 @@ def text_column(docs: DataFrame, text_col: str, start: Callable, kind: str) -> C
             done = [work(part.column(0).fill_null("")) for part in parts]
             done = [x if isinstance(x, pa.Array) else pa.array(x, arrow) for x in done]
             yield pa.concat_arrays(done) if done else pa.array([], arrow)
+        freed()
 
     return F.arrow_udf(run, kind)(F.col(text_col).cast("string"))
 
