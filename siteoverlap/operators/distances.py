@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import BIN_ROWS, binned, percentiles, places
+
 BINS_LOW, BINS_HIGH = 30, 500
-#: Distances of a range that are ranked together, and sites of a bin, on average.
-RANGE_ROWS, BIN_SITES = 1 << 20, 4096
+#: Sites that are put in order together, on average.
+BIN_SITES = 4096
 
 
 def cross_distances(candidates: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
@@ -22,18 +24,9 @@ def cross_distances(candidates: DataFrame, keys: tuple[str, ...] = ("chrom",)) -
     return a.join(b, list(keys)).where("mi < mj").select(*keys, F.abs(F.col("pi") - F.col("pj")).alias("dist"))
 
 
-def profile(distances: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
-    """keys, rnk, dist: distances by rank within their keys.
-
-    A rank is that within a range of distances plus the rows of the ranges before, so
-    only ranges are put in order. ``profiles.profile_of`` ranks without rows to sort.
-    """
-    size = distances.groupBy(*keys).agg(F.max("dist").alias("far"), F.ceil(F.count("*") / RANGE_ROWS).alias("ranges"))
-    rows = distances.join(size, list(keys)).withColumn("range", F.floor(F.col("dist") * F.col("ranges") / (F.col("far") + 1))).select(*keys, "range", "dist")
-    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy(*keys, "range").agg(F.count("*").alias("n")).select(*keys, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy(*keys, "range").orderBy("dist")))
-    return rows.join(before, [*keys, "range"]).select(*keys, (F.col("before") + F.col("within")).alias("rnk"), "dist")
+def profile(distances: DataFrame, keys: tuple[str, ...] = ("chrom",), bin_rows: int = BIN_ROWS) -> DataFrame:
+    """keys, rnk, dist: distances by rank within their keys. ``profiles.profile_of`` ranks without rows to sort."""
+    return places(distances.select(*keys, "dist"), keys, "dist", bin_rows).select(*keys, (F.col("place") + 1).alias("rnk"), "dist")
 
 
 def paired(sites: DataFrame, by: tuple[str, ...], last: int) -> DataFrame:
@@ -43,7 +36,7 @@ def paired(sites: DataFrame, by: tuple[str, ...], last: int) -> DataFrame:
     return pairs.where(F.col("to.method") != F.col("method")).select("chrom", "bin", F.col("to.bin").alias("other"), (F.col("to.pos") - F.col("pos")).alias("dist"))
 
 
-def nearest_distances(candidates: DataFrame, first: int = 1, last: int = 10) -> DataFrame:
+def nearest_distances(candidates: DataFrame, first: int = 1, last: int = 10, bin_sites: int = BIN_SITES) -> DataFrame:
     """chrom, rnk, dist: the first to last smallest distances of each chromosome.
 
     Each site meets only the ``last`` sites behind it. Of two sites further apart in
@@ -51,9 +44,7 @@ def nearest_distances(candidates: DataFrame, first: int = 1, last: int = 10) ->
     makes as many pairs that are no wider. Sites are put in order within bins of equal
     width; the ``last`` sites at each end of a bin are enough for pairs across bins.
     """
-    size = candidates.groupBy("chrom").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.ceil(F.count("*") / BIN_SITES).alias("bins"))
-    sites = candidates.select("method", "chrom", "pos").join(size, "chrom")
-    sites = sites.select("method", "chrom", "pos", F.floor((F.col("pos") - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low") + 1)).alias("bin"))
+    sites = binned(candidates.select("method", "chrom", "pos"), ("chrom",), "pos", bin_sites)
     order = Window.partitionBy("chrom", "bin").orderBy("pos", "method")
     ends = sites.withColumns({"up": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy("chrom", "bin"))})
     ends = ends.where((F.col("up") <= last) | (F.col("up") > F.col("n") - last)).select("method", "chrom", "pos", "bin")
@@ -95,9 +86,8 @@ def relative_entropy(observed: DataFrame, expected: DataFrame, keys: tuple[str,
 
 def distance_histogram(observed: DataFrame, expected: DataFrame) -> DataFrame:
     """chrom, series, bin, freq: shares of distances per bin; bins follow the spread of the expected profile (30 to 500) and span both series."""
-    e = expected.groupBy("chrom").agg(
-        F.count("*").alias("n"), F.percentile("avg_dist", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), (F.max("avg_dist") - F.min("avg_dist")).alias("span")
-    )
+    ends = expected.groupBy("chrom").agg(F.count("*").alias("n"), (F.max("avg_dist") - F.min("avg_dist")).alias("span"))
+    e = ends.join(percentiles(expected.withColumn("place", F.col("rnk") - 1), ("chrom",), "avg_dist", (0.25, 0.75)), "chrom")
     iqr = F.col("q")[1] - F.col("q")[0]
     width = F.when(F.col("span") == 0, 1.0).otherwise(2 * F.when(iqr == 0, 1.0).otherwise(iqr) / F.pow(F.col("n"), F.lit(1 / 3)))
     bins = F.when(F.col("span") == 0, BINS_LOW).otherwise(F.least(F.lit(BINS_HIGH), F.greatest(F.lit(BINS_LOW), F.ceil(F.col("span") / width))))

@@ -3,7 +3,8 @@
 Sites in one stretch of gap + 1 positions belong to one island anyway. So sites are
 first combined by (group, stretch), where Spark aggregates before the shuffle, and
 only the stretches are put in order: a group has at most range / gap of them, however
-many sites it has.
+many sites it has. With small gaps that is no bound, so stretches are put in order
+within bins, and bins hand on their last position and how many islands they began.
 """
 
 from __future__ import annotations
@@ -11,18 +12,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import BIN_ROWS, binned
+
 
 def stretch(gap: int):
     return F.floor(F.col("pos") / F.lit(gap + 1))
 
 
-def stretches(sites: DataFrame, gap: int, by: tuple[str, ...]) -> DataFrame:
+#: Gaps from which the stretches of a group are few enough for one task.
+WIDE_GAP = 1000
+
+
+def stretches(sites: DataFrame, gap: int, by: tuple[str, ...], bin_rows: int = BIN_ROWS) -> DataFrame:
     """by, stretch, first, last, n, island (from 0): a new island starts where the step from the site before exceeds the gap."""
     some = sites.groupBy(*by, stretch(gap).alias("stretch")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n"))
-    order = Window.partitionBy(*by).orderBy("stretch")
-    run = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    far = F.coalesce((F.col("first") - F.lag("last").over(order) > gap).cast("long"), F.lit(0))
-    return some.withColumn("far", far).withColumn("island", F.sum("far").over(run)).drop("far")
+    if gap >= WIDE_GAP:
+        return begun(some, gap, by, "stretch").drop("far")
+    own = begun(binned(some, by, "stretch", bin_rows), gap, (*by, "bin"), "stretch")
+    bins = own.groupBy(*by, "bin").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("far").alias("inside"))
+    bins = begun(bins, gap, by, "bin")
+    before = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*by, "bin", (F.col("island") + F.coalesce(F.sum("inside").over(before), F.lit(0))).alias("before"))
+    return own.join(bins, [*by, "bin"]).withColumn("island", F.col("island") + F.col("before")).drop("far", "bin", "before")
+
+
+def begun(rows: DataFrame, gap: int, by: tuple[str, ...], order: str) -> DataFrame:
+    """The rows (first, last) with far (1: more than the gap behind the row before) and island (how many such rows there are up to here)."""
+    line = Window.partitionBy(*by).orderBy(order)
+    far = F.coalesce((F.col("first") - F.lag("last").over(line) > gap).cast("long"), F.lit(0))
+    return rows.withColumn("far", far).withColumn("island", F.sum("far").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
 
 def with_islands(sites: DataFrame, gap: int, by: tuple[str, ...]) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .distances import distance_medians, relative_entropy
+from .order import BIN_ROWS, places
 from .profiles import expected_of, profile_of, samples, summaries_of
 
 
@@ -69,23 +70,9 @@ def sizes(universe: DataFrame, counts: DataFrame, replicates: int, strict: bool,
     return replicates_of(rows.select(*keys, "method", "chrom", F.least("n", "have").alias("n"), "have"), replicates)
 
 
-#: Rows of a universe that are numbered together, on average.
-PLACES = 1 << 16
-
-
-def numbered(universe: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """keys, chrom, pos, place (0..N - 1, in order of pos; repeated rows have a place each).
-
-    A place is that within a bin of positions plus the rows of the bins before, so
-    only bins are put in order, not the sites of a chromosome.
-    """
-    on = [*keys, "chrom"]
-    size = universe.groupBy(*on).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.ceil(F.count("*") / PLACES).alias("bins"))
-    rows = universe.select(*on, "pos").join(size, on).withColumn("bin", F.floor((F.col("pos") - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low") + 1))).select(*on, "pos", "bin")
-    before = Window.partitionBy(*on).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = rows.groupBy(*on, "bin").agg(F.count("*").alias("n")).select(*on, "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy(*on, "bin").orderBy("pos")))
-    return rows.join(before, [*on, "bin"]).select(*on, "pos", (F.col("before") + F.col("within") - 1).alias("place"))
+def numbered(universe: DataFrame, keys: tuple[str, ...], bin_rows: int = BIN_ROWS) -> DataFrame:
+    """keys, chrom, pos, place (0..N - 1, in order of pos; repeated rows have a place each)."""
+    return places(universe.select(*keys, "chrom", "pos"), (*keys, "chrom"), "pos", bin_rows)
 
 
 def enough(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -116,15 +103,15 @@ def sample_indices(universe: DataFrame, counts: DataFrame, replicates: int, seed
     """
     by = [*keys, "replicate", "method", "chrom"]
     size = sizes(universe, counts, replicates, strict, keys)
-    places = numbered(universe, keys)
+    numbers = numbered(universe, keys)
     size = size.withColumns({"most": 2 * F.col("n") > F.col("have"), "want": F.col("n")}).withColumn("n", F.when(F.col("most"), F.col("have") - F.col("n")).otherwise(F.col("n")))
     tries = (2 * F.col("n") + 20 * F.sqrt("n") + 50).cast("int")  # n of at most N / 2 take 1.39 n draws on average
     drawn = size.where("n > 0").withColumn("j", F.explode(F.sequence(F.lit(1), tries)))
     drawn = drawn.withColumn("place", (number_of(hash_key(seed, "replicate", "method", "chrom", "j", keys=keys)) % F.col("have")))
     drawn = drawn.groupBy(*by, "n", "most", "place").agg(F.min("j").alias("j"))
     drawn = enough(drawn.withColumn("rnk", F.row_number().over(Window.partitionBy(*by).orderBy("j"))), by).select(*by, "most", "place")
-    few = drawn.where("not most").join(places, [*keys, "chrom", "place"]).select(*by, "pos")
-    rest = size.where("most").select(*by).join(places, [*keys, "chrom"]).join(drawn.where("most").select(*by, "place"), [*by, "place"], "left_anti")
+    few = drawn.where("not most").join(numbers, [*keys, "chrom", "place"]).select(*by, "pos")
+    rest = size.where("most").select(*by).join(numbers, [*keys, "chrom"]).join(drawn.where("most").select(*by, "place"), [*by, "place"], "left_anti")
     return few.unionByName(rest.select(*by, "pos"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .order import percentiles, places
+
 
 def only_numbered(sites: DataFrame) -> DataFrame:
     """Chromosome ids below 1 do not exist."""
@@ -44,10 +46,12 @@ def chromosome_totals(sites: DataFrame) -> DataFrame:
 
 def site_stats(sites: DataFrame) -> DataFrame:
     """Per (method, chrom): smallest, largest, range, mean, population deviation and median position."""
-    return sites.groupBy("method", "chrom").agg(
-        F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"), (F.max("pos") - F.min("pos") + 1).alias("range_bp"),
-        F.avg("pos").alias("mean_pos"), F.stddev_pop("pos").alias("sd_pos"), F.percentile("pos", F.lit(0.5)).alias("median_pos"),
-    )
+    by = ("method", "chrom")
+    stats = sites.groupBy(*by).agg(
+        F.min("pos").alias("min_pos"), F.max("pos").alias("max_pos"), (F.max("pos") - F.min("pos") + 1).alias("range_bp"), F.avg("pos").alias("mean_pos"), F.stddev_pop("pos").alias("sd_pos")
+    )
+    middle = percentiles(places(sites.select(*by, "pos"), by, "pos"), by, "pos", (0.5,))
+    return stats.join(middle.select(*by, F.col("q")[0].alias("median_pos")), list(by))
 
 
 def range_stats(stats: DataFrame) -> DataFrame:

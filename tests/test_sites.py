@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from siteoverlap.functions import scalars
 from siteoverlap.functions.hypergeom import cascade_tail
-from siteoverlap.operators import calibrate, distances, islands, overlap, profiles, proximity, redundancy, resample, summary, uniformity
+from siteoverlap.operators import calibrate, distances, islands, order, overlap, profiles, proximity, redundancy, resample, summary, uniformity
 from siteoverlap.sources import reports, sites
 
 
@@ -170,12 +170,24 @@ def test_repeated_rows_in_the_distance_test(spark):
 def test_places_by_bins(spark):
     draw = random.Random(6)
     pos = [draw.choice([3, 5, draw.randint(0, 10**9)]) for _ in range(500)]
-    keep, resample.PLACES = resample.PLACES, 32
-    try:
-        got = [tuple(r) for r in resample.numbered(uni(spark, pos), ()).select("place", "pos").orderBy("place").collect()]
-    finally:
-        resample.PLACES = keep
+    got = [tuple(r) for r in resample.numbered(uni(spark, pos), (), 32).select("place", "pos").orderBy("place").collect()]
     assert got == list(enumerate(sorted(pos)))
+    u = uni(spark, pos).union(uni(spark, [7], 2)).union(uni(spark, [1, 2], 3))
+    got = {r["chrom"]: r["q"] for r in order.percentiles(order.places(u, ("chrom",), "pos", 32), ("chrom",), "pos", (0.25, 0.5, 0.9)).collect()}
+    for chrom, x in ((1, pos), (2, [7]), (3, [1, 2])):
+        assert got[chrom] == pytest.approx(np.quantile(x, [0.25, 0.5, 0.9]).tolist())
+
+
+@pytest.mark.parametrize("gap", [0, 1, 3])
+def test_islands_by_bins(spark, gap):
+    draw = random.Random(gap)
+    pos = sorted({draw.randint(0, 700) for _ in range(300)} | {5_000, 5_001, 90_000})
+    got = {r["first"]: r["island"] for r in islands.stretches(uni(spark, pos).union(uni(spark, [3], 2)), gap, ("chrom",), 16).where("chrom = 1").collect()}
+    number, want = 0, {}
+    for k, p in enumerate(pos):
+        number += k > 0 and p - pos[k - 1] > gap
+        want[p] = number
+    assert got and all(want[p] == i for p, i in got.items()) and max(got.values()) == number
 
 
 def test_thinning_and_windows(spark):
@@ -348,13 +360,9 @@ def test_nearest_distances_equal_all_pairs(spark):
     sets = [[draw.randint(0, 90) for _ in range(30)] for _ in range(3)]
     want = sorted(abs(a - b) for i, j in itertools.combinations(range(3), 2) for a in sets[i] for b in sets[j])
     for size in (distances.BIN_SITES, 20):
-        keep, distances.BIN_SITES = distances.BIN_SITES, size
-        got = distances.nearest_distances(cands(spark, sets), 3, 25).orderBy("rnk").collect()
-        distances.BIN_SITES = keep
+        got = distances.nearest_distances(cands(spark, sets), 3, 25, size).orderBy("rnk").collect()
         assert [(r["rnk"], r["dist"]) for r in got] == list(enumerate(want[2:25], 3))
-    keep, distances.RANGE_ROWS = distances.RANGE_ROWS, 50
-    ranked = distances.profile(distances.cross_distances(cands(spark, sets))).orderBy("rnk").collect()
-    distances.RANGE_ROWS = keep
+    ranked = distances.profile(distances.cross_distances(cands(spark, sets)), bin_rows=50).orderBy("rnk").collect()
     assert [(r["rnk"], r["dist"]) for r in ranked] == list(enumerate(want, 1))
 
 
