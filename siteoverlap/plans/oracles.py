@@ -142,7 +142,7 @@ rv AS (SELECT ax.chrom, entropy, o_median, e_median, CASE WHEN entropy IS NULL O
 
 RESAMPLED = resampled(sample(5))
 
-PVALUES = f"""{LU}, {LC}, {sample(8, 'u')},
+PVALUES = f"""{LU}, {LC}, {sample(8)},
 tt AS (SELECT chrom, count(DISTINCT pos) AS n_units FROM u GROUP BY 1),
 hh AS (SELECT replicate, chrom, pos, max((method = 1)::INT) AS b1, max((method = 2)::INT) AS b2, max((method = 3)::INT) AS b3 FROM sm GROUP BY 1, 2, 3),
 n AS (SELECT replicate, chrom, n_units, sum(b1)::BIGINT AS n_1, sum(b2)::BIGINT AS n_2, sum(b3)::BIGINT AS n_3, sum(b1 * b2 * b3)::BIGINT AS k_obs FROM hh JOIN tt USING (chrom) GROUP BY 1, 2, 3),
