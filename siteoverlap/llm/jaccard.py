@@ -90,8 +90,12 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     span = np.diff(np.append(start, len(data)))
-    at = np.arange(start[0], len(data)) - np.repeat(start, span)
-    value = _VALUE[data[start[0] :]] * _POWER[at & (_LONG - 1)]
+    at = np.arange(start[0], len(data), dtype=np.uint32)  # 4 GB at most; numpy in place, so that a slice costs few times its size
+    at -= np.repeat(start.astype(np.uint32), span)
+    at &= np.uint32(_LONG - 1)
+    value = _VALUE[data[start[0] :]]
+    value *= _POWER[at]
+    del at
     size = np.add.reduceat(is_word.astype(np.uint64), start)
     return mixed(np.add.reduceat(value, start - start[0]) + size * _MUL), np.searchsorted(off, start, "right") - 1
 

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that are handled at once (a longer single text is one slice).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between the JVM and Python (a longer single row is one batch).
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 21
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
