@@ -315,7 +315,8 @@ def search(starts: DataFrame, vectors: DataFrame, graph: DataFrame, beam: int) -
         if todo.isEmpty():
             return held.select("q", "x", "dist")
         met = todo.join(ways, "w").select("q", F.explode("xs").alias("x")).distinct().join(held.select("q", "x"), ["q", "x"], "left_anti")
-        both = held.withColumn("done", F.lit(True)).unionByName(measured(met).withColumn("done", F.lit(False)))
+        fresh = stored(measured(met), "fresh")  # a stage of its own, or sorting and Arrow's buffers meet in one task
+        both = held.withColumn("done", F.lit(True)).unionByName(fresh.withColumn("done", F.lit(False)))
         held = stored(both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= beam).select("q", "x", "dist", "done"), "held")
 
 
