@@ -400,7 +400,7 @@ def _files(s, d):
     """The sites of L as text files, one folder for each layout of columns."""
     from ..sources.sites import scratch
 
-    u = b.universe_l(s, d).select(F.col("chrom").cast("string").alias("c"), F.col("pos").cast("string").alias("p"), F.format_number("pos", 0).alias("q"), F.col("pos"))
+    u = resample.kept(b.universe_l(s, d)).select(F.col("chrom").cast("string").alias("c"), F.col("pos").cast("string").alias("p"), F.format_number("pos", 0).alias("q"), F.col("pos"))
     x = F.lit("x")
     lines = {
         "comma.csv": ("chr,pos,name", F.concat_ws(",", "c", F.concat(F.lit('"'), "q", F.lit('"')), x)), "semicolon.csv": ("chr;pos", F.concat_ws(";", "c", "q")), "plain.map": (None, F.concat_ws("\t", "c", x, F.lit("0.5"), "p")),
