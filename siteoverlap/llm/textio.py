@@ -83,6 +83,7 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, start: Callable, sche
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for f in out for c in [cols[f.name]]], schema=out
                 )
+        del work  # with its tables
         freed()
 
     small_batches(docs.sparkSession)
@@ -106,6 +107,7 @@ def text_column(docs: DataFrame, text_col: str, start: Callable, kind: str) -> C
             done = [work(part.column(0).fill_null("")) for part in parts]
             done = [x if isinstance(x, pa.Array) else pa.array(x, arrow) for x in done]
             yield pa.concat_arrays(done) if done else pa.array([], arrow)
+        del work
         freed()
 
     return F.arrow_udf(run, kind)(F.col(text_col).cast("string"))
