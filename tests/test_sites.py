@@ -513,3 +513,12 @@ def test_calibration_ranks_equal_all_pairs(spark):
     for r in own:
         b = sum(x["entropy"] >= r["entropy"] and x["median"] <= middle for x in nulls)
         assert got[r["replicate"]] == pytest.approx(1 if r["median"] > middle else (b + 1) / 26)
+
+
+def test_samples_of_one_task_equal_rows_of_draws(spark):
+    """Samples drawn until they are full against one row for each draw: small and large ones, a whole universe, repeated sites, several blocks."""
+    u = uni(spark, [*range(0, 18_000, 2), 10, 10]).union(uni(spark, [5, 6, 7], 2))
+    n = spark.createDataFrame([(1, 1, 700), (2, 1, 8_000), (3, 1, 9_002), (1, 2, 1), (2, 2, 3)], "method int, chrom int, n long")
+    one, rows = (resample.sample_indices(u, n, 2, 9, most=most).collect() for most in (resample.MOST_DRAWN, 0))
+    assert len(one) == 2 * (700 + 8_000 + 9_002 + 4) and sorted(one) == sorted(rows)
+    assert sorted(resample.sample_indices(u, n, 2, 9, most=3).collect()) == sorted(one)
