@@ -522,3 +522,20 @@ def test_samples_of_one_task_equal_rows_of_draws(spark):
     one, rows = (resample.sample_indices(u, n, 2, 9, most=most).collect() for most in (resample.MOST_DRAWN, 0))
     assert len(one) == 2 * (700 + 8_000 + 9_002 + 4) and sorted(one) == sorted(rows)
     assert sorted(resample.sample_indices(u, n, 2, 9, most=3).collect()) == sorted(one)
+
+
+def test_small_chromosomes_equal_blocks(spark):
+    """All replicates of a chromosome in one go against blocks of ranks, in the test and in its calibration: repeated sites, one method only, samples of more than half a universe, large and small chromosomes together."""
+    rng = random.Random(8)
+    u = uni(spark, [*rng.choices(range(400), k=70), 3, 3]).union(uni(spark, range(0, 90, 9), 2)).union(uni(spark, [1, 2], 3)).union(uni(spark, range(300), 4))
+    c = cands(spark, [rng.sample(range(400), 9), rng.sample(range(400), 50)]).union(cands(spark, [[1, 5, 7], [9], [2, 3]], 2)).union(cands(spark, [[4]], 3)).union(cands(spark, [range(40), range(30)], 4))
+    key = lambda t: sorted(tuple(round(x, 9) if isinstance(x, float) else -1 if x is None else x for x in r) for r in t.select(sorted(t.columns)).collect())
+    for sampler in resample.DRAWS:
+        for truncate in (False, True):
+            got = [[key(x) for x in resample.held_against(u, c, 7, 5, sampler, truncate, most)] for most in (1 << 21, 2000, 0)]
+            assert got[0] == got[1] == got[2] and len(got[0][0]) == 3 and len(got[0][1]) == 21
+    n = c.groupBy("method", "chrom").agg(F.count("*").alias("n"))
+    tag = lambda t, k: t.selectExpr("'x' as scenario", f"{k} as universe_id", "chrom", "pos")
+    both = tag(u, 0).union(tag(u.where("pos % 3 > 0"), 1))
+    rates = [key(calibrate.calibrate_distance(both, n, 4, 6, 5, most=most)) for most in (1 << 21, 2000, 0)]
+    assert rates[0] == rates[1] == rates[2] and len(rates[0]) == 2 * 4 * 4
