@@ -539,3 +539,11 @@ def test_small_chromosomes_equal_blocks(spark):
     both = tag(u, 0).union(tag(u.where("pos % 3 > 0"), 1))
     rates = [key(calibrate.calibrate_distance(both, n, 4, 6, 5, most=most)) for most in (1 << 21, 2000, 0)]
     assert rates[0] == rates[1] == rates[2] and len(rates[0]) == 2 * 4 * 4
+
+
+def test_large_samples_by_bins_of_keys(spark):
+    """Samples whose keys are put in order in bins against those sorted as a whole; repeated rows of the sites change no count of an overlap."""
+    u = uni(spark, [*range(0, 900, 3), 9, 9]).union(uni(spark, [5, 6, 7], 2))
+    n = spark.createDataFrame([(1, 1, 70), (2, 1, 200), (3, 1, 302), (1, 2, 2)], "method int, chrom int, n long")
+    whole, bins = (sorted(resample.sample_without_replacement(u, n, 2, 9, most=most).collect()) for most in (4096, 8))
+    assert len(whole) == 2 * 574 and bins == whole
