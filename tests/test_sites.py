@@ -1,6 +1,7 @@
 """Golden cases and properties of the site operators."""
 
 import itertools
+import os
 import random
 from fractions import Fraction
 from math import comb
@@ -547,3 +548,31 @@ def test_large_samples_by_bins_of_keys(spark):
     n = spark.createDataFrame([(1, 1, 70), (2, 1, 200), (3, 1, 302), (1, 2, 2)], "method int, chrom int, n long")
     whole, bins = (sorted(resample.sample_without_replacement(u, n, 2, 9, most=most).collect()) for most in (4096, 8))
     assert len(whole) == 2 * 574 and bins == whole
+
+
+def test_histogram_of_small_chromosomes(spark, monkeypatch):
+    from siteoverlap.operators import small
+    from siteoverlap.plans import queries
+
+    draw = random.Random(6)
+    everything = {1: [draw.randrange(5000) for _ in range(90)], 2: [draw.randrange(10**6) for _ in range(300)], 3: [7] * 9, 4: list(range(12)), 5: list(range(40))}
+    u = spark.createDataFrame([(c, p) for c, pos in everything.items() for p in pos], "chrom int, pos long")
+    sets = {1: [everything[1][:20], everything[1][20:33], everything[1][5:9]], 2: [everything[2][:70], everything[2][100:160], everything[2][:40]], 3: [[7, 7], [7], []], 4: [list(range(12)), [3, 4], list(range(15))], 5: [[1, 2, 3], [], []], 6: [[1], [2], []]}
+    c = spark.createDataFrame([(m, k, p) for k, some in sets.items() for m, pos in enumerate(some, 1) for p in pos], "method int, chrom int, pos long")
+    for sampler in (resample.sample_without_replacement, resample.sample_indices):
+        n = c.groupBy("method", "chrom").agg(F.count("*").alias("n"))
+        expected = resample.expected_profile(resample.replicate_profiles(sampler(u, n, 3, 4))).withColumn("avg_dist", F.round("avg_dist", 6))
+        want = sorted(distances.distance_histogram(profiles.profile_of(c), expected).collect())
+        assert {r["chrom"] for r in want} == {1, 2, 3, 4}
+        for most in (small.MOST_DISTANCES, 3000, 0):  # all small, some, none
+            assert sorted(resample.distance_histogram(u, c, 3, 4, sampler, most=most).collect()) == want
+    monkeypatch.setattr(small, "MOST_HELD", 5)  # a batch for each chromosome
+    assert sorted(resample.distance_histogram(u, c, 3, 4, resample.sample_indices).collect()) == want
+
+    def rows(*_):
+        raise AssertionError("rows of distances for small chromosomes")
+
+    for module, name in ((profiles, "profile_of"), (profiles, "expected_of"), (resample, "profile_of"), (resample, "expected_of")):
+        monkeypatch.setattr(module, name, rows)
+    if os.path.isdir("/root/testdata/sf0.001"):
+        assert queries.distance_histogram(spark, "/root/testdata/sf0.001").count() > 0
