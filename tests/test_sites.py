@@ -576,3 +576,14 @@ def test_histogram_of_small_chromosomes(spark, monkeypatch):
         monkeypatch.setattr(module, name, rows)
     if os.path.isdir("/root/testdata/sf0.001"):
         assert queries.distance_histogram(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_samples_by_place_without_rows_of_draws(spark, monkeypatch):
+    """Draws that were rows, ranked in a task, took most memory."""
+
+    def ranked(*_):
+        raise AssertionError("a row for each draw")
+
+    monkeypatch.setattr(resample, "enough", ranked)
+    u, n = uni(spark, range(40)), spark.createDataFrame([(1, 1, 12), (2, 1, 30)], "method int, chrom int, n long")
+    assert {tuple(r) for r in resample.sample_indices(u, n, 2, 9).groupBy("method").agg(F.count("*")).collect()} == {(1, 24), (2, 60)}
