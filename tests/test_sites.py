@@ -587,3 +587,41 @@ def test_samples_by_place_without_rows_of_draws(spark, monkeypatch):
     monkeypatch.setattr(resample, "enough", ranked)
     u, n = uni(spark, range(40)), spark.createDataFrame([(1, 1, 12), (2, 1, 30)], "method int, chrom int, n long")
     assert {tuple(r) for r in resample.sample_indices(u, n, 2, 9).groupBy("method").agg(F.count("*")).collect()} == {(1, 24), (2, 60)}
+
+
+def test_draws_do_not_pass_the_driver(spark):
+    """Few large samples: Spark took their draws for as small as the table of sizes and broadcast them all."""
+    u, n = uni(spark, range(9_000)), spark.createDataFrame([(1, 1, 2_000), (2, 1, 3_000)], "method int, chrom int, n long")
+    drawn = resample.sample_indices(u, n, 3, 9)
+    assert len(drawn.collect()) == 3 * 5_000
+    plan = drawn._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :|+-"))
+    sent = [k for k, line in enumerate(plan) if "BroadcastExchange" in line]
+    below = [next((j for j in range(k + 1, len(plan)) if depth(plan[j]) <= depth(plan[k])), len(plan)) for k in sent]
+    assert any("MapInArrow" in line for line in plan)
+    assert not any("MapInArrow" in line for k, j in zip(sent, below, strict=True) for line in plan[k:j])
+
+
+def test_overlaps_by_place_equal_rows(spark, monkeypatch):
+    """Samples compared by place against rows of sites: several universes, windows, a method that is missing or beyond those tested, whole universes, chromosomes with larger samples."""
+    from siteoverlap import workflow
+
+    tag = lambda t, k: t.selectExpr("'x' as scenario", f"{k} as universe_id", "chrom", "pos")
+    u = uni(spark, range(0, 9_000, 2)).union(uni(spark, [3, 4, 8, 9, 30], 2)).union(uni(spark, range(50), 3)).union(uni(spark, [1], 5))
+    u = tag(u, 0).union(tag(u.where("pos % 3 > 0"), 1)).union(tag(u.union(u), 2))
+    sizes = [(1, 1, 900), (2, 1, 2_000), (3, 1, 4_500), (1, 2, 2), (2, 2, 3), (3, 2, 9), (1, 3, 20), (3, 3, 30), (1, 5, 1), (2, 5, 1), (3, 5, 1)]
+    n = spark.createDataFrame(sizes, "method int, chrom int, n long")
+    key = lambda t: sorted(tuple(r) for r in t.collect())
+    for methods, window in ((3, 1), (2, 7)):  # of two the third is beyond
+        rows = key(calibrate.calibrate_overlap(u, n, methods, 4, 5, window, lambda *x: calibrate.overlap_pvalues(*x), resample.sample_indices))
+        assert key(calibrate.calibrate_overlap(u, n, methods, 4, 5, window, sampler=resample.sample_indices)) == rows and len(rows) == 3 * 4 * 5
+    units = calibrate.units_of(u, 1)
+    one, larger = (key(calibrate.pvalues_by_place(units, n, 3, 4, 5, most)) for most in (resample.MOST_DRAWN, 40))
+    assert one == larger and len({p for *_, p in one}) > 6
+
+    def drawn(*_):
+        raise AssertionError("a row for each block of a sample")
+
+    monkeypatch.setattr(resample, "drawn_blocks", drawn)
+    u, c = uni(spark, range(400)), cands(spark, [range(90), range(50, 200), range(0, 400, 3)])
+    assert workflow.study(u, c, replicates=10, alpha=0.5).top.first()["rate"] > 0
