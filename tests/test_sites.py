@@ -603,18 +603,19 @@ def test_draws_do_not_pass_the_driver(spark):
 
 
 def test_overlaps_by_place_equal_rows(spark, monkeypatch):
-    """Samples compared by place against rows of sites: several universes, windows, a method that is missing or beyond those tested, whole universes, chromosomes with larger samples."""
+    """Samples compared by place against rows of sites: several universes, windows, a method that is missing or beyond those tested, whole universes, a position that is null, chromosomes with larger samples."""
     from siteoverlap import workflow
 
     tag = lambda t, k: t.selectExpr("'x' as scenario", f"{k} as universe_id", "chrom", "pos")
     u = uni(spark, range(0, 9_000, 2)).union(uni(spark, [3, 4, 8, 9, 30], 2)).union(uni(spark, range(50), 3)).union(uni(spark, [1], 5))
     u = tag(u, 0).union(tag(u.where("pos % 3 > 0"), 1)).union(tag(u.union(u), 2))
+    null = u.union(spark.createDataFrame([("x", 0, 3, None)], u.schema))
     sizes = [(1, 1, 900), (2, 1, 2_000), (3, 1, 4_500), (1, 2, 2), (2, 2, 3), (3, 2, 9), (1, 3, 20), (3, 3, 30), (1, 5, 1), (2, 5, 1), (3, 5, 1)]
     n = spark.createDataFrame(sizes, "method int, chrom int, n long")
     key = lambda t: sorted(tuple(r) for r in t.collect())
-    for methods, window in ((3, 1), (2, 7)):  # of two the third is beyond
-        rows = key(calibrate.calibrate_overlap(u, n, methods, 4, 5, window, lambda *x: calibrate.overlap_pvalues(*x), resample.sample_indices))
-        assert key(calibrate.calibrate_overlap(u, n, methods, 4, 5, window, sampler=resample.sample_indices)) == rows and len(rows) == 3 * 4 * 5
+    for sites_, methods, window in ((null, 3, 1), (u, 2, 7)):  # of two the third is beyond
+        rows = key(calibrate.calibrate_overlap(sites_, n, methods, 4, 5, window, lambda *x: calibrate.overlap_pvalues(*x), resample.sample_indices))
+        assert key(calibrate.calibrate_overlap(sites_, n, methods, 4, 5, window, sampler=resample.sample_indices)) == rows and len(rows) == 3 * 4 * 5
     units = calibrate.units_of(u, 1)
     one, larger = (key(calibrate.pvalues_by_place(units, n, 3, 4, 5, most)) for most in (resample.MOST_DRAWN, 40))
     assert one == larger and len({p for *_, p in one}) > 6
